@@ -26,7 +26,7 @@ def pack_blocks(
     gathers at most ``length`` elements. Both steps use the same partitioning,
     so the rows are shuffled once.
     """
-    before = Window.partitionBy(batch).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("batch").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
     placed = df.select(
         F.col(batch).alias("batch"),
         F.col(key).alias("_key"),
