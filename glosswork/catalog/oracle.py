@@ -79,7 +79,7 @@ STEPS = {
         FROM (SELECT bk, id, unnest(input_ids) AS token_id, generate_subscripts(input_ids, 1) AS ix FROM ids)""",
     "packed": f"""
         SELECT bk AS batch, place // {BLOCK} AS block, list(token_id ORDER BY place) AS input_ids
-        FROM flat_ids GROUP BY ALL HAVING count(*) = {BLOCK} OR place // {BLOCK} = 0""",
+        FROM flat_ids GROUP BY bk, place // {BLOCK} HAVING count(*) = {BLOCK} OR place // {BLOCK} = 0""",
     "sized": "SELECT id, bk, len(toks) AS n_items FROM tokens WHERE len(toks) > 0",
     "vectors": "SELECT vec_id AS id, embedding::DOUBLE[] AS embedding FROM embeddings",
     "corpus": """
@@ -455,7 +455,7 @@ ORACLE: dict[str, str] = {
     "cloze_match_score": steps(
         ["scored"], "SELECT round_even(avg(round_even(exp(logp) * 100, 2)), 2) AS match_score FROM scored"
     ),
-    "cloze_loss": steps(["batch_loss"], "SELECT batch, round(loss, 6) AS loss, examples FROM batch_loss"),
+    "cloze_loss": steps(["batch_loss"], "SELECT batch, round(loss, 9) AS loss, examples FROM batch_loss"),
     "loss_from_logits": steps(
         ["logits"],
         f"""SELECT id, CASE WHEN id % 10 <> 0 THEN round({LOG_SUM} - logits[label + 1], 6) END AS cross_entropy,
@@ -465,7 +465,7 @@ ORACLE: dict[str, str] = {
         SELECT vec_id % 2 AS layer, round(avg(list_sum(list_transform(range(1, 33),
           lambda i: (embedding[i]::DOUBLE - embedding[i + 32]::DOUBLE) ** 2)) / 32), 6) AS mse, count(*) AS rows
         FROM embeddings GROUP BY ALL""",
-    "example_reweight": steps(["reweighted"], "SELECT batch, round(loss, 6) AS loss, examples FROM reweighted"),
+    "example_reweight": steps(["reweighted"], "SELECT batch, round(loss, 9) AS loss, examples FROM reweighted"),
     "dense_layer": steps(
         ["dense"],
         f"""SELECT id, string_agg({micro('tanh(y)')}, ' ' ORDER BY j) AS tanh,
@@ -496,7 +496,7 @@ ORACLE: dict[str, str] = {
     ),
     "total_loss": steps(
         ["batch_loss", "reweighted"],
-        """SELECT k.batch, round(0.5::DOUBLE * k.loss + s.loss, 6) AS total_loss
+        """SELECT k.batch, round(0.5::DOUBLE * k.loss + s.loss, 9) AS total_loss
         FROM batch_loss k JOIN reweighted s ON k.batch = s.batch""",
     ),
     "stream_metric_rollup": """

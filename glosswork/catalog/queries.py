@@ -11,7 +11,7 @@ from glosswork import operators as op
 from glosswork import sources as io
 from glosswork import streaming as live
 from glosswork.catalog import views as v
-from glosswork.functions import letter_index, snippet, tokens
+from glosswork.functions import letter_index, snippet, tokens, whole_div
 from glosswork.plans import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,7 +158,7 @@ def run_snippet(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def tokenize_offsets(spark: SparkSession, folder: str) -> DataFrame:
-    found = op.tokenize(v.texts(spark, folder))
+    found = op.tokenize(v.busy_texts(spark, folder))
     return found.select(
         "id",
         F.size("tokens").cast("bigint").alias("n_tokens"),
@@ -385,7 +385,7 @@ def retrieval_augment(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def retrieval_replay(spark: SparkSession, folder: str) -> DataFrame:
-    domain = v.vectors(spark, folder, "id").withColumn("bk", F.floor(F.col("id") / v.BATCH_ROWS))
+    domain = v.vectors(spark, folder, "id").withColumn("bk", whole_div(F.col("id"), v.BATCH_ROWS))
     record = v.vectors(spark, folder, "raw_id")
     corpus = v.corpus(spark, folder).select("raw_id", tokens(F.col("text")).alias("input_ids"))
     found = op.retrieval_replay(domain, record, corpus, 2, BUDGET)
@@ -402,7 +402,7 @@ def span_match(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def embed_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    found = op.embed_corpus(v.texts(spark, folder).withColumnRenamed("id", "raw_id"))
+    found = op.embed_corpus(v.busy_texts(spark, folder).withColumnRenamed("id", "raw_id"))
     return found.select("raw_id", v.listed_micro(F.col("embedding")).alias("embedding"))
 
 
@@ -461,7 +461,7 @@ def length_batch_first(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def pad_batch(spark: SparkSession, folder: str) -> DataFrame:
-    ids = op.truncate_pad(_text_ids(spark, folder), BLOCK).withColumn("bk", F.floor(F.col("id") / 4))
+    ids = op.truncate_pad(_text_ids(spark, folder), BLOCK).withColumn("bk", whole_div(F.col("id"), 4))
     padded = op.pad_batch(ids, ["bk"], ["input_ids", "attention_mask"])
     return padded.select(
         "id",
@@ -546,7 +546,7 @@ def cloze_match_score(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def cloze_loss(spark: SparkSession, folder: str) -> DataFrame:
-    return op.cloze_loss(v.cloze(spark, folder)).withColumn("loss", F.round("loss", 6))
+    return op.cloze_loss(v.cloze(spark, folder)).withColumn("loss", F.round("loss", 9))
 
 
 @query
@@ -568,7 +568,7 @@ def layer_mse(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def example_reweight(spark: SparkSession, folder: str) -> DataFrame:
-    return op.example_reweight(v.weights(spark, folder)).withColumn("loss", F.round("loss", 6))
+    return op.example_reweight(v.weights(spark, folder)).withColumn("loss", F.round("loss", 9))
 
 
 @query
@@ -614,7 +614,7 @@ def total_loss(spark: SparkSession, folder: str) -> DataFrame:
     examples = op.cloze_loss(v.cloze(spark, folder)).select("batch", F.col("loss").alias("knowledge_loss"))
     gaps = op.example_reweight(v.weights(spark, folder)).select("batch", F.col("loss").alias("sample_loss"))
     found = op.total_loss(examples.join(gaps, "batch"))
-    return found.select("batch", F.round("total_loss", 6).alias("total_loss"))
+    return found.select("batch", F.round("total_loss", 9).alias("total_loss"))
 
 
 # Streams

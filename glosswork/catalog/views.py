@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.functions import draw, join_words, softmax, tokens, words
+from glosswork.functions import draw, join_words, softmax, tokens, whole_div, words
+from glosswork.plans import dealt
 
 BATCH_ROWS = 100
 CLASSES = 10
@@ -37,9 +38,14 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
 
 
+def busy_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for queries that spend long on each text."""
+    return dealt(texts(spark, folder), "id")
+
+
 def knowledge(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's words with the third and seventh turned into slots."""
-    cut = texts(spark, folder).select("id", words(F.col("text")).alias("w"))
+    cut = busy_texts(spark, folder).select("id", words(F.col("text")).alias("w"))
     slotted = F.transform("w", lambda x, i: F.when(i == 2, "{}").when(i == 6, "{},").otherwise(x))
     return cut.select(
         "id",
@@ -50,7 +56,7 @@ def knowledge(spark: SparkSession, folder: str) -> DataFrame:
 
 def knowledge_mixed(spark: SparkSession, folder: str) -> DataFrame:
     """The same, every fifth prompt being plain text without targets."""
-    cut = texts(spark, folder).select("id", words(F.col("text")).alias("w"))
+    cut = busy_texts(spark, folder).select("id", words(F.col("text")).alias("w"))
     plain = (F.col("id") % 5 == 0) | (F.size("w") < 7)
     slotted = F.transform("w", lambda x, i: F.when(i == 2, "{}").when(i == 6, "{},").otherwise(x))
     return cut.select(
@@ -118,8 +124,8 @@ def choice_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_lists(spark: SparkSession, folder: str) -> DataFrame:
-    return texts(spark, folder).select(
-        "id", tokens(F.col("text")).alias("toks"), F.floor(F.col("id") / BATCH_ROWS).alias("bk")
+    return busy_texts(spark, folder).select(
+        "id", tokens(F.col("text")).alias("toks"), whole_div(F.col("id"), BATCH_ROWS).alias("bk")
     )
 
 
@@ -144,7 +150,7 @@ def logits(spark: SparkSession, folder: str) -> DataFrame:
         F.col("vec_id").alias("id"),
         F.when(F.col("vec_id") % 5 == 0, "test").otherwise("valid").alias("split"),
         (F.col("vec_id") % 3).alias("epoch"),
-        F.floor(F.col("vec_id") / 8).alias("batch"),
+        whole_div(F.col("vec_id"), 8).alias("batch"),
         F.slice(F.col("embedding").cast("array<double>"), 1, CLASSES).alias("logits"),
         "label",
     )
@@ -194,7 +200,7 @@ def cloze(spark: SparkSession, folder: str) -> DataFrame:
     right = F.col("l_suppkey") % 20
     return table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("id"),
-        F.floor(F.col("l_orderkey") / 10).alias("batch"),
+        whole_div(F.col("l_orderkey"), 10).alias("batch"),
         (F.col("l_linenumber") % 2 == 1).alias("masked"),
         right.alias("correct_id"),
         F.when(F.col("l_quantity") > 40, right + 1).otherwise(right).alias("pred_id"),
@@ -204,7 +210,7 @@ def cloze(spark: SparkSession, folder: str) -> DataFrame:
 
 def weights(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").select(
-        F.floor(F.col("l_orderkey") / 10).alias("batch"),
+        whole_div(F.col("l_orderkey"), 10).alias("batch"),
         F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("slot"),
         F.col("l_discount").alias("w"),
         F.col("l_tax").alias("loss"),

@@ -3,6 +3,7 @@
 from glosswork.functions.arrays import (
     argmax,
     dot,
+    flattened,
     let,
     log_softmax,
     one_based,
@@ -10,6 +11,7 @@ from glosswork.functions.arrays import (
     running_total,
     softmax,
     sum_squares,
+    whole_div,
 )
 from glosswork.functions.draws import HEX_SPAN, draw, draw_slice, threshold
 from glosswork.functions.text import (
@@ -30,6 +32,7 @@ __all__ = [
     "draw",
     "draw_slice",
     "fill_slots",
+    "flattened",
     "join_words",
     "let",
     "letter_index",
@@ -42,6 +45,7 @@ __all__ = [
     "strip",
     "sum_squares",
     "threshold",
+    "whole_div",
     "token_pieces",
     "tokens",
     "words",

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,23 @@ def running_total(lists: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(within.astype(np.int32)))
 
 
+def whole_div(value: Column, by: int) -> Column:
+    """Whole-number division, exact for ids that a double cannot hold."""
+    return F.call_function("div", value, F.lit(by))
+
+
+def flattened(df: DataFrame, keys: Sequence[str], items: Column | str, name: str, place: str | None = None) -> DataFrame:
+    """One row per array element: ``keys, [place,] name``.
+
+    A plain ``explode`` makes Spark filter out empty arrays first, which
+    computes a costly array expression again for the filter. The outer form
+    does not, and its row for an empty array is dropped afterwards.
+    """
+    present = F.col(name).isNotNull() if place is None else F.col(place).isNotNull()
+    exploded = F.explode_outer(items).alias(name) if place is None else F.posexplode_outer(items).alias(place, name)
+    return df.select(*keys, exploded).where(present)
+
+
 def argmax(scores: Column) -> Column:
     """0-based place of the largest score, the first one on ties."""
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")

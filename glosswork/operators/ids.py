@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from glosswork.functions.arrays import whole_div
 from glosswork.functions.draws import HEX_SPAN, draw
 from glosswork.plans.spread import (
     BUCKET_ROWS,
@@ -159,7 +160,7 @@ def minibatch(
     df: DataFrame, size: int, columns: Sequence[str], row_id: str = "row_id", drop_last: bool = False
 ) -> DataFrame:
     """Dict-of-lists batches of ``size`` consecutive rows; no group exceeds ``size``."""
-    batch = F.floor(F.col(row_id) / size).cast("bigint")
+    batch = whole_div(F.col(row_id), size)
     rows = df.select(batch.alias("batch_id"), row_id, *columns)
     if drop_last:
         rows = rows.where(F.col("batch_id") < df.count() // size)

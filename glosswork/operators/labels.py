@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from glosswork.functions.arrays import whole_div
 from glosswork.functions.draws import HEX_SPAN, draw
 from glosswork.operators.ids import number_rows, seeded_shuffle
 from glosswork.plans.spread import BUCKET_ROWS, HOT_ROWS, SMALL_ROWS, attach, rank_in_buckets
@@ -55,7 +56,7 @@ def scan_end(first_places: DataFrame, patience: int, place: str) -> int | None:
     only lie between blocks, so each block needs comparing with the next one
     alone, and no task sorts all labels.
     """
-    blocks = first_places.groupBy(F.floor(F.col(place) / patience).alias("block")).agg(
+    blocks = first_places.groupBy(whole_div(F.col(place), patience).alias("block")).agg(
         F.min(place).alias("low"), F.max(place).alias("high")
     )
     following = blocks.select((F.col("block") - 1).alias("block"), F.col("low").alias("next_low"))

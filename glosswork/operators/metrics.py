@@ -97,17 +97,25 @@ def pearson(df: DataFrame, x: str, y: str, group: Sequence[str] = ()) -> DataFra
 
 
 def average_ranks(
-    df: DataFrame, column: str, group: Sequence[str], name: str, rows_per_bucket: int = BUCKET_ROWS
+    df: DataFrame,
+    column: str,
+    group: Sequence[str],
+    name: str,
+    rows_per_bucket: int = BUCKET_ROWS,
+    weight: str | None = None,
+    total: int | None = None,
 ) -> DataFrame:
     """Rank of every distinct value in its group, ties sharing their mean: ``group, column, rows, name``.
 
     Equal values are counted before anything is shuffled, so a value that a
     third of the rows share is one row here. The distinct values are cut at
-    quantiles, and only buckets of them are ordered.
+    quantiles, and only buckets of them are ordered. A row of ``df`` counts
+    ``weight`` times; ``total`` is the number of rows when it is known.
     """
     group = list(group)
-    values = df.groupBy(*group, column).agg(F.count(F.lit(1)).alias("rows"))
-    bounds = quantile_bounds(df, column, rows_per_bucket)
+    count = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    values = df.groupBy(*group, column).agg(count.alias("rows"))
+    bounds = quantile_bounds(df, column, rows_per_bucket, total)
     values = values.withColumn("_bucket", bucket_of(F.col(column), bounds, numeric_type(df, column)))
     before = Window.partitionBy(*group, "_bucket").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("rows").over(before), F.lit(0))
@@ -129,30 +137,38 @@ def spearman(
     rows_per_bucket: int = BUCKET_ROWS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Rank correlation, ties at their average rank."""
-    group = list(group)
-    both = df.select(*group, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna(
-        subset=["_x", "_y"]
-    )
-    # Equal pairs are counted once and weigh as many rows.
-    pairs = both.groupBy(*group, "_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
+    """Rank correlation, ties at their average rank; NULL when either side is constant.
+
+    Equal pairs are counted first and weigh as many rows from then on; both
+    rankings and the joins read that one table.
+    """
+    # The group travels as one struct, which is never NULL itself: groups with a
+    # NULL in them are kept, and no branch gets a filter of its own that would
+    # stop Spark from sharing the pair counts.
+    both = df.select(
+        F.struct(*([F.col(g) for g in group] or [F.lit(1)])).alias("_g"),
+        F.col(x).cast("double").alias("_x"),
+        F.col(y).cast("double").alias("_y"),
+    ).where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+    total = df.count()
+    pairs = both.groupBy("_g", "_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = pairs
     for column, rank in (("_x", "_rx"), ("_y", "_ry")):
-        ranks = average_ranks(both, column, group, rank, rows_per_bucket)
-        pairs = hot_lookup(pairs, ranks, [*group, column], ["_x", "_y"], hot_rows=hot_rows)
-    if not group:
-        pairs, group = pairs.withColumn("_all", F.lit(1)), ["_all"]
+        ranks = average_ranks(pairs, column, ["_g"], rank, rows_per_bucket, "_n", total)
+        ranked = hot_lookup(ranked, ranks, ["_g", column], ["_x", "_y"], hot_rows=hot_rows, total=total)
     n = F.sum("_n")
-    sums = pairs.groupBy(*group).agg(
+    sums = ranked.groupBy("_g").agg(
         n.alias("n"),
         # Every group's mean rank is (n + 1) / 2, so sums of products are enough.
         F.sum(F.col("_n") * F.col("_rx") * F.col("_ry")).alias("xy"),
         F.sum(F.col("_n") * F.col("_rx") * F.col("_rx")).alias("xx"),
         F.sum(F.col("_n") * F.col("_ry") * F.col("_ry")).alias("yy"),
     )
-    shift = F.col("n") * (F.col("n") + 1) * (F.col("n") + 1) / 4.0
+    mean = (F.col("n") + 1) / 2.0
+    shift = F.col("n") * mean * mean
     spread = F.sqrt((F.col("xx") - shift) * (F.col("yy") - shift))
     value = F.when(spread > 0, (F.col("xy") - shift) / spread)
-    return sums.select(*[g for g in group if g != "_all"], value.alias("spearman"))
+    return sums.select(*[F.col(f"_g.{g}") for g in group], value.alias("spearman"))
 
 
 def _cloze_examples(df: DataFrame, key: str) -> DataFrame:

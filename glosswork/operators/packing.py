@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glosswork.functions.arrays import pad_to
+from glosswork.functions.arrays import pad_to, whole_div
 
 
 def pack_blocks(
@@ -34,10 +34,10 @@ def pack_blocks(
         F.size(items).cast("bigint").alias("_n"),
     ).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     first, last = F.col("_start"), F.col("_start") + F.col("_n") - 1
-    blocks = F.sequence(F.floor(first / length), F.floor(last / length))
+    blocks = F.sequence(whole_div(first, length), whole_div(last, length))
     cut_from = F.greatest(F.col("block") * length - first, F.lit(0))
     cut_to = F.least((F.col("block") + 1) * length - first, F.col("_n"))
-    pieces = placed.where(F.col("_n") > 0).withColumn("block", F.explode(blocks)).select(
+    pieces = placed.where(F.col("_n") > 0).withColumn("block", F.explode_outer(blocks)).select(
         "batch",
         "block",
         "_start",
@@ -55,7 +55,7 @@ def _batch_starts(histogram: pd.DataFrame, group: str, budget: int) -> pd.DataFr
     A batch takes ``max(1, budget // width)`` rows, width being its first and
     longest row, so it is enough to step through the distinct lengths.
     """
-    histogram = histogram.sort_values("n_items", ascending=False)
+    histogram = histogram[histogram["n_items"] > 0].sort_values("n_items", ascending=False)
     rows, end, batch = [], 0, 0
     opened = 0
     for width, count in zip(histogram["n_items"], histogram["rows"]):
@@ -69,7 +69,7 @@ def _batch_starts(histogram: pd.DataFrame, group: str, budget: int) -> pd.DataFr
             batch += more
         end = stop
     found = pd.DataFrame(rows, columns=["n_items", "begin", "first", "batch_rows", "batches_before"])
-    found.insert(0, group, histogram[group].iloc[0])
+    found.insert(0, group, histogram[group].to_numpy())
     return found
 
 
@@ -85,7 +85,9 @@ def length_batches(
     The sequential part sees only the lengths of a group and how often each
     occurs. Rows are ranked inside one length of one group.
     """
-    sized = df.withColumn("n_items", F.size(items)).where(F.col("n_items") > 0)
+    # Empty rows find no start below. Filtering them here would make Spark
+    # compute a derived array column a second time, inside the filter.
+    sized = df.withColumn("n_items", F.coalesce(F.size(items), F.lit(0)))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = (
         f"{group} {kinds[group]}, n_items int, begin bigint, first bigint, batch_rows bigint, batches_before bigint"
@@ -109,14 +111,15 @@ def length_batch_first(
     df: DataFrame, budget: int, group: str = "bk", key: str = "id", items: str = "input_ids"
 ) -> DataFrame:
     """Only the first of those batches: the ``max(1, budget // longest)`` longest rows of a group."""
-    sized = df.withColumn("n_items", F.size(items)).where(F.col("n_items") > 0)
+    sized = df.withColumn("n_items", F.coalesce(F.size(items), F.lit(0)))
     longest = sized.groupBy(group).agg(F.max("n_items").alias("_longest"))
     place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n_items"), key))
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("_longest")))
     # A batch never has more rows than the budget has tokens; that bound lets
     # Spark drop the rest of a group before the shuffle.
     ranked = sized.withColumn("_place", place).where(F.col("_place") <= budget)
-    return ranked.join(longest, group).where(F.col("_place") <= room).drop("_place", "_longest")
+    fits = (F.col("_place") <= room) & (F.col("n_items") > 0)
+    return ranked.join(longest, group).where(fits).drop("_place", "_longest")
 
 
 def pad_batch(df: DataFrame, batch: Sequence[str], lists: Sequence[str], pad: int = 0) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glosswork.functions.arrays import flattened
 from glosswork.functions.text import fill_slots, strip
 from glosswork.operators.tokens import MASK_TEXT, tokenize
 
@@ -64,7 +65,7 @@ def span_match(df: DataFrame, key: str = "id") -> DataFrame:
             lambda n: F.struct(i.alias("token_no"), n["span_no"].alias("span_no"), token["tok"].alias("tok")),
         )
 
-    return df.select(key, F.explode(F.flatten(F.transform("tokens", hits))).alias("m")).select(key, "m.*")
+    return flattened(df, [key], F.flatten(F.transform("tokens", hits)), "m").select(key, "m.*")
 
 
 def span_mask(df: DataFrame, missing: str = "skip", mask: str = MASK_TEXT) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glosswork.functions.arrays import sum_squares
+from glosswork.functions.arrays import flattened, sum_squares
 from glosswork.functions.draws import draw
 from glosswork.functions.text import snippet
 from glosswork.functions.text import tokens as token_list
@@ -199,8 +199,7 @@ def hashed_embedding(df: DataFrame, dims: int, seed: int = 0, key: str = "raw_id
     Tokens are counted per hash bucket on the map side; a document then sends at
     most ``dims`` small rows.
     """
-    # Each distinct token of a document is hashed once, with its count.
-    flat = df.select(key, F.explode(token_list(F.col(text))).alias("token"))
+    flat = flattened(df, [key], token_list(F.col(text)), "token")
     buckets = flat.groupBy(key, (draw(seed, F.col("token")) % dims).cast("int").alias("bucket")).agg(
         F.count(F.lit(1)).cast("double").alias("n")
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glosswork.functions.arrays import let, pad_to, running_total
+from glosswork.functions.arrays import flattened, let, pad_to, running_total
 from glosswork.functions.draws import draw_slice, threshold
 from glosswork.functions.text import token_pieces
 from glosswork.functions.text import tokens as token_list
@@ -63,7 +63,7 @@ def build_vocab(df: DataFrame, max_size: int, tokens: str = "toks") -> DataFrame
     ``max_size`` counts the four special ids. Counting combines on the map side,
     so a token that makes up a third of the corpus costs one row per task.
     """
-    counts = df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
+    counts = flattened(df, [], tokens, "token").groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
     top = counts.orderBy(F.desc("rows"), "token").limit(max_size - FIRST_WORD_ID)
     rank = F.row_number().over(Window.orderBy(F.desc("rows"), "token"))
     return top.withColumn("token_id", (rank + FIRST_WORD_ID - 1).cast("int"))
@@ -114,7 +114,7 @@ def _lookup(vocab: DataFrame) -> Callable[[Column], Column]:
 
 
 def _encode_by_join(df: DataFrame, vocab: DataFrame, key: str, tokens: str, name: str) -> DataFrame:
-    flat = df.select(key, F.posexplode(tokens).alias("_at", "token"))
+    flat = flattened(df, [key], tokens, "token", "_at")
     found = hot_lookup(flat, vocab.select("token", "rows", "token_id"), ["token"], [key, "_at"], how="left")
     lists = found.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("_at", F.coalesce("token_id", F.lit(UNK)).alias("i")))).alias("_ids")
@@ -162,9 +162,8 @@ def flatten_masked(
     """One row ``key, pos, token_id`` for every attended position."""
     marked = F.zip_with(ids, mask, lambda t, m: F.struct(t.alias("t"), m.alias("m")))
     placed = F.transform(marked, lambda x, i: F.struct(i.alias("pos"), x["t"].alias("token_id"), x["m"].alias("m")))
-    return df.select(key, F.explode(F.filter(placed, lambda x: x["m"] == 1)).alias("x")).select(
-        key, "x.pos", "x.token_id"
-    )
+    attended = F.filter(placed, lambda x: x["m"] == 1)
+    return flattened(df, [key], attended, "x").select(key, "x.pos", "x.token_id")
 
 
 def encode_pair(

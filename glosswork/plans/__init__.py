@@ -4,6 +4,7 @@ from glosswork.plans.spread import (
     attach,
     bounded,
     bucket_of,
+    dealt,
     hot_lookup,
     quantile_bounds,
     rank_in_buckets,
@@ -15,6 +16,7 @@ __all__ = [
     "attach",
     "bounded",
     "bucket_of",
+    "dealt",
     "hot_lookup",
     "quantile_bounds",
     "rank_in_buckets",

@@ -34,6 +34,17 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/glosswork-{label}-{uuid.uuid4().hex}"
 
 
+def dealt(df: DataFrame, key: str, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """A small table spread over all cores by key, before work that is slow per row.
+
+    A file with one row group is read by one task however many cores there are.
+    A table of more than ``max_rows`` rows has row groups enough and stays as it
+    was read, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.count() <= max_rows else df
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write the frame to the shared folder and read it back.
 
@@ -59,9 +70,11 @@ def bounded(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None:
     return df.sparkSession.createDataFrame(table, schema=df.schema)
 
 
-def quantile_bounds(df: DataFrame, column: str, rows_per_bucket: int = BUCKET_ROWS) -> list:
+def quantile_bounds(
+    df: DataFrame, column: str, rows_per_bucket: int = BUCKET_ROWS, rows: int | None = None
+) -> list:
     """Values that cut a numeric column into about equal parts of ``rows_per_bucket`` rows."""
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     buckets = min(MAX_BUCKETS, math.ceil(rows / rows_per_bucket))
     if buckets <= 1:
         return []
@@ -133,6 +146,7 @@ def hot_lookup(
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
     counts: DataFrame | None = None,
+    total: int | None = None,
 ) -> DataFrame:
     """Attach the one row of ``table`` that has the same keys.
 
@@ -140,9 +154,12 @@ def hot_lookup(
     key are split by a hash of the ``by`` columns and meet as many copies of its
     table row. The set of hot keys may be broadcast: it has at most
     ``rows of df / hot_rows`` entries. ``counts`` may supply keys and rows when
-    the table itself is costly to read twice.
+    the table itself is costly to read twice. With ``total``, the number of rows
+    of ``df``, known to be too small for a hot key, this is a plain join.
     """
     keys = list(keys)
+    if total is not None and total <= hot_rows:
+        return df.join(table.drop(rows), keys, how)
     hot = F.col(rows) > hot_rows
     hot_keys = (table if counts is None else counts).where(hot).select(*keys, F.lit(True).alias("_hot"))
     part = F.pmod(F.xxhash64(*by), F.lit(HOT_SPLITS)).cast("int")

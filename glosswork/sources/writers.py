@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glosswork.functions.arrays import whole_div
+
 
 def write_knowledge(df: DataFrame, path: str, file_rows: int = 1_000) -> None:
     """``id, prompt, targets`` as a folder of JSON array files, ``file_rows`` rows each, in id order."""
-    number = F.floor(F.col("id") / file_rows)
+    number = whole_div(F.col("id"), file_rows)
     rows = F.array_sort(F.collect_list(F.struct("id", F.to_json(F.struct("prompt", "targets")).alias("j"))))
     text = F.concat(F.lit("["), F.array_join(rows["j"], ",\n"), F.lit("]"))
     arrays = df.groupBy(number.alias("file")).agg(text.alias("value"))
