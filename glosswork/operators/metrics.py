@@ -93,7 +93,13 @@ def glue_metric(df: DataFrame, task: str, pred: str = "pred", label: str = "labe
 
 
 def pearson(df: DataFrame, x: str, y: str, group: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*group).agg(F.corr(x, y).alias("pearson"))
+    """Linear correlation over the rows that have both values; NULL when either side is constant.
+
+    Spark's own ``corr`` divides by zero there and fails in ANSI mode.
+    """
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    value = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return df.groupBy(*group).agg(value.alias("pearson"))
 
 
 def average_ranks(

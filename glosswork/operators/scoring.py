@@ -41,7 +41,7 @@ def loss_from_logits(
     if kind == "multi":
         # max(x, 0) - x*y + log(1 + exp(-|x|)) does not overflow.
         each = F.zip_with(x, y, lambda a, t: F.greatest(a, F.lit(0.0)) - a * t + F.log1p(F.exp(-F.abs(a))))
-        return df.withColumn(name, F.aggregate(each, F.lit(0.0), lambda s, v: s + v) / F.size(x))
+        return df.withColumn(name, F.try_divide(F.aggregate(each, F.lit(0.0), lambda s, v: s + v), F.size(x)))
     raise ValueError("kind is 'regression', 'single' or 'multi'")
 
 
@@ -63,7 +63,7 @@ def layer_mse(df: DataFrame, group: str = "layer", a: str = "a", b: str = "b", m
     """Mean squared gap between two vectors, averaged per layer; ``mask`` keeps only marked rows."""
     gap = F.zip_with(a, b, lambda x, y: x - y)
     rows = df.where(F.col(mask)) if mask else df
-    each = rows.select(group, (sum_squares(gap) / F.size(a)).alias("mse"))
+    each = rows.select(group, F.try_divide(sum_squares(gap), F.size(a)).alias("mse"))
     return each.groupBy(group).agg(F.avg("mse").alias("mse"), F.count("mse").alias("rows"))
 
 
