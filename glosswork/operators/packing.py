@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -49,28 +48,43 @@ def pack_blocks(
     return packed.where((F.size(items) == length) | (F.col("block") == 0))
 
 
-def _batch_starts(histogram: pd.DataFrame, group: str, budget: int) -> pd.DataFrame:
-    """Where batches begin among the lengths of one group, longest first.
+STARTS = "array<struct<n_items:int,begin:bigint,first:bigint,batch_rows:bigint,batches_before:bigint>>"
+
+
+def _batch_starts(histogram: Column, budget: int) -> Column:
+    """Where batches begin among the distinct lengths of a group, given longest first.
 
     A batch takes ``max(1, budget // width)`` rows, width being its first and
-    longest row, so it is enough to step through the distinct lengths.
+    longest row, so stepping through the distinct lengths is enough. Each step
+    notes where the length begins, where the first batch of that length opens,
+    how many rows its batches take and how many batches came before.
     """
-    histogram = histogram[histogram["n_items"] > 0].sort_values("n_items", ascending=False)
-    rows, end, batch = [], 0, 0
-    opened = 0
-    for width, count in zip(histogram["n_items"], histogram["rows"]):
-        begin, stop = end, end + count
-        size = max(1, budget // width)
-        first = max(opened, begin)
-        rows.append((width, begin, first, size, batch))
-        if first < stop:
-            more = -(-(stop - first) // size)
-            opened = first + more * size
-            batch += more
-        end = stop
-    found = pd.DataFrame(rows, columns=["n_items", "begin", "first", "batch_rows", "batches_before"])
-    found.insert(0, group, histogram[group].to_numpy())
-    return found
+
+    def step(seen: Column, length: Column) -> Column:
+        begin, stop = seen["end"], seen["end"] + length["rows"]
+        size = F.greatest(F.lit(1), F.call_function("div", F.lit(budget), length["n_items"])).cast("bigint")
+        first = F.greatest(seen["opened"], begin)
+        more = F.when(first < stop, F.call_function("div", stop - first + size - 1, size)).otherwise(F.lit(0))
+        more = more.cast("bigint")
+        note = F.struct(
+            length["n_items"].alias("n_items"),
+            begin.alias("begin"),
+            first.alias("first"),
+            size.alias("batch_rows"),
+            seen["batches"].alias("batches_before"),
+        )
+        return F.struct(
+            stop.alias("end"),
+            (first + more * size).alias("opened"),
+            (seen["batches"] + more).alias("batches"),
+            F.concat(seen["notes"], F.array(note)).alias("notes"),
+        )
+
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(
+        zero.alias("end"), zero.alias("opened"), zero.alias("batches"), F.array().cast(STARTS).alias("notes")
+    )
+    return F.aggregate(histogram, start, step, lambda seen: seen["notes"])
 
 
 def length_batches(
@@ -88,16 +102,14 @@ def length_batches(
     # Empty rows find no start below. Filtering them here would make Spark
     # compute a derived array column a second time, inside the filter.
     sized = df.withColumn("n_items", F.coalesce(F.size(items), F.lit(0)))
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = (
-        f"{group} {kinds[group]}, n_items int, begin bigint, first bigint, batch_rows bigint, batches_before bigint"
-    )
     histogram = sized.groupBy(group, "n_items").agg(F.count(F.lit(1)).alias("rows"))
-    starts = histogram.groupBy(group).applyInPandas(lambda h: _batch_starts(h, group, budget), schema)
+    lengths = F.sort_array(F.collect_list(F.when(F.col("n_items") > 0, F.struct("n_items", "rows"))), asc=False)
+    starts = histogram.groupBy(group).agg(lengths.alias("_lengths"))
+    starts = starts.select(group, F.explode(_batch_starts(F.col("_lengths"), budget)).alias("s")).select(group, "s.*")
     inside = F.row_number().over(Window.partitionBy(group, "n_items").orderBy(key)) - 1
     at = F.col("begin") + F.col("_inside")
     number = F.when(at < F.col("first"), F.col("batches_before") - 1).otherwise(
-        F.col("batches_before") + F.floor((at - F.col("first")) / F.col("batch_rows"))
+        F.col("batches_before") + F.call_function("div", at - F.col("first"), F.col("batch_rows"))
     )
     return (
         sized.withColumn("_inside", inside)

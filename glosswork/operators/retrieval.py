@@ -197,22 +197,21 @@ def hashed_embedding(df: DataFrame, dims: int, seed: int = 0, key: str = "raw_id
     """Feature-hashed token counts scaled to unit length: ``key, embedding``.
 
     Tokens are counted per hash bucket on the map side; a document then sends at
-    most ``dims`` small rows.
+    most ``dims`` small rows. A text without tokens gives zeros.
     """
-    flat = flattened(df, [key], token_list(F.col(text)), "token")
+    # The outer form keeps such a text, with a NULL bucket.
+    flat = df.select(key, F.explode_outer(token_list(F.col(text))).alias("token"))
     buckets = flat.groupBy(key, (draw(seed, F.col("token")) % dims).cast("int").alias("bucket")).agg(
-        F.count(F.lit(1)).cast("double").alias("n")
+        F.count("token").cast("double").alias("n")
     )
-    lists = buckets.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0)))
-    counted = lists.select(key, dense.alias("counts"))
-    length = F.sqrt(sum_squares(F.col("counts")))
-    scaled = counted.withColumn("_len", length).withColumn(
-        "embedding", F.transform("counts", lambda x: x / F.col("_len"))
+    found = F.when(F.col("n") > 0, F.struct("bucket", "n"))
+    lists = buckets.groupBy(key).agg(F.map_from_entries(F.collect_list(found)).alias("m"))
+    dense = F.transform(
+        F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0))
     )
-    every = df.select(key).join(scaled.select(key, "embedding"), key, "left")
-    empty = F.array_repeat(F.lit(0.0), dims)
-    return every.withColumn("embedding", F.coalesce("embedding", empty))
+    counted = lists.select(key, dense.alias("counts"), F.sqrt(sum_squares(F.map_values("m"))).alias("length"))
+    scaled = F.transform("counts", lambda x: F.coalesce(F.try_divide(x, F.col("length")), F.lit(0.0)))
+    return counted.select(key, scaled.alias("embedding"))
 
 
 def embed_corpus(

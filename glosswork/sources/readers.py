@@ -4,27 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from glosswork.operators.ids import dense_row_id
 from glosswork.operators.pairs import TASK_COLUMNS
-from glosswork.plans.spread import written
+from glosswork.plans.spread import attach, written
 
 KNOWLEDGE = "prompt string, targets array<string>"
 TASK = "text string, label string"
 CHOICE_TASK = "csqa"
 
 
-def _numbered(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """Ids in file order: files by path, rows as they stand in a file.
+PLACE = ("_metadata.file_path", "_metadata.file_block_start")
 
-    A file's place and row numbers are fixed by writing the rows once; a scan
-    may otherwise spread files over tasks differently the next time.
-    """
-    placed = written(
-        df.select(*columns, F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row")),
-        "file-order",
+
+def _in_file_order(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns with each row's file, block and a number that grows within the block."""
+    file, block = PLACE
+    return df.select(
+        *columns,
+        F.col(file).alias("_file"),
+        F.col(block).alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
     )
-    return dense_row_id(placed, ["_file", "_row"], name).drop("_file", "_row")
+
+
+def _numbered(placed: DataFrame, name: str) -> DataFrame:
+    """Ids in file order: files by path, blocks and rows as they stand in a file.
+
+    Nothing is sorted. Rows of a block are consecutive already, so counting each
+    block and adding up the counts of earlier ones is enough. That table has a
+    row per block read. Which rows a task reads may change with the number of
+    cores, so the rows have been written once.
+    """
+    blocks = placed.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_low"))
+    found = attach(placed, _starts(blocks, ["_file", "_block"]), ["_file", "_block"], ["_row"], "_n", "inner")
+    return found.withColumn(name, (F.col("_start") + F.col("_row") - F.col("_low")).cast("bigint"))
+
+
+def _starts(sizes: DataFrame, order: list[str]) -> DataFrame:
+    """Add ``_start``, the rows in all earlier files or blocks."""
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
 
 
 def read_knowledge(spark: SparkSession, path: str) -> DataFrame:
@@ -35,13 +56,17 @@ def read_knowledge(spark: SparkSession, path: str) -> DataFrame:
     files. Malformed JSON fails.
     """
     raw = spark.read.schema(KNOWLEDGE).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return _numbered(raw, ["prompt", "targets"], "id").select("id", "prompt", "targets")
+    placed = written(_in_file_order(raw, ["prompt", "targets"]), "file-order")
+    return _numbered(placed, "id").select("id", "prompt", "targets")
 
 
 def read_task_jsonl(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
     """Labelled text, one JSON object per line. ``numbered`` adds ids in file order."""
     raw = spark.read.schema(TASK).option("mode", "FAILFAST").json(path)
-    return _numbered(raw, ["text", "label"], "id").select("id", "text", "label") if numbered else raw
+    if not numbered:
+        return raw
+    placed = written(_in_file_order(raw, ["text", "label"]), "file-order")
+    return _numbered(placed, "id").select("id", "text", "label")
 
 
 def read_custom(spark: SparkSession, train: str, valid: str, schema: str | None = None) -> dict[str, DataFrame]:
@@ -77,7 +102,13 @@ def read_corpus(spark: SparkSession, path: str, text: str = "text", order: str |
     raw = spark.read.parquet(path)
     if order is not None:
         return dense_row_id(raw.select(order, F.col(text).alias("text")), [order], "raw_id").select("raw_id", "text")
-    return _numbered(raw, [text], "raw_id").select("raw_id", F.col(text).alias("text"))
+    # Parquet knows each row's place in its file.
+    placed = raw.select(
+        F.col(text).alias("text"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
+    )
+    sizes = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    found = attach(placed, _starts(sizes, ["_file"]), ["_file"], ["_row"], "_n", "inner")
+    return found.select((F.col("_start") + F.col("_row")).cast("bigint").alias("raw_id"), "text")
 
 
 def read_embeddings(spark: SparkSession, path: str, shard: int | None = None) -> DataFrame:
