@@ -43,14 +43,15 @@ def busy_texts(spark: SparkSession, folder: str) -> DataFrame:
     return dealt(texts(spark, folder), "id")
 
 
-def knowledge(spark: SparkSession, folder: str) -> DataFrame:
+def knowledge(spark: SparkSession, folder: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every document's words with the third and seventh turned into slots."""
-    cut = busy_texts(spark, folder).select("id", words(F.col("text")).alias("w"))
+    cut = busy_texts(spark, folder).select("id", words(F.col("text")).alias("w"), *keep)
     slotted = F.transform("w", lambda x, i: F.when(i == 2, "{}").when(i == 6, "{},").otherwise(x))
     return cut.select(
         "id",
         F.concat(join_words(slotted), F.lit(".")).alias("prompt"),
         F.concat(F.slice("w", 3, 1), F.slice("w", 7, 1)).alias("targets"),
+        *keep,
     )
 
 

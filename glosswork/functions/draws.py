@@ -18,6 +18,15 @@ def draw_slice(digest: Column, part: int = 0) -> Column:
     return F.conv(F.substring(digest, 8 * part + 1, 8), 16, 10).cast("bigint")
 
 
+def digest_below(digest: Column, probability: float, part: int = 0) -> Column:
+    """Whether that number is below the probability's share of the range.
+
+    Hex digits of equal width sort as the numbers do, so nothing is converted.
+    """
+    digits = F.substring(digest, 8 * part + 1, 8) if part else digest
+    return digits < F.lit(f"{threshold(probability):08x}")
+
+
 def draw(seed: int, *keys: Column) -> Column:
     """A whole number in [0, 2^32) fixed by the seed and the keys."""
     parts = [F.lit(str(seed)), *(k.cast("string") for k in keys)]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glosswork.functions.arrays import flattened, let, pad_to, running_total
-from glosswork.functions.draws import draw_slice, threshold
+from glosswork.functions.draws import digest_below, draw_slice
 from glosswork.functions.text import token_pieces
 from glosswork.functions.text import tokens as token_list
 from glosswork.plans.spread import bounded, hot_lookup
@@ -212,22 +212,18 @@ def mlm_mask(
     position supplies all three draws, so a retried task chooses the same ones.
     """
     shown_mask = F.lit(vocab_size if mask_id is None else mask_id).cast("int")
-    prefix = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
-    fate_mask, fate_random = threshold(0.8), threshold(0.9)
-
-    def decide(token: Column, i: Column) -> Column:
-        def from_digest(digest: Column) -> Column:
-            chosen = ~token.isin(BOS, PAD, EOS) & (draw_slice(digest, 0) < threshold(probability))
-            fate = draw_slice(digest, 1)
-            shown = (
-                F.when(~chosen, token)
-                .when(fate < fate_mask, shown_mask)
-                .when(fate < fate_random, (draw_slice(digest, 2) % vocab_size).cast("int"))
-                .otherwise(token)
-            )
-            return F.struct(shown.alias("shown"), F.when(chosen, token).otherwise(F.lit(IGNORED)).alias("label"))
-
-        return let(F.md5(F.concat_ws(":", prefix, i.cast("string"))), from_digest)
-
-    decided = df.withColumn("_d", F.transform(ids, decide))
+    prefix = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.lit(""))
+
+    def decide(token: Column, digest: Column) -> Column:
+        chosen = digest_below(digest, probability) & ~token.isin(BOS, PAD, EOS)
+        shown = (
+            F.when(digest_below(digest, 0.8, 1), shown_mask)
+            .when(digest_below(digest, 0.9, 1), (draw_slice(digest, 2) % vocab_size).cast("int"))
+            .otherwise(token)
+        )
+        predicted = F.struct(shown.alias("shown"), token.alias("label"))
+        return F.when(chosen, predicted).otherwise(F.struct(token.alias("shown"), F.lit(IGNORED).alias("label")))
+
+    digests = let(prefix, lambda p: F.transform(ids, lambda _, i: F.md5(F.concat(p, i.cast("string")))))
+    decided = df.withColumn("_d", F.zip_with(F.col(ids), digests, decide))
     return decided.select(*df.columns, F.col("_d.shown").alias("masked_ids"), F.col("_d.label").alias("labels"))
