@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glosswork.functions.arrays import pad_to, whole_div
+from glosswork.plans.spread import BUCKET_ROWS, rank_in_groups
 
 
 def pack_blocks(
@@ -87,8 +88,26 @@ def _batch_starts(histogram: Column, budget: int) -> Column:
     return F.aggregate(histogram, start, step, lambda seen: seen["notes"])
 
 
+def _sized(df: DataFrame, items: str) -> DataFrame:
+    # Empty rows find no start later. Filtering them here would make Spark
+    # compute a derived array column a second time, inside the filter.
+    return df.withColumn("n_items", F.coalesce(F.size(items), F.lit(0)))
+
+
+def _starts(sized: DataFrame, group: str, budget: int) -> DataFrame:
+    histogram = sized.groupBy(group, "n_items").agg(F.count(F.lit(1)).alias("rows"))
+    lengths = F.sort_array(F.collect_list(F.when(F.col("n_items") > 0, F.struct("n_items", "rows"))), asc=False)
+    listed = histogram.groupBy(group).agg(lengths.alias("_lengths"))
+    return listed.select(group, F.explode(_batch_starts(F.col("_lengths"), budget)).alias("s")).select(group, "s.*")
+
+
 def length_batches(
-    df: DataFrame, budget: int, group: str = "bk", key: str = "id", items: str = "input_ids"
+    df: DataFrame,
+    budget: int,
+    group: str = "bk",
+    key: str = "id",
+    items: str = "input_ids",
+    rows_per_bucket: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Cut each collation group into batches of similar length within a token budget.
 
@@ -97,41 +116,42 @@ def length_batches(
     and ``batch_no``. Rows without items are left out.
 
     The sequential part sees only the lengths of a group and how often each
-    occurs. Rows are ranked inside one length of one group.
+    occurs. Rows are ranked inside one length of one group, and where one length
+    has very many rows, inside a slice of their keys.
     """
-    # Empty rows find no start below. Filtering them here would make Spark
-    # compute a derived array column a second time, inside the filter.
-    sized = df.withColumn("n_items", F.coalesce(F.size(items), F.lit(0)))
-    histogram = sized.groupBy(group, "n_items").agg(F.count(F.lit(1)).alias("rows"))
-    lengths = F.sort_array(F.collect_list(F.when(F.col("n_items") > 0, F.struct("n_items", "rows"))), asc=False)
-    starts = histogram.groupBy(group).agg(lengths.alias("_lengths"))
-    starts = starts.select(group, F.explode(_batch_starts(F.col("_lengths"), budget)).alias("s")).select(group, "s.*")
-    inside = F.row_number().over(Window.partitionBy(group, "n_items").orderBy(key)) - 1
+    sized = _sized(df, items)
+    placed = rank_in_groups(sized, [group, "n_items"], key, "_inside", rows_per_bucket)
     at = F.col("begin") + F.col("_inside")
     number = F.when(at < F.col("first"), F.col("batches_before") - 1).otherwise(
         F.col("batches_before") + F.call_function("div", at - F.col("first"), F.col("batch_rows"))
     )
     return (
-        sized.withColumn("_inside", inside)
-        .join(starts, [group, "n_items"])
+        placed.join(_starts(sized, group, budget), [group, "n_items"])
         .withColumn("batch_no", number.cast("bigint"))
         .select(*df.columns, "n_items", "batch_no")
     )
 
 
 def length_batch_first(
-    df: DataFrame, budget: int, group: str = "bk", key: str = "id", items: str = "input_ids"
+    df: DataFrame,
+    budget: int,
+    group: str = "bk",
+    key: str = "id",
+    items: str = "input_ids",
+    rows_per_bucket: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """Only the first of those batches: the ``max(1, budget // longest)`` longest rows of a group."""
-    sized = df.withColumn("n_items", F.coalesce(F.size(items), F.lit(0)))
-    longest = sized.groupBy(group).agg(F.max("n_items").alias("_longest"))
-    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n_items"), key))
-    room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("_longest")))
-    # A batch never has more rows than the budget has tokens; that bound lets
-    # Spark drop the rest of a group before the shuffle.
-    ranked = sized.withColumn("_place", place).where(F.col("_place") <= budget)
-    fits = (F.col("_place") <= room) & (F.col("n_items") > 0)
-    return ranked.join(longest, group).where(fits).drop("_place", "_longest")
+    """Only the first of those batches: the ``max(1, budget // longest)`` longest rows of a group.
+
+    Lengths that begin beyond the first batch are dropped before any row is
+    ranked, and no batch has more rows than the budget has tokens.
+    """
+    sized = _sized(df, items)
+    starts = _starts(sized, group, budget)
+    room = F.max_by("batch_rows", "n_items").over(Window.partitionBy(group)).alias("room")
+    starts = starts.select(group, "n_items", "begin", room).where(F.col("begin") < F.col("room"))
+    near = sized.join(starts, [group, "n_items"])
+    placed = rank_in_groups(near, [group, "n_items"], key, "_inside", rows_per_bucket, below=max(1, budget))
+    return placed.where(F.col("begin") + F.col("_inside") < F.col("room")).select(*df.columns, "n_items")
 
 
 def pad_batch(df: DataFrame, batch: Sequence[str], lists: Sequence[str], pad: int = 0) -> DataFrame:

@@ -20,7 +20,7 @@ from glosswork.operators.packing import length_batches
 from glosswork.plans.spread import HOT_ROWS, hot_lookup
 
 QUERY_BYTES = 64 << 20  # queries up to this size are sent to every task
-QUERY_BLOCK, RECORD_BLOCK = 8_192, 65_536
+RECORD_BYTES = 128 << 20  # a block of the record, where blocks are needed
 SCORE_CELLS = 4 << 20  # scores held at once
 SCORE_DIGITS = 9  # scores closer than this rank as equal, whatever the block shapes
 HITS = "query_id bigint, raw_id bigint, score double"
@@ -82,8 +82,8 @@ def retrieve_topk(
     raw_id: str = "raw_id",
     vector: str = "embedding",
     query_bytes: int = QUERY_BYTES,
-    query_block: int = QUERY_BLOCK,
-    record_block: int = RECORD_BLOCK,
+    query_block: int | None = None,
+    record_block: int | None = None,
 ) -> DataFrame:
     """The ``k`` stored vectors with the largest inner product: ``query_id, rank, raw_id, score``.
 
@@ -95,10 +95,12 @@ def retrieve_topk(
     """
     queries = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(vector).alias("v"))
     record = record.select(F.col(raw_id).cast("bigint").alias("raw_id"), F.col(vector).alias("v"))
-    rows, width = queries.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    if rows * (width or 0) * 8 <= query_bytes:
+    rows, width = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    if rows * width * 8 <= query_bytes:
         found = _scan_with_queries(queries, record, k)
     else:
+        query_block = query_block or max(1, QUERY_BYTES // (8 * width))
+        record_block = record_block or max(1, RECORD_BYTES // (8 * width))
         found = _block_by_block(queries, record, k, rows, query_block, record_block)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "raw_id")
     return (
@@ -134,13 +136,14 @@ def _block_by_block(
     left = queries.withColumn("qb", at("query_id", query_blocks)).withColumn("rb", every(record_blocks))
     right = record.withColumn("rb", at("raw_id", record_blocks)).withColumn("qb", every(query_blocks))
 
-    def score(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or stored.empty:
-            return pd.DataFrame({"query_id": [], "raw_id": [], "score": []})
-        vectors = [np.stack(side["v"].to_numpy()).astype(np.float64) for side in (asked, stored)]
-        return _hits(asked["query_id"].to_numpy(), _score(*vectors, stored["raw_id"].to_numpy(), k)).to_pandas()
+    def score(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        if not (asked.num_rows and stored.num_rows):
+            none = (np.zeros((0, k)), np.zeros((0, k), np.int64))
+            return pa.Table.from_batches([_hits(np.zeros(0, np.int64), none)])
+        held = _score(_matrix(asked["v"]), _matrix(stored["v"]), stored["raw_id"].to_numpy(), k)
+        return pa.Table.from_batches([_hits(asked["query_id"].to_numpy(), held)])
 
-    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(score, HITS)
+    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(score, HITS)
 
 
 def fetch_docs(

@@ -8,6 +8,7 @@ from glosswork.plans.spread import (
     hot_lookup,
     quantile_bounds,
     rank_in_buckets,
+    rank_in_groups,
     scratch_folder,
     written,
 )
@@ -20,6 +21,7 @@ __all__ = [
     "hot_lookup",
     "quantile_bounds",
     "rank_in_buckets",
+    "rank_in_groups",
     "scratch_folder",
     "written",
 ]

@@ -137,6 +137,24 @@ def rank_in_buckets(
     return ranked if below is None else ranked.where(F.col(name) < below)
 
 
+def rank_in_groups(
+    df: DataFrame,
+    groups: Sequence[str],
+    key: str,
+    name: str,
+    rows_per_bucket: int = BUCKET_ROWS,
+    below: int | None = None,
+) -> DataFrame:
+    """0-based place of every row in its group by a key, large inputs being cut at quantiles of the key."""
+    kind = numeric_type(df, key)
+    bounds = quantile_bounds(df, key, rows_per_bucket) if kind else []
+    if bounds:
+        return rank_in_buckets(df, groups, bucket_of(F.col(key), bounds, kind), [key], name, below)
+    place = (F.row_number().over(Window.partitionBy(*groups).orderBy(key)) - 1).cast("bigint")
+    ranked = df.withColumn(name, place)
+    return ranked if below is None else ranked.where(F.col(name) < below)
+
+
 def hot_lookup(
     df: DataFrame,
     table: DataFrame,

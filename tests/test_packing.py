@@ -73,13 +73,14 @@ def batch_loop(data, budget):
 
 @pytest.mark.parametrize("seed", range(4))
 @pytest.mark.parametrize("budget", [1, 9, 30, 10_000])
-def test_length_batches_loop(spark, seed, budget):
+@pytest.mark.parametrize("bucket", [6, 1_000_000])
+def test_length_batches_loop(spark, seed, budget, bucket):
     data = lists(seed, rows=25, longest=seed * 4 + 1)
     want = batch_loop(data, budget)
     df = frame(spark, data, seed + 1)
-    got = {(r.bk, r.batch_no, r.id) for r in op.length_batches(df, budget).collect()}
+    got = {(r.bk, r.batch_no, r.id) for r in op.length_batches(df, budget, rows_per_bucket=bucket).collect()}
     assert got == {(g, n, key) for g, batches in want.items() for n, b in enumerate(batches) for key in b}
-    first = {(r.bk, r.id) for r in op.length_batch_first(df, budget).collect()}
+    first = {(r.bk, r.id) for r in op.length_batch_first(df, budget, rows_per_bucket=bucket).collect()}
     assert first == {(g, key) for g, batches in want.items() for b in batches[:1] for key in b}
 
 
