@@ -92,7 +92,7 @@ STEPS = {
     "logits": f"""
         SELECT vec_id AS id, CASE WHEN vec_id % 5 = 0 THEN 'test' ELSE 'valid' END AS split, vec_id % 3 AS epoch,
           embedding[1:{CLASSES}]::DOUBLE[] AS logits, label,
-          list_position(embedding[1:{CLASSES}], list_max(embedding[1:{CLASSES}])) - 1 AS pred
+          list_position(embedding[1:{CLASSES}], list_max(embedding[1:{CLASSES}]))::bigint - 1 AS pred
         FROM embeddings""",
     "cloze": """
         SELECT l_orderkey AS id, l_orderkey // 10 AS batch, l_linenumber % 2 = 1 AS masked, l_suppkey % 20 AS correct_id,

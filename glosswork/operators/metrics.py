@@ -128,8 +128,10 @@ def average_ranks(
     if bounds:
         earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
         totals = values.groupBy(*group, "_bucket").agg(F.sum("rows").alias("_n"))
-        starts = totals.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-        values = values.join(starts, [*group, "_bucket"])
+        # As one struct, the keys match even where a group column is NULL.
+        cell = F.struct(*group, "_bucket").alias("_cell")
+        starts = totals.select(cell, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+        values = values.withColumn("_cell", cell).join(starts, "_cell")
         start = start + F.col("_start")
     rank = start + (F.col("rows") + 1) / 2.0
     return values.select(*group, column, "rows", rank.alias(name))

@@ -170,3 +170,10 @@ def test_hot_values_keep_their_rows(spark):
     want = dict(zip((x for x, _ in data), average_rank([x for x, _ in data])))
     assert {r.x: r["rank"] for r in ranks.collect()} == want
     assert {r.x: r["rows"] for r in ranks.collect()} == dict(Counter(x for x, _ in data))
+
+
+def test_ranks_of_a_null_group(spark):
+    df = spark.createDataFrame([(None, float(i)) for i in range(12)] + [("a", 1.0)], "g string, x double")
+    ranks = op.average_ranks(df, "x", ["g"], "rank", rows_per_bucket=3)
+    got = sorted((r.g or "", r.x, r["rank"]) for r in ranks.collect())
+    assert got == [("", float(i), i + 1.0) for i in range(12)] + [("a", 1.0, 1.0)]
