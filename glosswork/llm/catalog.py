@@ -86,3 +86,16 @@ def op6_wavelet_ids(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_folder(spark, "shards")
     write_shards(tokens, path, planes=16)
     return read_shards(spark, path, digest=True)
+
+
+@query
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from glosswork.llm.encoding import encoded
+    from glosswork.llm.packing import pack
+
+    documents = table(spark, folder, "documents").select("doc_id", "source", "text")
+    tokens = written(encoded(documents, public_tokenizers.path("word_bpe_49k.json"), "word", end_id=2), "ids")
+    pieces = pack(tokens)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source"
+    )
