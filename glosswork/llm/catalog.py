@@ -125,3 +125,26 @@ links AS (
 ), lowest AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sizes JOIN lowest USING (doc_id)
 """
+
+
+@query
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    from glosswork.llm.secrets import KINDS, scan, span_text
+
+    scanned = scan(table(spark, folder, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] < len(KINDS) - 1)
+    of_kind = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == KINDS.index(k))).cast("bigint")
+    return scanned.select(
+        "doc_id",
+        *[of_kind(k).alias(f"n_{k}") for k in KINDS],
+        F.sha2(span_text(base), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    from glosswork.llm.decontaminate import leaks
+
+    found = leaks(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    return found.drop("text_hash")
