@@ -148,3 +148,31 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
     found = leaks(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
     return found.drop("text_hash")
+
+
+def _remainder(of: int):
+    """crc32 of the id as text, divided."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % of
+
+
+@query
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from glosswork.llm.language_id import learn, predict
+
+    documents = table(spark, folder, "documents")
+    model = learn(documents.where(_remainder(3) != 1).select("lang", "text"))
+    told = predict(documents.select("doc_id", (_remainder(3) == 1).alias("held_out"), "text"), model)
+    return told.select("doc_id", "held_out", "lang_pred", "score", F.size("mixture").alias("n_languages"))
+
+
+@query
+def op10_quality_model(spark: SparkSession, folder: str) -> DataFrame:
+    from glosswork.llm.quality_model import learn, scored, with_features
+
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    features = written(with_features(documents), "features")
+    labels = table(spark, folder, "labels").where(_remainder(5) != 0).select("doc_id", "quality")
+    told = scored(features, learn(features, labels))
+    return told.select(
+        "doc_id", (_remainder(5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
