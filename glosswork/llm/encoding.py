@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from glosswork.llm.common import slices
 
 RUN_BYTES = 12 << 20  # text encoded at a time: a longer run meets fewer pieces twice
-KEPT_PIECES = 200_000  # pieces in each of the two generations a task remembers; the rest are encoded again
+KEPT_PIECES = 300_000  # pieces in each of the two generations a worker remembers; the rest are encoded again
 WIDE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"  # white space by any rule, for Arrow's expressions
 ODD = rf"^{WIDE}|{WIDE}{WIDE}|{WIDE}$|[\x00\x09\x0b-\x0d\x1c-\x1f\x{{85}}]|[^\P{{Z}} ]"
 STOP = r"(\pL)([.,])"
@@ -42,20 +42,20 @@ def byte_letters() -> dict[int, str]:
 
 
 class PieceEncoder:
-    """Encodes Arrow arrays of texts; remembers the ids of the pieces it has met."""
+    """Encodes Arrow arrays of texts; remembers the ids of the pieces that this worker has met."""
 
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import tokenizers
 
         if kind not in ("word", "byte"):
             raise ValueError("kind is 'word' or 'byte'")
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = kind
         self.letters = byte_letters()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        # Functions travel with the job and are new in each task; the module stays, so a worker's tasks share its pieces.
+        self.memory = tokenizers.__dict__.setdefault("_pieces_met", {}).setdefault((path, kind), [{}, {}])
 
     def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """All pieces of all texts, and how many each text has."""
@@ -95,9 +95,9 @@ class PieceEncoder:
         return self.letters[32] + word if blank else word
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        if len(self.known) > KEPT_PIECES:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
+        if len(self.memory[0]) > KEPT_PIECES:
+            self.memory[:] = [{}, self.memory[0]]
+        known, older = self.memory
         model, whole = self.tokenizer.model, []
         found = [known.get(p) or older.get(p) for p in pieces]
         for i, ids in enumerate(found):

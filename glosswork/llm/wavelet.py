@@ -33,15 +33,20 @@ SHARD_TOKENS = 4 << 20  # tokens from which a shard is closed: about 8 MB of pla
 
 def build(ids: np.ndarray, planes: int) -> list[tuple[np.ndarray, int]]:
     """The bit planes of a sequence and the number of zeros in each."""
-    out, level = [], np.ascontiguousarray(ids, np.uint32)
+    level = np.ascontiguousarray(ids, _narrow(planes))
+    out = []
     for shift in range(planes - 1, -1, -1):
-        bits = ((level >> np.uint32(shift)) & np.uint32(1)).astype(bool)
+        bits = (level & level.dtype.type(1 << shift)) != 0
         zeros = level[~bits]
         out.append((bits, len(zeros)))
         level = np.concatenate([zeros, level[bits]])
     return out
 
 
+def _narrow(planes: int) -> type:
+    return np.uint16 if planes <= 16 else np.uint32
+
+
 def pack_shard(doc_ids: list, sizes: np.ndarray, ids: np.ndarray, planes: int) -> bytes:
     """The file of one shard."""
     pressed = zstandard.ZstdCompressor(level=1)
@@ -159,16 +164,15 @@ class Shard:
 
     def all_ids(self) -> np.ndarray:
         """The whole sequence, put together from the lowest plane upwards."""
-        level = np.zeros(self.tokens, np.uint32)
+        level = np.zeros(self.tokens, _narrow(self.planes))
         for plane in range(self.planes - 1, -1, -1):
             raw = [self.frame.decompress(self.content[a:b]) for a, b in zip(self.places[plane], self.ends[plane])]
-            bits = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8), bitorder="little", count=self.tokens).astype(bool)
-            above = np.empty_like(level)
-            none = int(self.zeros[plane])
-            above[~bits] = level[:none]
-            above[bits] = level[none:] | np.uint32(1 << (self.planes - 1 - plane))
+            bits = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8), bitorder="little", count=self.tokens).view(bool)
+            above, none = np.empty_like(level), int(self.zeros[plane])
+            above[np.flatnonzero(~bits)] = level[:none]
+            above[np.flatnonzero(bits)] = level[none:] | level.dtype.type(1 << (self.planes - 1 - plane))
             level = above
-        return level
+        return level.astype(np.uint32)
 
 
 def write_shards(
