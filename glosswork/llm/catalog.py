@@ -129,7 +129,7 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component
 
 @query
 def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    from glosswork.llm.secrets import KINDS, scan, span_text
+    from glosswork.llm.secret_scan import KINDS, scan, span_text
 
     scanned = scan(table(spark, folder, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"] < len(KINDS) - 1)

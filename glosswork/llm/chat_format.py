@@ -102,12 +102,12 @@ def paths(messages: DataFrame, keep: int | None = 1) -> DataFrame:
     if keep is not None:
         order = Window.partitionBy("tree").orderBy(F.desc("path_score"), "leaf")
         leaves = leaves.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= keep).drop("_rank")
-    members = leaves.withColumn("node", F.col("leaf"))
+    members = written(leaves.withColumn("node", F.col("leaf")), "paths")
     for k in range(len(levels) - 1, -1, -1):
         step = levels[k].select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "up")
         above = members.join(step, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n")))
         above = above.select("tree", "leaf", "path_score", (F.col("depth") - (1 << k)).alias("depth"), F.col("up").alias("node"))
-        members = members.unionByName(above)
+        members = written(members.unionByName(above), "paths")
     texts = nodes.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "role", "text")
     joined = members.join(texts, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n")))
     return joined.select("tree", "leaf", "path_score", "depth", "role", "text")
