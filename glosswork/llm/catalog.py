@@ -105,7 +105,7 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from glosswork.llm.near_dedup import near_duplicates
 
-    return near_duplicates(table(spark, folder, "documents"), width=3, percent=85).drop("key")
+    return near_duplicates(table(spark, folder, "documents"), width=3, percent=85).drop("key", "text_hash")
 
 
 ORACLE["op7_near_dedup"] = r"""
@@ -176,3 +176,15 @@ def op10_quality_model(spark: SparkSession, folder: str) -> DataFrame:
     return told.select(
         "doc_id", (_remainder(5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
     )
+
+
+@query
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files: a folder for each source and hundred ids, its first document being named as its licence."""
+    from glosswork.llm.license_scan import scan
+
+    documents = table(spark, folder, "documents").select("doc_id", "source", "text")
+    hundred = F.call_function("div", F.col("doc_id"), F.lit(100)).cast("string")
+    name = F.when(F.col("doc_id") % 100 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), hundred, name)
+    return scan(documents.withColumn("path", path))

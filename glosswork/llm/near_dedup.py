@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from glosswork.llm.common import slices
+from glosswork.llm.common import free_name, slices
 from glosswork.llm.shingles import WordHasher, mixed, raw_texts
 from glosswork.plans import written
 
@@ -65,8 +66,8 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(documents: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, key, n_shingles, bands, sketch`` of every document; ``key`` names its set and is null without words."""
-    schema = "doc_id bigint, key binary, n_shingles bigint, bands array<bigint>, sketch binary"
+    """``doc_id, text_hash, key, n_shingles, bands, sketch`` of every document; ``key`` names its set, null without words."""
+    schema = "doc_id bigint, text_hash bigint, key binary, n_shingles bigint, bands array<bigint>, sketch binary"
     bands = BINS // BAND_BINS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,15 +84,17 @@ def sketches(documents: DataFrame, width: int, doc_id: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(start, stop - start),
+                        batch.column(2).slice(start, stop - start),
                         pa.array(keys, pa.binary()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([b if len(s) else [] for b, s in zip(buckets, sets)], pa.list_(pa.int64())),
                         pa.array([x.tobytes() for x in short], pa.binary()),
                     ],
-                    ["doc_id", "key", "n_shingles", "bands", "sketch"],
+                    ["doc_id", "text_hash", "key", "n_shingles", "bands", "sketch"],
                 )
 
-    return documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    named = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    return named.mapInArrow(run, schema)
 
 
 def shingle_sets(documents: DataFrame, width: int) -> DataFrame:
@@ -109,7 +112,7 @@ def shingle_sets(documents: DataFrame, width: int) -> DataFrame:
     return documents.select("text").mapInArrow(run, "key binary, shingles array<bigint>")
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def _agreement(left: pa.Array, right: pa.Array) -> pa.Array:
     a = np.frombuffer(b"".join(left.to_pylist()), "<u2").reshape(-1, BINS)
     b = np.frombuffer(b"".join(right.to_pylist()), "<u2").reshape(-1, BINS)
@@ -155,7 +158,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(
     documents: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", rounds: int = 4
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept, key`` of every document.
+    """``doc_id, text_hash, n_shingles, component_id, kept, key`` of every document.
 
     Documents are linked when 100 times what their sets share is at least ``percent`` times what they hold together.
     ``rounds`` bounds the further rounds of stars for members that failed with all their centres.
@@ -221,8 +224,21 @@ def near_duplicates(
     lowest = named.groupBy("root").agg(F.min("label").alias("component_id"))
     grouped = named.join(lowest, "root").select(F.col("node").alias("key"), "component_id")
     own = labels.join(grouped, "key", "left").select("key", F.coalesce("component_id", "label").alias("component_id"))
-    final = rows.select("doc_id", "n_shingles", "key").join(own, "key", "left")
+    final = rows.select("doc_id", "text_hash", "n_shingles", "key").join(own, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return final.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "key"
+        "doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "key"
     )
+
+
+def without_near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without the near duplicates of one with a smaller id, with all their columns; of equal rows one stays."""
+    told = written(near_duplicates(documents, width, percent, doc_id, text).select("doc_id", "text_hash", "kept"), "told")
+    d, h, mark = free_name(documents, "_copy_doc"), free_name(documents, "_copy_hash"), free_name(documents, "_mark")
+    gone = told.where(~F.col("kept")).select(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).distinct()
+    marked = documents.withColumn(mark, F.xxhash64(text))
+    stay = marked.join(gone, marked[doc_id].cast("bigint").eqNullSafe(gone[d]) & (marked[mark] == gone[h]), "left_anti")
+    repeated = told.where("kept").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if repeated.limit(1).count():
+        stay = stay.dropDuplicates([doc_id, mark])
+    return stay.drop(mark)
