@@ -8,7 +8,7 @@ some of those places therefore changes no id, and prose repeats most pieces. Wha
 a blank is such a place, and both sides of a lone line break are. A text with other white space is cut into runs
 of white space with the word that follows; one with control characters that engines class differently is not cut.
 
-Both cut between a letter and a full stop or comma. A piece of plain letters needs no cutting rule any more and
+Both cut between a common letter and a full stop or comma. A piece of plain letters needs no cutting rule any more and
 goes straight to the tokenizer's model; all others go through the whole tokenizer.
 """
 
@@ -30,8 +30,9 @@ from glosswork.llm.common import slices
 RUN_BYTES = 12 << 20  # text encoded at a time: a longer run meets fewer pieces twice
 KEPT_PIECES = 300_000  # pieces in each of the two generations a worker remembers; the rest are encoded again
 WIDE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"  # white space by any rule, for Arrow's expressions
-ODD = rf"^{WIDE}|{WIDE}{WIDE}|{WIDE}$|[\x00\x09\x0b-\x0d\x1c-\x1f\x{{85}}]|[^\P{{Z}} ]"
-STOP = r"(\pL)([.,])"
+ODD = rf"^{WIDE}|{WIDE}{WIDE}|{WIDE}$|[\x09\x0b-\x0d\x1c-\x1f\x{{85}}]|[^\P{{Z}} ]"
+# Letters that no normal form or change of case turns into more than a letter, before a full stop or comma.
+STOP = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}])([.,])"
 
 
 def byte_letters() -> dict[int, str]:
@@ -70,8 +71,6 @@ class PieceEncoder:
         if pc.any(odd).as_py():
             cut = pc.replace_with_mask(cut, odd, pa.array(map(self._cut, pc.filter(texts, odd).to_pylist()), cut.type))
         lists = pc.split_pattern(cut, "\x00")
-        if pc.any(pc.match_substring(texts, "\x00")).as_py():
-            raise ValueError("a text holds the character U+0000")
         return lists.flatten(), lists.value_lengths().to_numpy()
 
     @staticmethod
@@ -89,7 +88,7 @@ class PieceEncoder:
         if self.kind == "word":
             word = word.lower()
         if not word.isascii():
-            if max(word) >= "\u0250":
+            if max(word) >= "\u0250":  # a change of case or normal form may do more to these
                 return None
             word = "".join(map(self.letters.get, word.encode()))
         return self.letters[32] + word if blank else word
@@ -116,6 +115,13 @@ class PieceEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each text has. No text counts as an empty one."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        marked = pc.match_substring(texts, "\x00") if self.kind == "byte" else pa.array([False])
+        if pc.any(marked).as_py():  # pieces are parted by this character, so such texts are encoded whole
+            rows = [
+                np.array(self.tokenizer.encode(t.as_py(), add_special_tokens=False).ids, np.uint32) if m else self.encode(texts.slice(i, 1))[0]
+                for i, (t, m) in enumerate(zip(texts, marked.to_pylist()))
+            ]
+            return np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
         pieces, counts = self._pieces(texts)
         if len(pieces) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
