@@ -9,8 +9,8 @@ In a bucket only edges from one centre to the other members become candidates. T
 most buckets, counted with their sizes: in a family of near copies that is the text the others were made from. Edges
 whose signatures agree too little to reach the threshold are left out, and the rest is confirmed on full sets. A member
 whose edge fails, while it is near enough that a third text could link it (distances of sets obey the triangle rule),
-takes part in further rounds: its buckets get new centres among the members, until every bucket is one component, or
-its near members have all been centres, or a round confirms no new link.
+takes part in a further round: its buckets get another centre among their near members, and so on for ``rounds`` rounds or
+until one confirms no new link.
 
 Components come from taking the smallest label around and jumping to the label's label, table by table. Bucket sizes,
 centres and labels are minima, maxima and counts that combine before the shuffle. Full sets are joined with the centre
@@ -156,12 +156,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    documents: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", rounds: int = 4
+    documents: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", rounds: int = 1
 ) -> DataFrame:
     """``doc_id, text_hash, n_shingles, component_id, kept, key`` of every document.
 
     Documents are linked when 100 times what their sets share is at least ``percent`` times what they hold together.
-    ``rounds`` bounds the further rounds of stars for members that failed with all their centres.
+    ``rounds`` is the number of further rounds of stars for members that failed with their centres. Texts that a third
+    one can link are near to a common centre, so the sets read for the first round are those of all rounds.
     """
     texts = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     rows = written(sketches(texts, width), "sketches")
@@ -189,15 +190,13 @@ def near_duplicates(
         right = sketch.select(F.col("key").alias("b"), F.col("sketch").alias("sketch_b"))
         likely = pairs.join(right, "b").join(left, "a").withColumn("guess", _agreement("sketch_a", "sketch_b"))
         candidates = written(likely.where(F.col("guess") >= reach - SKETCH_MARGIN).select("a", "b", "guess"), "candidates")
-        hopeful = candidates.where(F.col("guess") >= near - SKETCH_MARGIN).select("a", "b")
-        wanted = hopeful.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        if sets is not None:
-            wanted = written(wanted.join(sets, "key", "left_anti"), "wanted")
-        if sets is None or wanted.limit(1).count():
+        if sets is None:
+            wanted = written(candidates.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
             names = wanted.join(labels, "key").select(F.col("label").alias("_label")).distinct()
             chosen = texts.join(names, texts.doc_id.eqNullSafe(names["_label"]), "left_semi")
-            more = written(shingle_sets(chosen, width).dropDuplicates(["key"]).join(wanted, "key", "left_semi"), "sets")
-            sets = more if sets is None else sets.union(more)
+            sets = written(shingle_sets(chosen, width).dropDuplicates(["key"]).join(wanted, "key", "left_semi"), "sets")
+            members = members.join(wanted, "key", "left_semi")
+        hopeful = candidates.where(F.col("guess") >= near - SKETCH_MARGIN).select("a", "b")
         sizes = _confirmed(hopeful, sets)
         linked = 100 * F.col("met") >= percent * (F.col("size_a") + F.col("size_b") - F.col("met"))
         found = written(sizes.where(linked).select("a", "b"), "links")
