@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from glosswork.llm.common import slices
 
-RUN_BYTES = 12 << 20  # text encoded at a time: a longer run meets fewer pieces twice
-KEPT_PIECES = 300_000  # pieces in each of the two generations a worker remembers; the rest are encoded again
+RUN_BYTES = 8 << 20  # text encoded at a time: a longer run meets fewer pieces twice
+KEPT_PIECES = 150_000  # pieces in each of the two generations a worker remembers; the rest are encoded again
 WIDE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"  # white space by any rule, for Arrow's expressions
 ODD = rf"^{WIDE}|{WIDE}{WIDE}|{WIDE}$|[\x09\x0b-\x0d\x1c-\x1f\x{{85}}]|[^\P{{Z}} ]"
 # Letters that no normal form or change of case turns into more than a letter, before a full stop or comma.
