@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glosswork.catalog.queries import BLOCK, BUDGET, SEED, VOCABULARY
+from glosswork.catalog.queries import BLOCK, BUDGET, SEED
 from glosswork.catalog.views import BATCH_ROWS, CLASSES, OUT_DIMS
 from glosswork.operators.pairs import TASK_COLUMNS
 
@@ -58,8 +58,7 @@ STEPS = {
         SELECT doc_id AS id, regexp_extract_all(text, '{TOKEN}') AS toks, doc_id // {BATCH_ROWS} AS bk FROM documents""",
     "vocab": f"""
         SELECT token, n AS rows, row_number() OVER (ORDER BY n DESC, token) + 3 AS token_id
-        FROM (SELECT token, count(*) AS n FROM (SELECT unnest(toks) AS token FROM tokens) GROUP BY token)
-        ORDER BY n DESC, token LIMIT {VOCABULARY - 4}""",
+        FROM (SELECT token, count(*) AS n FROM (SELECT unnest(toks) AS token FROM tokens) GROUP BY token)""",
     "id_rows": """
         SELECT t.id, t.ix, coalesce(v.token_id, 3) AS token_id
         FROM (SELECT id, unnest(toks) AS token, generate_subscripts(toks, 1) AS ix FROM tokens) t
@@ -73,6 +72,10 @@ STEPS = {
           list_concat(list_transform(range(least({BLOCK}, len(input_ids))), lambda z: 1),
             list_transform(range(greatest({BLOCK} - len(input_ids), 0)), lambda z: 0)) AS attention_mask
         FROM ids""",
+    "whole": """
+        SELECT id, list_concat(input_ids, list_transform(range(id % 4), lambda z: 1)) AS input_ids,
+          list_concat(list_transform(input_ids, lambda z: 1), list_transform(range(id % 4), lambda z: 0)) AS attention_mask
+        FROM ids""",
     "flat_ids": """
         SELECT bk, id, ix, token_id,
           row_number() OVER (PARTITION BY bk ORDER BY id, ix) - 1 AS place
@@ -82,9 +85,18 @@ STEPS = {
         FROM flat_ids GROUP BY bk, place // {BLOCK} HAVING count(*) = {BLOCK} OR place // {BLOCK} = 0""",
     "sized": "SELECT id, bk, len(toks) AS n_items FROM tokens WHERE len(toks) > 0",
     "vectors": "SELECT vec_id AS id, embedding::DOUBLE[] AS embedding FROM embeddings",
-    "corpus": """
-        SELECT e.vec_id AS raw_id, d.text FROM embeddings e
-        JOIN documents d ON d.doc_id = e.vec_id % (SELECT count(*) FROM documents)""",
+    "corpus": "SELECT doc_id AS raw_id, text FROM documents",
+    "doc_vectors": """
+        SELECT d.doc_id AS id, list_transform(e.embedding::DOUBLE[], lambda x: x * (1 + (d.doc_id // n) / 8.0::DOUBLE)) AS embedding
+        FROM documents d, (SELECT count(*) AS n FROM embeddings), embeddings e WHERE e.vec_id = d.doc_id % n""",
+    "doc_hits": """
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, raw_id) AS rank, raw_id, score
+        FROM (SELECT q.id AS query_id, r.id AS raw_id, round(list_inner_product(q.embedding, r.embedding), 9) AS score
+          FROM doc_vectors q, doc_vectors r)""",
+    "asked_hits": """
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, raw_id) AS rank, raw_id, score
+        FROM (SELECT q.id AS query_id, r.id AS raw_id, round(list_inner_product(q.embedding, r.embedding), 9) AS score
+          FROM vectors q, doc_vectors r)""",
     "hits": """
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, raw_id) AS rank, raw_id, score
         FROM (SELECT q.id AS query_id, r.id AS raw_id, round(list_inner_product(q.embedding, r.embedding), 9) AS score
@@ -142,10 +154,13 @@ STEP_NEEDS = {
     "id_rows": ["vocab"],
     "ids": ["id_rows"],
     "padded": ["ids"],
+    "whole": ["ids"],
     "flat_ids": ["ids"],
     "packed": ["flat_ids"],
     "sized": ["tokens"],
     "hits": ["vectors"],
+    "doc_hits": ["doc_vectors"],
+    "asked_hits": ["vectors", "doc_vectors"],
     "epochs": ["points"],
     "dense": ["vectors", "weight"],
     "scored": ["cloze"],
@@ -239,10 +254,10 @@ ORACLE: dict[str, str] = {
         f"SELECT id, {listed('input_ids')} AS input_ids, {listed('attention_mask')} AS attention_mask FROM padded",
     ),
     "position_ids": steps(
-        ["padded"],
-        f"""SELECT id, {listed(f'range({BLOCK})')} AS plain, string_agg(CASE WHEN t = 1 THEN 1 ELSE n + 1 END, ' ' ORDER BY ix) AS after_padding
+        ["whole"],
+        f"""SELECT id, string_agg(ix - 1, ' ' ORDER BY ix) AS plain, string_agg(CASE WHEN t = 1 THEN 1 ELSE n + 1 END, ' ' ORDER BY ix) AS after_padding
         FROM (SELECT id, t, ix, sum((t <> 1)::int) OVER (PARTITION BY id ORDER BY ix)::bigint AS n
-          FROM (SELECT id, unnest(input_ids) AS t, generate_subscripts(input_ids, 1) AS ix FROM padded)) GROUP BY id""",
+          FROM (SELECT id, unnest(input_ids) AS t, generate_subscripts(input_ids, 1) AS ix FROM whole)) GROUP BY id""",
     ),
     "choice_expand": steps(
         ["choices"],
@@ -255,9 +270,9 @@ ORACLE: dict[str, str] = {
         FROM s GROUP BY id""",
     "letter_index": "SELECT item_id AS id, item_id % 5 AS label FROM benchmark",
     "flatten_masked": steps(
-        ["padded"],
+        ["whole"],
         """SELECT id, ix - 1 AS pos, t AS token_id
-        FROM (SELECT id, unnest(input_ids) AS t, unnest(attention_mask) AS m, generate_subscripts(input_ids, 1) AS ix FROM padded)
+        FROM (SELECT id, unnest(input_ids) AS t, unnest(attention_mask) AS m, generate_subscripts(input_ids, 1) AS ix FROM whole)
         WHERE m = 1""",
     ),
     "experiment_manifest": f"""
@@ -337,22 +352,22 @@ ORACLE: dict[str, str] = {
         ["dense"], f"SELECT id, string_agg({micro('y')}, ' ' ORDER BY j) AS embedding FROM dense GROUP BY id"
     ),
     "fetch_docs": steps(
-        ["hits", "corpus"],
-        """SELECT h.query_id, h.rank, h.raw_id, c.text FROM hits h LEFT JOIN corpus c ON h.raw_id = c.raw_id
+        ["asked_hits", "corpus"],
+        """SELECT h.query_id, h.rank, h.raw_id, c.text FROM asked_hits h LEFT JOIN corpus c ON h.raw_id = c.raw_id
         WHERE h.rank <= 3""",
     ),
     "retrieval_augment": steps(
-        ["hits", "corpus"],
+        ["doc_hits", "corpus"],
         """SELECT q.raw_id AS id,
           string_agg(array_to_string(string_split(c.text, '.')[1:3], ' '), '</s>' ORDER BY h.rank) || '</s>' || any_value(q.text) AS augmented
-        FROM corpus q JOIN hits h ON q.raw_id = h.query_id AND h.rank <= 2 JOIN corpus c ON h.raw_id = c.raw_id
+        FROM corpus q JOIN doc_hits h ON q.raw_id = h.query_id AND h.rank <= 2 JOIN corpus c ON h.raw_id = c.raw_id
         GROUP BY q.raw_id""",
     ),
     "retrieval_replay": steps(
-        ["hits", "corpus"],
+        ["doc_hits", "corpus"],
         f"""
         , items AS (SELECT h.query_id // {BATCH_ROWS} AS grp, h.query_id * 2 + h.rank - 1 AS item, h.raw_id,
-            len(regexp_extract_all(c.text, '{TOKEN}')) AS n_items FROM hits h JOIN corpus c ON h.raw_id = c.raw_id
+            len(regexp_extract_all(c.text, '{TOKEN}')) AS n_items FROM doc_hits h JOIN corpus c ON h.raw_id = c.raw_id
           WHERE h.rank <= 2 AND len(regexp_extract_all(c.text, '{TOKEN}')) > 0)
         {BATCH_CHAIN}
         SELECT p.grp AS bk, p.item, i.raw_id, p.n_items, p.batch_no FROM placed p JOIN items i ON p.item = i.item""",
@@ -391,9 +406,9 @@ ORACLE: dict[str, str] = {
         , draws AS (SELECT batch, block, ix, t, ('0x'||substr(d,1,8))::bigint AS a, ('0x'||substr(d,9,8))::bigint AS b,
             ('0x'||substr(d,17,8))::bigint AS c FROM digests)
         , fates AS (SELECT *, t NOT IN (0, 1, 2) AND a < {int(0.15 * 2**32)} AS chosen FROM draws)
-        SELECT batch, block, string_agg(CASE WHEN NOT chosen THEN t WHEN b < {int(0.8 * 2**32)} THEN {VOCABULARY}
-            WHEN b < {int(0.9 * 2**32)} THEN c % {VOCABULARY} ELSE t END, ' ' ORDER BY ix) AS masked_ids,
-          string_agg(CASE WHEN chosen THEN t ELSE -100 END, ' ' ORDER BY ix) AS labels FROM fates GROUP BY ALL""",
+        SELECT batch, block, string_agg(CASE WHEN NOT chosen THEN t WHEN b < {int(0.8 * 2**32)} THEN v
+            WHEN b < {int(0.9 * 2**32)} THEN c % v ELSE t END, ' ' ORDER BY ix) AS masked_ids,
+          string_agg(CASE WHEN chosen THEN t ELSE -100 END, ' ' ORDER BY ix) AS labels FROM fates, (SELECT count(*) + 4 AS v FROM vocab) GROUP BY batch, block""",
     ),
     "length_batches": steps(
         ["sized"],
@@ -412,7 +427,7 @@ ORACLE: dict[str, str] = {
     "pad_batch": steps(
         ["ids"],
         f"""
-        , cut AS (SELECT id, id // 4 AS grp, input_ids[1:{BLOCK}] AS a FROM ids)
+        , cut AS (SELECT id, id // 4 AS grp, input_ids AS a FROM ids)
         , wide AS (SELECT *, max(len(a)) OVER (PARTITION BY grp) AS width FROM cut)
         SELECT id, width, {listed('list_concat(a, list_transform(range(width - len(a)), lambda z: 0))')} AS input_ids,
           {listed('list_concat(list_transform(a, lambda z: 1), list_transform(range(width - len(a)), lambda z: 0))')} AS attention_mask
@@ -471,6 +486,14 @@ ORACLE: dict[str, str] = {
         f"""SELECT id, string_agg({micro('tanh(y)')}, ' ' ORDER BY j) AS tanh,
         string_agg({micro('greatest(y, 0)')}, ' ' ORDER BY j) AS relu FROM dense GROUP BY id""",
     ),
+    "dense_gelu": steps(
+        ["dense"],
+        f"""
+        , z AS (SELECT id, j, y, y / sqrt(2.0) AS x FROM dense)
+        , e AS (SELECT id, j, y, 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(0, 60),
+            lambda n: x * pow(4 * x * x, n) * gamma(n + 1) / gamma(2 * n + 2))) AS erf FROM z)
+        SELECT id, string_agg({micro('0.5 * y * (1 + erf)')}, ' ' ORDER BY j) AS gelu FROM e GROUP BY id""",
+    ),
     "gated_mixture": steps(
         ["gate_logits"],
         f"""SELECT id, {listed_micro('list_transform(range(1, 17), lambda i: p7[1] * e[i] + p7[2] * e[i + 16] + p7[3] * e[i + 32])')} AS mixed
@@ -505,6 +528,6 @@ ORACLE: dict[str, str] = {
     "stream_prepare": f"""
         SELECT doc_id AS id, array_to_string(string_split(text, '.')[1:3], ' ') AS snippet,
           dense_rank() OVER (ORDER BY lang) - 1 AS label_id,
-          array_to_string(regexp_extract_all(text, '{TOKEN}')[1:{BLOCK}], ' ') AS toks,
-          least({BLOCK}, len(regexp_extract_all(text, '{TOKEN}'))) AS n_items FROM documents""",
+          array_to_string(regexp_extract_all(text, '{TOKEN}'), ' ') AS toks,
+          len(regexp_extract_all(text, '{TOKEN}')) AS n_items FROM documents""",
 }

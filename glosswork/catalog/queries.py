@@ -12,6 +12,7 @@ from glosswork import sources as io
 from glosswork import streaming as live
 from glosswork.catalog import views as v
 from glosswork.functions import letter_index, snippet, tokens, whole_div
+from glosswork.operators.tokens import FIRST_WORD_ID
 from glosswork.plans import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,7 +20,6 @@ QUERIES: dict[str, Query] = {}
 
 BLOCK = 512
 BUDGET = 8192
-VOCABULARY = 5000
 SEED = 42
 
 
@@ -30,7 +30,16 @@ def query(run: Query) -> Query:
 
 def _text_ids(spark: SparkSession, folder: str, specials: bool = True) -> DataFrame:
     lists = v.token_lists(spark, folder)
-    return op.encode_ids(lists, op.build_vocab(lists, VOCABULARY), specials=specials).drop("toks")
+    return op.encode_ids(lists, op.build_vocab(lists), specials=specials).drop("toks")
+
+
+def _padded_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole lists with up to three places of padding."""
+    masked = op.truncate_pad(_text_ids(spark, folder), None)
+    room = lambda value: F.array_repeat(F.lit(value), (F.col("id") % 4).cast("int"))
+    return masked.withColumns(
+        {"input_ids": F.concat("input_ids", room(1)), "attention_mask": F.concat("attention_mask", room(0))}
+    )
 
 
 # Sources and sinks
@@ -158,7 +167,7 @@ def run_snippet(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def tokenize_offsets(spark: SparkSession, folder: str) -> DataFrame:
-    found = op.tokenize(v.busy_texts(spark, folder))
+    found = op.tokenize(v.texts(spark, folder))
     return found.select(
         "id",
         F.size("tokens").cast("bigint").alias("n_tokens"),
@@ -175,7 +184,7 @@ def encode_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def build_vocab(spark: SparkSession, folder: str) -> DataFrame:
-    found = op.build_vocab(v.token_lists(spark, folder), VOCABULARY)
+    found = op.build_vocab(v.token_lists(spark, folder))
     return found.select("token", "rows", F.col("token_id").cast("bigint").alias("token_id"))
 
 
@@ -189,7 +198,7 @@ def truncate_pad(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def position_ids(spark: SparkSession, folder: str) -> DataFrame:
-    padded = op.truncate_pad(_text_ids(spark, folder), BLOCK, pad_to_max=True)
+    padded = _padded_ids(spark, folder)
     counted = op.position_ids(padded, "range").withColumnRenamed("position_ids", "plain")
     both = op.position_ids(counted, "padding")
     return both.select(
@@ -217,7 +226,7 @@ def run_letter_index(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def flatten_masked(spark: SparkSession, folder: str) -> DataFrame:
-    padded = op.truncate_pad(_text_ids(spark, folder), BLOCK, pad_to_max=True)
+    padded = _padded_ids(spark, folder)
     return op.flatten_masked(padded).select(
         "id", F.col("pos").cast("bigint").alias("pos"), F.col("token_id").cast("bigint").alias("token_id")
     )
@@ -245,7 +254,7 @@ def encode_pair(spark: SparkSession, folder: str) -> DataFrame:
     rows = v.pairs(spark, folder).select(
         "id", tokens(F.col("sentence1")).alias("t1"), tokens(F.col("sentence2")).alias("t2")
     )
-    vocab = op.build_vocab(v.token_lists(spark, folder), VOCABULARY)
+    vocab = op.build_vocab(v.token_lists(spark, folder))
     one = op.encode_ids(rows, vocab, tokens="t1", name="ids1")
     both = op.encode_ids(one, vocab, tokens="t2", name="ids2")
     return op.encode_pair(both, "ids1", "ids2", 64).select("id", v.listed(F.col("input_ids")).alias("input_ids"))
@@ -371,22 +380,22 @@ def project_queries(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def fetch_docs(spark: SparkSession, folder: str) -> DataFrame:
-    hits = op.retrieve_topk(v.vectors(spark, folder, "id"), v.vectors(spark, folder, "raw_id"), 3)
+    hits = op.retrieve_topk(v.vectors(spark, folder, "id"), v.document_vectors(spark, folder, "raw_id"), 3)
     return op.fetch_docs(hits, v.corpus(spark, folder)).select("query_id", "rank", "raw_id", "text")
 
 
 @query
 def retrieval_augment(spark: SparkSession, folder: str) -> DataFrame:
     corpus = v.corpus(spark, folder)
-    hits = op.retrieve_topk(v.vectors(spark, folder, "id"), v.vectors(spark, folder, "raw_id"), 2)
+    hits = op.retrieve_topk(v.document_vectors(spark, folder, "id"), v.document_vectors(spark, folder, "raw_id"), 2)
     texts = corpus.select(F.col("raw_id").alias("id"), "text")
     return op.retrieval_augment(texts, hits, corpus).select("id", "augmented")
 
 
 @query
 def retrieval_replay(spark: SparkSession, folder: str) -> DataFrame:
-    domain = v.vectors(spark, folder, "id").withColumn("bk", whole_div(F.col("id"), v.BATCH_ROWS))
-    record = v.vectors(spark, folder, "raw_id")
+    domain = v.document_vectors(spark, folder, "id").withColumn("bk", whole_div(F.col("id"), v.BATCH_ROWS))
+    record = v.document_vectors(spark, folder, "raw_id")
     corpus = v.corpus(spark, folder).select("raw_id", tokens(F.col("text")).alias("input_ids"))
     found = op.retrieval_replay(domain, record, corpus, 2, BUDGET)
     return found.withColumn("n_items", F.col("n_items").cast("bigint"))
@@ -402,7 +411,7 @@ def span_match(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def embed_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    found = op.embed_corpus(v.busy_texts(spark, folder).withColumnRenamed("id", "raw_id"))
+    found = op.embed_corpus(v.texts(spark, folder).withColumnRenamed("id", "raw_id"))
     return found.select("raw_id", v.listed_micro(F.col("embedding")).alias("embedding"))
 
 
@@ -433,8 +442,10 @@ def pack_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def mlm_mask(spark: SparkSession, folder: str) -> DataFrame:
-    packed = op.pack_blocks(_text_ids(spark, folder), BLOCK, "bk")
-    masked = op.mlm_mask(packed, SEED, VOCABULARY)
+    lists = v.token_lists(spark, folder)
+    vocab = op.build_vocab(lists)
+    packed = op.pack_blocks(op.encode_ids(lists, vocab, specials=True).drop("toks"), BLOCK, "bk")
+    masked = op.mlm_mask(packed, SEED, FIRST_WORD_ID + vocab.count())
     return masked.select(
         "batch",
         "block",
@@ -461,7 +472,7 @@ def length_batch_first(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def pad_batch(spark: SparkSession, folder: str) -> DataFrame:
-    ids = op.truncate_pad(_text_ids(spark, folder), BLOCK).withColumn("bk", whole_div(F.col("id"), 4))
+    ids = op.truncate_pad(_text_ids(spark, folder), None).withColumn("bk", whole_div(F.col("id"), 4))
     padded = op.pad_batch(ids, ["bk"], ["input_ids", "attention_mask"])
     return padded.select(
         "id",
@@ -580,6 +591,13 @@ def dense_layer(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("id", v.listed_micro(F.col("tanh")).alias("tanh"), v.listed_micro(F.col("relu")).alias("relu"))
 
 
+@query
+def dense_gelu(spark: SparkSession, folder: str) -> DataFrame:
+    weight, bias = v.hash_weights(64, v.OUT_DIMS)
+    rows = op.dense_layer(v.vectors(spark, folder, "id"), weight, bias, "gelu", name="gelu")
+    return rows.select("id", v.listed_micro(F.col("gelu")).alias("gelu"))
+
+
 @query
 def gated_mixture(spark: SparkSession, folder: str) -> DataFrame:
     mixed = op.gated_mixture(v.experts(spark, folder), v.gate_logits(spark, folder))
@@ -644,7 +662,7 @@ def stream_prepare(spark: SparkSession, folder: str) -> DataFrame:
         stream,
         [
             lambda df: op.tokenize_plain(df, "text", "input_ids"),
-            lambda df: op.truncate_pad(df, BLOCK),
+            lambda df: op.truncate_pad(df, None),
             lambda df: op.apply_label_index(df, index, "lang", "doc_id"),
             lambda df: df.withColumn("snippet", snippet(F.col("text"))),
         ],

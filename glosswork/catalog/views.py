@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosswork.functions import draw, join_words, softmax, tokens, whole_div, words
-from glosswork.plans import dealt
 
 BATCH_ROWS = 100
 CLASSES = 10
@@ -38,14 +37,9 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
 
 
-def busy_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """The same for queries that spend long on each text."""
-    return dealt(texts(spark, folder), "id")
-
-
 def knowledge(spark: SparkSession, folder: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every document's words with the third and seventh turned into slots."""
-    cut = busy_texts(spark, folder).select("id", words(F.col("text")).alias("w"), *keep)
+    cut = texts(spark, folder).select("id", words(F.col("text")).alias("w"), *keep)
     slotted = F.transform("w", lambda x, i: F.when(i == 2, "{}").when(i == 6, "{},").otherwise(x))
     return cut.select(
         "id",
@@ -57,7 +51,7 @@ def knowledge(spark: SparkSession, folder: str, keep: tuple[str, ...] = ()) -> D
 
 def knowledge_mixed(spark: SparkSession, folder: str) -> DataFrame:
     """The same, every fifth prompt being plain text without targets."""
-    cut = busy_texts(spark, folder).select("id", words(F.col("text")).alias("w"))
+    cut = texts(spark, folder).select("id", words(F.col("text")).alias("w"))
     plain = (F.col("id") % 5 == 0) | (F.size("w") < 7)
     slotted = F.transform("w", lambda x, i: F.when(i == 2, "{}").when(i == 6, "{},").otherwise(x))
     return cut.select(
@@ -125,7 +119,7 @@ def choice_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_lists(spark: SparkSession, folder: str) -> DataFrame:
-    return busy_texts(spark, folder).select(
+    return texts(spark, folder).select(
         "id", tokens(F.col("text")).alias("toks"), whole_div(F.col("id"), BATCH_ROWS).alias("bk")
     )
 
@@ -137,13 +131,19 @@ def vectors(spark: SparkSession, folder: str, key: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """A document for every vector; ids wrap round when there are more vectors."""
-    documents = table(spark, folder, "documents").select("doc_id", "text")
-    count = documents.count()
-    ids = table(spark, folder, "embeddings").select(
-        F.col("vec_id").alias("raw_id"), (F.col("vec_id") % count).alias("doc_id")
+    """Every document."""
+    return table(spark, folder, "documents").select(F.col("doc_id").alias("raw_id"), "text")
+
+
+def document_vectors(spark: SparkSession, folder: str, key: str) -> DataFrame:
+    """A vector for every document: the stored ones in turn, an eighth longer each time round."""
+    stored = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    count = stored.count()
+    turns = table(spark, folder, "documents").select(
+        F.col("doc_id").alias(key), (F.col("doc_id") % count).alias("vec_id"), whole_div(F.col("doc_id"), count).alias("turn")
     )
-    return ids.join(documents, "doc_id").select("raw_id", "text")
+    scaled = F.transform("v", lambda x: x * (1 + F.col("turn") / 8))
+    return turns.join(stored, "vec_id").select(key, scaled.alias("embedding"))
 
 
 def logits(spark: SparkSession, folder: str) -> DataFrame:

@@ -29,7 +29,7 @@ _OFFSET_BITS = 33  # monotonically_increasing_id keeps the partition number abov
 def dense_row_id(
     df: DataFrame, order: Sequence[str], name: str = "row_id", rows_per_bucket: int = BUCKET_ROWS
 ) -> DataFrame:
-    """Consecutive ids from 0 in the order of the given columns, which must identify a row.
+    """Consecutive ids from 0 in the order of the given columns, which must identify a row; a repeated key is an error.
 
     No task ever ranks the whole input. A whole-number key that already has no
     gaps is only shifted, without a shuffle. Another numeric key is cut at its
@@ -39,12 +39,14 @@ def dense_row_id(
     order = list(order)
     if len(order) == 1 and (kind := numeric_type(df, order[0])):
         key = order[0]
-        low, high, rows, nulls = df.agg(
-            F.min(key), F.max(key), F.count(F.lit(1)), F.count_if(F.col(key).isNull())
+        low, high, rows, nulls, distinct = df.agg(
+            F.min(key), F.max(key), F.count(F.lit(1)), F.count_if(F.col(key).isNull()), F.count_distinct(key)
         ).first()
         whole = isinstance(df.schema[key].dataType, T.IntegralType)
         if rows == 0:
             return df.withColumn(name, F.lit(0).cast("bigint"))
+        if nulls > 1 or distinct + nulls < rows:
+            raise ValueError(f"{key} does not identify a row")
         if whole and nulls == 0 and high - low + 1 == rows:
             return df.withColumn(name, F.col(key).cast("bigint") - F.lit(low).cast("bigint"))
         bounds = quantile_bounds(df, key, rows_per_bucket)
@@ -62,6 +64,8 @@ def _range_sorted_id(df: DataFrame, order: list[str], name: str, rows_per_bucket
         .withColumn("_at", F.monotonically_increasing_id()),
         "sorted-keys",
     )
+    if keys.groupBy(*order).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(1).count():
+        raise ValueError(f"{', '.join(order)} do not identify a row")
     keys = keys.withColumn("_range", F.shiftright(at, _OFFSET_BITS))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (

@@ -107,13 +107,14 @@ def kshot_early_stop(
 
 
 def label_index_first_seen(splits: Sequence[DataFrame], label: str = "label", key: str = "id") -> DataFrame:
-    """Ids in order of first appearance over all splits in turn: ``label, rows, label_id``."""
+    """Ids in order of first appearance over all splits in turn: ``label, rows, label_id``. NULL is no label."""
     seen = None
     for number, split in enumerate(splits):
         part = split.select(F.lit(number).alias("split_no"), F.col(key).alias("_key"), F.col(label).alias(label))
         seen = part if seen is None else seen.unionByName(part)
     firsts = (
-        seen.groupBy(label)
+        seen.where(F.col(label).isNotNull())
+        .groupBy(label)
         .agg(F.min(F.struct("split_no", "_key")).alias("first"), F.count(F.lit(1)).alias("rows"))
         .select(label, "rows", F.col("first.split_no").alias("split_no"), F.col("first._key").alias("_key"))
     )
@@ -121,8 +122,8 @@ def label_index_first_seen(splits: Sequence[DataFrame], label: str = "label", ke
 
 
 def label_index_sorted(df: DataFrame, label: str = "label") -> DataFrame:
-    """Ids in sorted order of the distinct labels: ``label, rows, label_id``."""
-    names = df.groupBy(label).agg(F.count(F.lit(1)).alias("rows"))
+    """Ids in sorted order of the distinct labels: ``label, rows, label_id``. NULL is no label."""
+    names = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("rows"))
     return number_rows(names, [label], "label_id")
 
 
@@ -139,7 +140,7 @@ def apply_label_index(
     mapping = index.select(label, "rows", "label_id")
     mapped = attach(df, mapping, [label], [key], max_rows=max_rows, hot_rows=hot_rows)
     if unseen == "error":
-        problem = F.raise_error(F.concat(F.lit("unseen label: "), F.col(label).cast("string")))
+        problem = F.raise_error(F.concat(F.lit("unseen label: "), F.coalesce(F.col(label).cast("string"), F.lit("NULL"))))
         mapped = mapped.withColumn("label_id", F.coalesce(F.col("label_id"), problem.cast("bigint")))
     return mapped
 

@@ -15,12 +15,13 @@ from glosswork.plans.spread import (
     hot_lookup,
     numeric_type,
     quantile_bounds,
+    written,
 )
 
 
 def accuracy(df: DataFrame, group: Sequence[str] = (), pred: str = "pred", label: str = "label") -> DataFrame:
-    """Share of right predictions."""
-    right = (F.col(pred) == F.col(label)).cast("double")
+    """Share of right predictions; a missing prediction or label is wrong."""
+    right = F.coalesce((F.col(pred) == F.col(label)).cast("double"), F.lit(0.0))
     return df.groupBy(*group).agg(F.avg(right).alias("accuracy"), F.count(F.lit(1)).alias("rows"))
 
 
@@ -160,6 +161,8 @@ def spearman(
     ).where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
     total = df.count()
     pairs = both.groupBy("_g", "_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
+    if total > rows_per_bucket:  # the quantiles of both columns would count the pairs again
+        pairs = written(pairs, "pairs")
     ranked = pairs
     for column, rank in (("_x", "_rx"), ("_y", "_ry")):
         ranks = average_ranks(pairs, column, ["_g"], rank, rows_per_bucket, "_n", total)
@@ -182,9 +185,9 @@ def spearman(
 def _cloze_examples(df: DataFrame, key: str) -> DataFrame:
     """Per example: are all masked positions right, and the mean log-probability there.
 
-    A right id of 0 is left out of the log-probabilities.
+    A right id of 0 is left out of the log-probabilities; a missing prediction is wrong.
     """
-    right = ~F.col("masked") | (F.col("pred_id") == F.col("correct_id"))
+    right = ~F.col("masked") | F.coalesce(F.col("pred_id") == F.col("correct_id"), F.lit(False))
     counted = F.when(F.col("masked") & (F.col("correct_id") != 0), F.col("logp"))
     return df.groupBy(key).agg(F.bool_and(right).alias("right"), F.avg(counted).alias("logp"))
 

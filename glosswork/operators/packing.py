@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from glosswork.functions.arrays import pad_to, whole_div
-from glosswork.plans.spread import BUCKET_ROWS, rank_in_groups
+from glosswork.plans.spread import BUCKET_ROWS, rank_in_groups, sum_in_groups
+
+BLOCK_ROWS = 20_000  # rows with their token lists that one task should order
 
 
 def pack_blocks(
-    df: DataFrame, length: int, batch: str = "batch", key: str = "id", items: str = "input_ids"
+    df: DataFrame,
+    length: int,
+    batch: str = "batch",
+    key: str = "id",
+    items: str = "input_ids",
+    rows_per_bucket: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Join the lists of each batch in key order and cut them into blocks of ``length``.
 
@@ -23,16 +32,16 @@ def pack_blocks(
 
     Lists travel as slices, one per block they reach into, never as single
     elements. Only running sizes need the order of a batch, and every block
-    gathers at most ``length`` elements. Both steps use the same partitioning,
-    so the rows are shuffled once.
+    gathers at most ``length`` elements. A batch of many rows is summed in slices
+    of its keys, the sums of earlier slices being added.
     """
-    before = Window.partitionBy("batch").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
-    placed = df.select(
+    sized = df.select(
         F.col(batch).alias("batch"),
         F.col(key).alias("_key"),
         F.col(items).alias("_items"),
         F.size(items).cast("bigint").alias("_n"),
-    ).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    )
+    placed = sum_in_groups(sized, ["batch"], "_key", "_n", "_start", rows_per_bucket)
     first, last = F.col("_start"), F.col("_start") + F.col("_n") - 1
     blocks = F.sequence(whole_div(first, length), whole_div(last, length))
     cut_from = F.greatest(F.col("block") * length - first, F.lit(0))
@@ -49,10 +58,12 @@ def pack_blocks(
     return packed.where((F.size(items) == length) | (F.col("block") == 0))
 
 
-STARTS = "array<struct<n_items:int,begin:bigint,first:bigint,batch_rows:bigint,batches_before:bigint>>"
+STARTS = T.ArrayType(
+    T.StructType([T.StructField("n_items", T.IntegerType()), *[T.StructField(n, T.LongType()) for n in ("begin", "first", "batch_rows", "batches_before")]])
+)
 
 
-def _batch_starts(histogram: Column, budget: int) -> Column:
+def _batch_starts(budget: int) -> Callable[[Column], Column]:
     """Where batches begin among the distinct lengths of a group, given longest first.
 
     A batch takes ``max(1, budget // width)`` rows, width being its first and
@@ -61,31 +72,24 @@ def _batch_starts(histogram: Column, budget: int) -> Column:
     how many rows its batches take and how many batches came before.
     """
 
-    def step(seen: Column, length: Column) -> Column:
-        begin, stop = seen["end"], seen["end"] + length["rows"]
-        size = F.greatest(F.lit(1), F.call_function("div", F.lit(budget), length["n_items"])).cast("bigint")
-        first = F.greatest(seen["opened"], begin)
-        more = F.when(first < stop, F.call_function("div", stop - first + size - 1, size)).otherwise(F.lit(0))
-        more = more.cast("bigint")
-        note = F.struct(
-            length["n_items"].alias("n_items"),
-            begin.alias("begin"),
-            first.alias("first"),
-            size.alias("batch_rows"),
-            seen["batches"].alias("batches_before"),
-        )
-        return F.struct(
-            stop.alias("end"),
-            (first + more * size).alias("opened"),
-            (seen["batches"] + more).alias("batches"),
-            F.concat(seen["notes"], F.array(note)).alias("notes"),
-        )
-
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(
-        zero.alias("end"), zero.alias("opened"), zero.alias("batches"), F.array().cast(STARTS).alias("notes")
-    )
-    return F.aggregate(histogram, start, step, lambda seen: seen["notes"])
+    @F.arrow_udf(STARTS)
+    def starts(histograms: pa.Array) -> pa.Array:
+        out = []
+        for lengths in histograms.to_pylist():
+            end = opened = batches = 0
+            notes = []
+            for length in lengths:
+                begin, end = end, end + length["rows"]
+                size = max(1, budget // length["n_items"])
+                first = max(opened, begin)
+                more = -(-(end - first) // size) if first < end else 0
+                notes.append((length["n_items"], begin, first, size, batches))
+                opened, batches = first + more * size, batches + more
+            out.append([dict(zip(("n_items", "begin", "first", "batch_rows", "batches_before"), n)) for n in notes])
+        kind = pa.struct([("n_items", pa.int32()), *[(n, pa.int64()) for n in ("begin", "first", "batch_rows", "batches_before")]])
+        return pa.array(out, pa.list_(kind))
+
+    return starts
 
 
 def _sized(df: DataFrame, items: str) -> DataFrame:
@@ -98,7 +102,7 @@ def _starts(sized: DataFrame, group: str, budget: int) -> DataFrame:
     histogram = sized.groupBy(group, "n_items").agg(F.count(F.lit(1)).alias("rows"))
     lengths = F.sort_array(F.collect_list(F.when(F.col("n_items") > 0, F.struct("n_items", "rows"))), asc=False)
     listed = histogram.groupBy(group).agg(lengths.alias("_lengths"))
-    return listed.select(group, F.explode(_batch_starts(F.col("_lengths"), budget)).alias("s")).select(group, "s.*")
+    return listed.select(group, F.explode(_batch_starts(budget)(F.col("_lengths"))).alias("s")).select(group, "s.*")
 
 
 def length_batches(
@@ -158,8 +162,7 @@ def pad_batch(df: DataFrame, batch: Sequence[str], lists: Sequence[str], pad: in
     """Pad the list columns to the longest of their batch; rows without items are dropped."""
     batch = list(batch)
     kept = df.where(F.size(lists[0]) > 0)
-    widths = kept.groupBy(*batch).agg(F.max(F.size(lists[0])).alias("width"))
-    wide = kept.join(widths, batch)
+    wide = kept.withColumn("width", F.max(F.size(lists[0])).over(Window.partitionBy(*batch)))
     for name in lists:
         wide = wide.withColumn(name, pad_to(F.col(name), F.col("width"), F.lit(pad)))
     return wide

@@ -36,8 +36,8 @@ def project_pairs(
 ) -> DataFrame:
     """``text1, text2, labels`` and nothing else but the ``keep`` columns.
 
-    ``label_map`` (``label, label_id`` and, when it may be large, ``rows``)
-    replaces the labels by ids.
+    ``label_map`` (``label, label_id``) replaces the labels by ids. How many
+    rows a label has is counted here unless the map's ``rows`` tells.
     """
     plain = df.drop(*keep)
     first, second = resolve_text_columns(plain, task)
@@ -48,6 +48,8 @@ def project_pairs(
         return df.select(*keep, *columns)
     if label_map is None:
         return df.select(*keep, *columns, F.col("label").alias("labels"))
-    mapping = label_map if "rows" in label_map.columns else label_map.withColumn("rows", F.lit(0))
+    mapping = label_map
+    if "rows" not in label_map.columns:
+        mapping = label_map.join(df.groupBy("label").agg(F.count(F.lit(1)).alias("rows")), "label")
     mapped = attach(df, mapping.select("label", "rows", "label_id"), ["label"], [first])
     return mapped.select(*keep, *columns, F.col("label_id").alias("labels"))

@@ -8,19 +8,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glosswork.functions.arrays import flattened, sum_squares
 from glosswork.functions.draws import draw
 from glosswork.functions.text import snippet
 from glosswork.functions.text import tokens as token_list
 from glosswork.operators.packing import length_batches
-from glosswork.plans.spread import HOT_ROWS, hot_lookup
+from glosswork.plans.spread import HOT_ROWS, hot_lookup, written
 
 QUERY_BYTES = 64 << 20  # queries up to this size are sent to every task
-RECORD_BYTES = 128 << 20  # a block of the record, where blocks are needed
+SCAN_TASKS = 4  # tasks for each core that scan the record: each gives out k hits for every query
 SCORE_CELLS = 4 << 20  # scores held at once
 SCORE_DIGITS = 9  # scores closer than this rank as equal, whatever the block shapes
 HITS = "query_id bigint, raw_id bigint, score double"
@@ -83,15 +82,15 @@ def retrieve_topk(
     vector: str = "embedding",
     query_bytes: int = QUERY_BYTES,
     query_block: int | None = None,
-    record_block: int | None = None,
 ) -> DataFrame:
     """The ``k`` stored vectors with the largest inner product: ``query_id, rank, raw_id, score``.
 
     Exact. Pairs are scored as matrix products inside tasks and only each task's
     own best ``k`` per query leave it, so the pairs themselves never become
     rows. Queries that measure at most ``query_bytes`` are sent to every task
-    and the record is read once. More queries are met block by block with the
-    record, both in blocks of bounded size. Ties go to the lower id.
+    and the record is read once; more queries go in blocks of that size, with one
+    scan of the record each. The scan has a few tasks for each core, since every
+    task gives out hits for every query. Ties go to the lower id.
     """
     queries = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(vector).alias("v"))
     record = record.select(F.col(raw_id).cast("bigint").alias("raw_id"), F.col(vector).alias("v"))
@@ -99,15 +98,8 @@ def retrieve_topk(
     if rows * width * 8 <= query_bytes:
         found = _scan_with_queries(queries, record, k)
     else:
-        query_block = query_block or max(1, QUERY_BYTES // (8 * width))
-        record_block = record_block or max(1, RECORD_BYTES // (8 * width))
-        found = _block_by_block(queries, record, k, rows, query_block, record_block)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "raw_id")
-    return (
-        found.withColumn("rank", F.row_number().over(best).cast("bigint"))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "raw_id", "score")
-    )
+        return _block_by_block(queries, record, k, rows, query_block or max(1, query_bytes // (8 * width)))
+    return _best(found, k)
 
 
 def _scan_with_queries(queries: DataFrame, record: DataFrame, k: int) -> DataFrame:
@@ -123,27 +115,29 @@ def _scan_with_queries(queries: DataFrame, record: DataFrame, k: int) -> DataFra
         if held is not None:
             yield _hits(query_ids, held)
 
-    return record.mapInArrow(scan, HITS)
+    tasks = SCAN_TASKS * record.sparkSession.sparkContext.defaultParallelism
+    return record.coalesce(tasks).mapInArrow(scan, HITS)
 
 
-def _block_by_block(
-    queries: DataFrame, record: DataFrame, k: int, query_rows: int, query_block: int, record_block: int
-) -> DataFrame:
-    query_blocks = math.ceil(query_rows / query_block)
-    record_blocks = max(1, math.ceil(record.count() / record_block))
-    at = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("qb", at("query_id", query_blocks)).withColumn("rb", every(record_blocks))
-    right = record.withColumn("rb", at("raw_id", record_blocks)).withColumn("qb", every(query_blocks))
+def _block_by_block(queries: DataFrame, record: DataFrame, k: int, query_rows: int, query_block: int) -> DataFrame:
+    """One scan of the record for each block of queries; of the record nothing is shuffled."""
+    blocks = math.ceil(query_rows / query_block)
+    dealt = written(queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "queries")
+    found = None
+    for block in range(blocks):
+        part = dealt.where(F.col("block") == block).drop("block")
+        hits = written(_best(_scan_with_queries(part, record, k), k), "hits")
+        found = hits if found is None else found.union(hits)
+    return found
 
-    def score(asked: pa.Table, stored: pa.Table) -> pa.Table:
-        if not (asked.num_rows and stored.num_rows):
-            none = (np.zeros((0, k)), np.zeros((0, k), np.int64))
-            return pa.Table.from_batches([_hits(np.zeros(0, np.int64), none)])
-        held = _score(_matrix(asked["v"]), _matrix(stored["v"]), stored["raw_id"].to_numpy(), k)
-        return pa.Table.from_batches([_hits(asked["query_id"].to_numpy(), held)])
 
-    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(score, HITS)
+def _best(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "raw_id")
+    return (
+        found.withColumn("rank", F.row_number().over(best).cast("bigint"))
+        .where(F.col("rank") <= k)
+        .select("query_id", "rank", "raw_id", "score")
+    )
 
 
 def fetch_docs(
@@ -156,8 +150,10 @@ def fetch_docs(
     """Add the documents of retrieved ids, keeping ranks and repeats.
 
     A document that very many queries retrieve is copied to many tasks. Only
-    documents that were retrieved at all leave the corpus scan.
+    documents that were retrieved at all leave the corpus scan. Hits are written,
+    as they are counted first.
     """
+    hits = written(hits, "hits")
     counts = hits.groupBy(raw_id).agg(F.count(F.lit(1)).alias("rows"))
     wanted = corpus.join(counts, raw_id)
     return hot_lookup(hits, wanted, [raw_id], list(by), how="left", hot_rows=hot_rows, counts=counts)
@@ -199,22 +195,23 @@ def retrieval_replay(
 def hashed_embedding(df: DataFrame, dims: int, seed: int = 0, key: str = "raw_id", text: str = "text") -> DataFrame:
     """Feature-hashed token counts scaled to unit length: ``key, embedding``.
 
-    Tokens are counted per hash bucket on the map side; a document then sends at
-    most ``dims`` small rows. A text without tokens gives zeros.
+    All of it happens inside the row: tokens become bucket numbers, and an Arrow
+    batch of them is counted at once. A text without tokens gives zeros.
     """
-    # The outer form keeps such a text, with a NULL bucket.
-    flat = df.select(key, F.explode_outer(token_list(F.col(text))).alias("token"))
-    buckets = flat.groupBy(key, (draw(seed, F.col("token")) % dims).cast("int").alias("bucket")).agg(
-        F.count("token").cast("double").alias("n")
-    )
-    found = F.when(F.col("n") > 0, F.struct("bucket", "n"))
-    lists = buckets.groupBy(key).agg(F.map_from_entries(F.collect_list(found)).alias("m"))
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0))
-    )
-    counted = lists.select(key, dense.alias("counts"), F.sqrt(sum_squares(F.map_values("m"))).alias("length"))
-    scaled = F.transform("counts", lambda x: F.coalesce(F.try_divide(x, F.col("length")), F.lit(0.0)))
-    return counted.select(key, scaled.alias("embedding"))
+    buckets = F.transform(token_list(F.col(text)), lambda t: (draw(seed, t) % dims).cast("int"))
+
+    @F.arrow_udf("array<double>")
+    def counted(lists: pa.Array) -> pa.Array:
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(len(lists)), sizes)
+        cells = rows * dims + lists.flatten().to_numpy(zero_copy_only=False)
+        counts = np.bincount(cells, minlength=len(lists) * dims).astype(np.float64).reshape(len(lists), dims)
+        length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        scaled = np.divide(counts, length, out=np.zeros_like(counts), where=length > 0)
+        offsets = pa.array(np.arange(len(lists) + 1) * dims, pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(scaled.ravel()))
+
+    return df.select(key, counted(buckets).alias("embedding"))
 
 
 def embed_corpus(
@@ -244,8 +241,18 @@ def embed_corpus(
     return df.select(key, text).mapInPandas(run, f"{key} {kind}, embedding array<double>")
 
 
+def erf(x: np.ndarray) -> np.ndarray:
+    """The error function by its series of like-signed terms; beyond 6 it is 1 to the last digit."""
+    near = np.clip(x, -6.0, 6.0)
+    term, total = near.copy(), near.copy()
+    for n in range(1, 160):
+        term = term * (2.0 * near * near / (2 * n + 1))
+        total = total + term
+    return 2.0 / math.sqrt(math.pi) * np.exp(-near * near) * total
+
+
 def gelu(x: np.ndarray) -> np.ndarray:
-    return 0.5 * x * (1.0 + np.frompyfunc(math.erf, 1, 1)(x / math.sqrt(2.0)).astype(np.float64))
+    return 0.5 * x * (1.0 + erf(x / math.sqrt(2.0)))
 
 
 ACTIVATIONS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
@@ -254,7 +261,7 @@ ACTIVATIONS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "tanh": np.tanh,
     "gelu": gelu,
 }
-MATRIX_BYTES = 256 << 20
+MATRIX_BYTES = 256 << 20  # columns of weights that are sent to every task at a time
 
 
 def dense_layer(
@@ -264,26 +271,31 @@ def dense_layer(
     activation: str = "identity",
     vector: str = "embedding",
     name: str = "output",
+    matrix_bytes: int = MATRIX_BYTES,
 ) -> DataFrame:
     """Add ``activation(x W + b)`` for a vector column, one matrix product per Arrow batch.
 
-    The weights are a model parameter, not data: they are checked against
-    ``MATRIX_BYTES`` and sent to every task.
+    The weights are a model parameter, not data, and are sent to every task; more
+    than ``matrix_bytes`` of them in blocks of columns, whose outputs are joined.
     """
     weight, bias = np.asarray(weight, dtype=np.float64), np.asarray(bias, dtype=np.float64)
-    if weight.nbytes > MATRIX_BYTES:
-        raise ValueError("the weight matrix is too large to send to every task")
     act = ACTIVATIONS[activation]
-    shared = df.sparkSession.sparkContext.broadcast((weight, bias))
+    wide = max(1, matrix_bytes // max(1, 8 * weight.shape[0]))
 
-    @F.arrow_udf("array<double>")
-    def layer(lists: pa.Array) -> pa.Array:
-        w, b = shared.value
-        out = act(_matrix(lists).reshape(-1, w.shape[0]) @ w + b)
-        offsets = pa.array(np.arange(len(lists) + 1) * w.shape[1], pa.int32())
-        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
+    def block(start: int) -> Column:
+        shared = df.sparkSession.sparkContext.broadcast((weight[:, start : start + wide], bias[start : start + wide]))
+
+        @F.arrow_udf("array<double>")
+        def layer(lists: pa.Array) -> pa.Array:
+            w, b = shared.value
+            out = act(_matrix(lists).reshape(-1, w.shape[0]) @ w + b)
+            offsets = pa.array(np.arange(len(lists) + 1) * w.shape[1], pa.int32())
+            return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
+
+        return layer(F.col(vector))
 
-    return df.withColumn(name, layer(F.col(vector)))
+    blocks = [block(start) for start in range(0, max(1, weight.shape[1]), wide)]
+    return df.withColumn(name, blocks[0] if len(blocks) == 1 else F.concat(*blocks))
 
 
 def project_queries(queries: DataFrame, weight: np.ndarray, bias: np.ndarray, vector: str = "embedding") -> DataFrame:

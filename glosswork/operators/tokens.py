@@ -9,13 +9,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from glosswork.functions.arrays import flattened, let, pad_to, running_total
 from glosswork.functions.draws import digest_below, draw_slice
 from glosswork.functions.text import token_pieces
 from glosswork.functions.text import tokens as token_list
-from glosswork.plans.spread import bounded, hot_lookup
+from glosswork.operators.ids import dense_row_id
+from glosswork.plans.spread import bounded, hot_lookup, written
 
 # Ids of the special tokens, the mask mark, and the label that losses ignore.
 BOS, PAD, EOS, UNK = 0, 1, 2, 3
@@ -57,16 +57,20 @@ def tokenize_plain(df: DataFrame, text: str = "text", name: str = "toks") -> Dat
     return df.withColumn(name, token_list(F.col(text)))
 
 
-def build_vocab(df: DataFrame, max_size: int, tokens: str = "toks") -> DataFrame:
-    """The most frequent tokens, ties in token order: ``token, rows, token_id``.
+def build_vocab(df: DataFrame, max_size: int | None = None, tokens: str = "toks") -> DataFrame:
+    """All tokens, the most frequent first and ties in token order: ``token, rows, token_id``.
 
-    ``max_size`` counts the four special ids. Counting combines on the map side,
-    so a token that makes up a third of the corpus costs one row per task.
+    ``max_size`` keeps only so many, the four special ids counted. Counting
+    combines on the map side, so a token that makes up a third of the corpus
+    costs one row per task. The table is written: it is read many times, and the
+    corpus is not tokenized again for each.
     """
     counts = flattened(df, [], tokens, "token").groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
-    top = counts.orderBy(F.desc("rows"), "token").limit(max_size - FIRST_WORD_ID)
-    rank = F.row_number().over(Window.orderBy(F.desc("rows"), "token"))
-    return top.withColumn("token_id", (rank + FIRST_WORD_ID - 1).cast("int"))
+    counted = written(counts.withColumn("_less", -F.col("rows")), "token-counts")
+    ranked = dense_row_id(counted, ["_less", "token"], "_place")
+    if max_size is not None:
+        ranked = ranked.where(F.col("_place") < max_size - FIRST_WORD_ID)
+    return written(ranked.select("token", "rows", (F.col("_place") + FIRST_WORD_ID).cast("int").alias("token_id")), "vocabulary")
 
 
 def encode_ids(
@@ -124,9 +128,11 @@ def _encode_by_join(df: DataFrame, vocab: DataFrame, key: str, tokens: str, name
 
 
 def truncate_pad(
-    df: DataFrame, max_length: int, pad_to_max: bool = False, ids: str = "input_ids", pad: int = PAD
+    df: DataFrame, max_length: int | None, pad_to_max: bool = False, ids: str = "input_ids", pad: int = PAD
 ) -> DataFrame:
-    """Cut to ``max_length``, pad up to it when asked, and add the attention mask."""
+    """Cut to ``max_length`` (None: no cut), pad up to it when asked, and add the attention mask."""
+    if max_length is None:
+        return df.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size(ids)))
     cut = df.withColumn(ids, F.slice(ids, 1, max_length))
     kept = F.array_repeat(F.lit(1), F.size(ids))
     if not pad_to_max:

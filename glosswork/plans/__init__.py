@@ -4,12 +4,12 @@ from glosswork.plans.spread import (
     attach,
     bounded,
     bucket_of,
-    dealt,
     hot_lookup,
     quantile_bounds,
     rank_in_buckets,
     rank_in_groups,
     scratch_folder,
+    sum_in_groups,
     written,
 )
 
@@ -17,11 +17,11 @@ __all__ = [
     "attach",
     "bounded",
     "bucket_of",
-    "dealt",
     "hot_lookup",
     "quantile_bounds",
     "rank_in_buckets",
     "rank_in_groups",
     "scratch_folder",
+    "sum_in_groups",
     "written",
 ]

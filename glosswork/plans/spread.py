@@ -14,9 +14,9 @@ from pyspark.sql.window import Window
 
 BUCKET_ROWS = 1_000_000  # rows one task should rank
 SMALL_ROWS = 100_000  # rows a side may have to be sent to every executor
+SMALL_BYTES = 64 << 20  # and bytes
 HOT_ROWS = 1_000_000  # rows of one key from which its rows are split
 HOT_SPLITS = 64  # parts a hot key is split into
-MAX_BUCKETS = 10_000
 
 
 def scratch_folder(spark: SparkSession, label: str) -> str:
@@ -34,17 +34,6 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/glosswork-{label}-{uuid.uuid4().hex}"
 
 
-def dealt(df: DataFrame, key: str, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """A small table spread over all cores by key, before work that is slow per row.
-
-    A file with one row group is read by one task however many cores there are.
-    A table of more than ``max_rows`` rows has row groups enough and stays as it
-    was read, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.count() <= max_rows else df
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write the frame to the shared folder and read it back.
 
@@ -56,18 +45,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None:
-    """The frame as a local table when it has at most ``max_rows`` rows, else None.
+def bounded(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> DataFrame | None:
+    """The frame as a local table when it has at most ``max_rows`` rows and ``max_bytes`` bytes, else None.
 
-    At most ``max_rows + 1`` rows ever reach the driver, so a join with the
-    result may broadcast it: its size is known.
+    Rows up to one more than the bound are written and measured there; only what
+    has proved small reaches the driver, so a join with the result may broadcast it.
     """
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
+    kept = written(df.limit(max_rows + 1), "bounded")
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    rows, size = kept.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    if rows > max_rows or size > max_bytes:
         return None
-    if table.num_rows == 0:
+    if rows == 0:
         return df.sparkSession.createDataFrame([], df.schema)
-    return df.sparkSession.createDataFrame(table, schema=df.schema)
+    return df.sparkSession.createDataFrame(kept.toArrow(), schema=df.schema)
 
 
 def quantile_bounds(
@@ -75,7 +66,7 @@ def quantile_bounds(
 ) -> list:
     """Values that cut a numeric column into about equal parts of ``rows_per_bucket`` rows."""
     rows = df.count() if rows is None else rows
-    buckets = min(MAX_BUCKETS, math.ceil(rows / rows_per_bucket))
+    buckets = math.ceil(rows / rows_per_bucket)
     if buckets <= 1:
         return []
     shares = [i / buckets for i in range(1, buckets)]
@@ -83,18 +74,21 @@ def quantile_bounds(
     return sorted(set(found or []))
 
 
-def bucket_of(value: Column, bounds: Sequence, value_type: str) -> Column:
-    """How many of the sorted bounds lie below the value: a binary search over a literal."""
+def bucket_of(value: Column, bounds: Sequence, value_type: str, closed: bool = False) -> Column:
+    """How many of the sorted bounds lie below the value (``closed``: or equal it): a binary search over a literal."""
     if not bounds:
         return F.lit(0)
     edges = F.array(*[F.lit(b).cast(value_type) for b in bounds])
     steps = F.array(*[F.lit(1 << p) for p in range(len(bounds).bit_length() - 1, -1, -1)])
+
+    def below(at: Column) -> Column:
+        edge = F.get(edges, at - 1)
+        return edge <= value if closed else edge < value
+
     return F.aggregate(
         steps,
         F.lit(0),
-        lambda at, step: F.when(
-            (at + step <= len(bounds)) & (F.get(edges, at + step - 1) < value), at + step
-        ).otherwise(at),
+        lambda at, step: F.when((at + step <= len(bounds)) & below(at + step), at + step).otherwise(at),
     )
 
 
@@ -146,15 +140,62 @@ def rank_in_groups(
     below: int | None = None,
 ) -> DataFrame:
     """0-based place of every row in its group by a key, large inputs being cut at quantiles of the key."""
-    kind = numeric_type(df, key)
-    bounds = quantile_bounds(df, key, rows_per_bucket) if kind else []
-    if bounds:
-        return rank_in_buckets(df, groups, bucket_of(F.col(key), bounds, kind), [key], name, below)
+    bucket = _key_slices(df, key, rows_per_bucket)
+    if bucket is not None:
+        return rank_in_buckets(df, groups, bucket, [key], name, below)
     place = (F.row_number().over(Window.partitionBy(*groups).orderBy(key)) - 1).cast("bigint")
     ranked = df.withColumn(name, place)
     return ranked if below is None else ranked.where(F.col(name) < below)
 
 
+def _key_slices(df: DataFrame, key: str, rows_per_bucket: int) -> Column | None:
+    """The slice of the key's range that a row lies in, never falling along the key; None when one slice is enough."""
+    kind = numeric_type(df, key)
+    if kind:
+        bounds = quantile_bounds(df, key, rows_per_bucket)
+        return bucket_of(F.col(key), bounds, kind) if bounds else None
+    rows = df.count()
+    if rows <= rows_per_bucket:
+        return None
+    # Keys that are not numbers are cut where a range sort of the distinct ones would cut them.
+    parts = math.ceil(rows / rows_per_bucket)
+    placed = df.select(key).distinct().repartitionByRange(parts, key).select(key, F.spark_partition_id().alias("_p"))
+    edges = placed.groupBy("_p").agg(F.min(key).alias("edge")).orderBy("_p").select("edge").toArrow()["edge"].to_pylist()
+    lower = [e for e in edges[1:] if e is not None]  # one key for each slice
+    return bucket_of(F.col(key), lower, df.schema[key].dataType.simpleString(), closed=True) if lower else None
+
+
+def sum_in_groups(
+    df: DataFrame, groups: Sequence[str], key: str, amount: str, name: str, rows_per_bucket: int = BUCKET_ROWS
+) -> DataFrame:
+    """Sum of ``amount`` over the rows before each row in its group, in order of a key.
+
+    No task orders more than one slice of one group's keys; the sums of slices,
+    one row for each group and slice, carry over.
+    """
+    bucket = _key_slices(df, key, rows_per_bucket)
+    inside = lambda *by: Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    if bucket is None:
+        return df.withColumn(name, F.coalesce(F.sum(amount).over(inside(*groups)), F.lit(0)))
+    marked = df.withColumn("_bucket", bucket)
+    sums = marked.groupBy(*groups, "_bucket").agg(F.sum(amount).alias("_sum"))
+    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(
+        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)],
+        F.col("_bucket").alias("_b"),
+        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carried"),
+    )
+    same = F.col("_bucket") == F.col("_b")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    within = marked.withColumn("_within", F.coalesce(F.sum(amount).over(inside(*groups, "_bucket")), F.lit(0)))
+    return (
+        within.join(starts, same)
+        .withColumn(name, F.col("_within") + F.col("_carried"))
+        .drop("_bucket", "_b", "_within", "_carried", *[f"_g{i}" for i in range(len(groups))])
+    )
+
+
 def hot_lookup(
     df: DataFrame,
     table: DataFrame,
@@ -165,13 +206,15 @@ def hot_lookup(
     hot_rows: int = HOT_ROWS,
     counts: DataFrame | None = None,
     total: int | None = None,
+    max_hot: int = SMALL_ROWS,
 ) -> DataFrame:
     """Attach the one row of ``table`` that has the same keys.
 
     ``table[rows]`` tells how many rows of ``df`` have those keys. Rows of a hot
     key are split by a hash of the ``by`` columns and meet as many copies of its
-    table row. The set of hot keys may be broadcast: it has at most
-    ``rows of df / hot_rows`` entries. ``counts`` may supply keys and rows when
+    table row. The set of hot keys, at most ``rows of df / hot_rows`` of them, is
+    broadcast when it has proved small; otherwise the rows of every key are split
+    and every table row is copied. ``counts`` may supply keys and rows when
     the table itself is costly to read twice. With ``total``, the number of rows
     of ``df``, known to be too small for a hot key, this is a plain join.
     """
@@ -179,14 +222,17 @@ def hot_lookup(
     if total is not None and total <= hot_rows:
         return df.join(table.drop(rows), keys, how)
     hot = F.col(rows) > hot_rows
-    hot_keys = (table if counts is None else counts).where(hot).select(*keys, F.lit(True).alias("_hot"))
+    hot_keys = bounded((table if counts is None else counts).where(hot).select(*keys, F.lit(True).alias("_hot")), max_hot)
     part = F.pmod(F.xxhash64(*by), F.lit(HOT_SPLITS)).cast("int")
-    left = df.join(F.broadcast(hot_keys), keys, "left").withColumn(
-        "_part", F.when(F.col("_hot"), part).otherwise(F.lit(0))
-    )
-    right = table.withColumn(
-        "_part", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(HOT_SPLITS - 1))).otherwise(F.array(F.lit(0))))
-    ).drop(rows)
+    every = F.sequence(F.lit(0), F.lit(HOT_SPLITS - 1))
+    if hot_keys is None:
+        left = df.withColumn("_hot", F.lit(True)).withColumn("_part", part)
+        right = table.withColumn("_part", F.explode(every)).drop(rows)
+    else:
+        left = df.join(F.broadcast(hot_keys), keys, "left").withColumn(
+            "_part", F.when(F.col("_hot"), part).otherwise(F.lit(0))
+        )
+        right = table.withColumn("_part", F.explode(F.when(hot, every).otherwise(F.array(F.lit(0))))).drop(rows)
     return left.join(right, [*keys, "_part"], how).drop("_hot", "_part")
 
 

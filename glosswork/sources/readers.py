@@ -69,10 +69,13 @@ def read_task_jsonl(spark: SparkSession, path: str, numbered: bool = False) -> D
     return _numbered(placed, "id").select("id", "text", "label")
 
 
-def read_custom(spark: SparkSession, train: str, valid: str, schema: str | None = None) -> dict[str, DataFrame]:
+def read_custom(
+    spark: SparkSession, train: str, valid: str, schema: str | None = None, multi_line: bool = False
+) -> dict[str, DataFrame]:
     """Train and validation data from csv or json, told apart by extension.
 
-    Without a schema, a csv file is read twice to infer one.
+    Without a schema, a csv file is read twice to infer one. ``multi_line`` reads
+    csv with line breaks inside quotes; such a file is not split between tasks.
     """
 
     def one(path: str) -> DataFrame:
@@ -87,7 +90,7 @@ def read_custom(spark: SparkSession, train: str, valid: str, schema: str | None
         reader = reader.option("header", True).option("quote", '"').option("escape", '"')
         if schema is None:
             reader = reader.option("inferSchema", True)
-        return reader.option("multiLine", False).csv(path)
+        return reader.option("multiLine", multi_line).csv(path)
 
     if train.rstrip("/").rsplit(".", 1)[-1] != valid.rstrip("/").rsplit(".", 1)[-1]:
         raise ValueError("train and validation files must have the same extension")
@@ -123,7 +126,8 @@ def load_named_task(spark: SparkSession, name: str, root: str) -> dict[str, Data
     """The splits of a task stored as ``root/name/split.parquet``.
 
     Pair tasks give their text columns and the label; the multiple-choice task
-    gives ``question, choices, answerKey``. mnli validates on its matched split.
+    gives ``question, choices, answerKey``. mnli validates on its matched split and
+    has the other one as ``validation_mismatched``.
     """
     if name == CHOICE_TASK:
         columns = ["question", "choices", "answerKey"]
@@ -137,7 +141,10 @@ def load_named_task(spark: SparkSession, name: str, root: str) -> dict[str, Data
         stored = spark.read.parquet(f"{root.rstrip('/')}/{name}/{which}.parquet")
         return stored.select(*[c for c in ("id",) if c in stored.columns], *columns)
 
-    return {"train": split("train"), "validation": split(validation)}
+    found = {"train": split("train"), "validation": split(validation)}
+    if name == "mnli":
+        found["validation_mismatched"] = split("validation_mismatched")
+    return found
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:

@@ -9,14 +9,17 @@ from glosswork.functions.arrays import whole_div
 
 
 def write_knowledge(df: DataFrame, path: str, file_rows: int = 1_000) -> None:
-    """``id, prompt, targets`` as a folder of JSON array files, ``file_rows`` rows each, in id order."""
+    """``id, prompt, targets`` as JSON array files, ``file_rows`` rows each, whose paths sort in id order.
+
+    Every file has a folder of its own, named by its number in 20 digits, so the
+    order holds for any number of files and tasks.
+    """
     number = whole_div(F.col("id"), file_rows)
     rows = F.array_sort(F.collect_list(F.struct("id", F.to_json(F.struct("prompt", "targets")).alias("j"))))
     text = F.concat(F.lit("["), F.array_join(rows["j"], ",\n"), F.lit("]"))
     arrays = df.groupBy(number.alias("file")).agg(text.alias("value"))
-    # One row is one file, and files are numbered along the range sort.
-    ordered = arrays.repartitionByRange("file").sortWithinPartitions("file")
-    ordered.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    numbered = arrays.select(F.lpad(F.col("file").cast("string"), 20, "0").alias("file"), "value")
+    numbered.write.partitionBy("file").text(path)
 
 
 def write_task_jsonl(df: DataFrame, path: str) -> None:

@@ -54,7 +54,6 @@ def test_rank_correlation_shares_its_pair_counts(spark):
     "make",
     [
         lambda s: op.prompt_fill(v.knowledge(s, FOLDER)),
-        lambda s: op.length_batches(v.token_lists(s, FOLDER).withColumnRenamed("toks", "input_ids"), 100),
         lambda s: op.macro_f1(op.predict(v.logits(s, FOLDER)), 10),
         lambda s: op.gated_mixture(v.experts(s, FOLDER), v.gate_logits(s, FOLDER)),
     ],

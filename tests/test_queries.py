@@ -5,10 +5,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from glosswork.catalog import oracle, queries
 from tests.compare import connect, difference
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+# Queries of other parts of the package have tests of their own.
+QUERIES, ORACLE = queries.QUERIES, oracle.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +20,7 @@ def db():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 @pytest.mark.filterwarnings("ignore:the model's labels")

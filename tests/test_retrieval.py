@@ -26,7 +26,7 @@ def brute(asked, stored, k):
 
 @pytest.mark.parametrize("k", [1, 3, 50])
 @pytest.mark.parametrize(
-    "limits", [{}, {"query_bytes": 0, "query_block": 4, "record_block": 7}, {"query_bytes": 0}]
+    "limits", [{}, {"query_bytes": 0, "query_block": 4}, {"query_bytes": 0}]
 )
 def test_topk_is_exact(spark, k, limits):
     rng = np.random.default_rng(k)

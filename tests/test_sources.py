@@ -77,13 +77,31 @@ def test_embedding_shards(spark, tmp_path):
 
 def test_named_tasks(spark, tmp_path):
     pair = spark.createDataFrame([("p", "h", 1, 0)], "premise string, hypothesis string, label int, other int")
-    for split in ("train", "validation_matched"):
+    for split in ("train", "validation_matched", "validation_mismatched"):
         pair.write.parquet(str(tmp_path / "mnli" / f"{split}.parquet"))
     assert io.load_named_task(spark, "mnli", str(tmp_path))["validation"].columns == ["premise", "hypothesis", "label"]
+    assert io.load_named_task(spark, "mnli", str(tmp_path))["validation_mismatched"].count() == 1
     with pytest.raises(ValueError):
         io.load_named_task(spark, "nothing", str(tmp_path))
 
 
+def test_more_than_a_thousand_files_keep_their_order(spark, tmp_path):
+    rows = spark.range(1200).select("id", F.concat(F.lit("p"), F.col("id")).alias("prompt"), F.array(F.lit("t")).alias("targets"))
+    io.write_knowledge(rows, str(tmp_path / "k"), file_rows=1)
+    back = io.read_knowledge(spark, str(tmp_path / "k"))
+    assert back.where(F.col("prompt") != F.concat(F.lit("p"), F.col("id"))).count() == 0 and back.count() == 1200
+
+
+def test_csv_with_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('text,label\n"one\ntwo",1\n')
+    found = io.read_custom(spark, str(tmp_path / "a.csv"), str(tmp_path / "a.csv"), multi_line=True)["train"]
+    assert [(r.text, r.label) for r in found.collect()] == [("one\ntwo", 1)]
+
+
+def test_bounded_measures_bytes(spark):
+    assert bounded(spark.range(10).withColumn("x", F.repeat(F.lit("y"), 100)), 10, max_bytes=500) is None
+
+
 def test_metrics_append(spark, tmp_path):
     df = spark.createDataFrame([("r", 0, 1, "acc", 0.5)], "run string, epoch int, step int, metric string, value double")
     for _ in range(2):
