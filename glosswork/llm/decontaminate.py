@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.llm.common import WORD, free_name
+from glosswork.plans import written
 
 WIDTH = 5
 PERCENT = 80
@@ -101,9 +102,11 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
         "doc_id", "text_hash", "item_id", "item", "item_windows", "window",
         (F.col("at") - F.col("item_at")).alias("diagonal"), F.when(has_slot, pairs).otherwise(none).alias("pairs"),
     )
+    # Written, as two questions are asked of it and the texts should be read for it once.
     once = rows.groupBy("doc_id", "text_hash", "item", "item_id", "item_windows", "window").agg(
         F.min(F.struct("diagonal", "pairs")).alias("m")
     )
+    once = written(once, "met")
     keys = ["doc_id", "text_hash", "item", "item_id"]
     shares = once.groupBy(*keys, "item_windows").agg(F.count(F.lit(1)).alias("met")).where(
         F.col("met") * 100 >= F.col("item_windows") * PERCENT
