@@ -30,6 +30,42 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned.select("doc_id", *counts)
 
 
+ORACLE["op1_quality_rules"] = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+cut AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM docs
+),
+places AS (
+  SELECT doc_id, p, w[p] AS a, w[p + 1] AS b, w[p + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM cut)
+),
+repeated AS (SELECT doc_id, p FROM places QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1),
+covered AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM repeated) GROUP BY doc_id),
+judged AS (
+  SELECT doc_id, list_filter(lines, lambda x: NOT (
+      (length(x) - length(regexp_replace(x, '[#*$%&|<>{}~^=_\\]', '', 'g'))) * 100 > length(x) * 12
+      OR (length(x) - length(regexp_replace(x, '[|»›→•·]', '', 'g')) >= 2
+          AND (length(x) - length(regexp_replace(x, '[|»›→•·]', '', 'g'))) * 30 >= length(x))
+      OR (NOT regexp_matches(x, '\p{Ll}') AND regexp_matches(x, '\p{Lu}{2}') AND regexp_matches(x, '\S\s+\S+\s+\S'))
+      OR regexp_matches(x, '[!?]{2,}.*[!?]{2,}')
+      OR regexp_matches(x, '(?i)^[^\p{L}]*(all rights reserved|privacy policy|terms of (use|service)|cookie|subscribe|share this|click here|copyright|powered by|enable javascript|lorem ipsum|read more|advertisement)[^.]{0,60}[.]?[^\p{L}]*$')
+    )) AS kept_lines FROM cut
+),
+counted AS (
+  SELECT c.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words,
+    CAST(length(regexp_replace(array_to_string(kept_lines, chr(10)), '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS kept_chars
+  FROM cut c JOIN judged j USING (doc_id) LEFT JOIN covered v USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, kept_chars,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND kept_chars * 100 >= word_chars * 60 AS kept
+FROM counted
+"""
+
+
 @query
 def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     from glosswork.llm.chat_format import format_paths, read_formatted, read_loss, threads
