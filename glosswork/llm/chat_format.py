@@ -52,32 +52,36 @@ def unescape_role(role: Column) -> Column:
 def _climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """``tree, node, depth, total`` of every row that hangs on a root, and the ancestors at distance 1, 2, 4, ...
 
-    Each pass joins a row's ancestor at distance d with that one's ancestor at distance d. While a row below a root
-    is open, one at least closes in each pass; if none does, the open rows hang on a cycle.
+    Each pass joins an open row's ancestor at distance d with that one's ancestor at distance d; rows that have reached
+    their root are done. While a row below a root is open, one at least closes in each pass; if none does, the open
+    rows hang on a cycle.
     """
     known = nodes.select(F.col("tree").alias("_t"), F.col("node").alias("_n"))
     hung = nodes.join(known, nodes.tree.eqNullSafe(known["_t"]) & (nodes.parent == known["_n"]), "left")
     up = F.col("_n")
     reach = hung.select("tree", "node", up.alias("up"), up.isNotNull().cast("bigint").alias("depth"), F.col("score").alias("total"))
     levels: list[DataFrame] = []
+    first = written(reach, "reach")
+    closed, hanging = first.where(F.col("up").isNull()), first.where(F.col("up").isNotNull())
     open_rows = -1
     while True:
-        reach = written(reach, "reach")
-        hanging = reach.where(F.col("up").isNotNull())
         left = hanging.count()
         if left in (0, open_rows):
-            return reach.where(F.col("up").isNull()).drop("up"), levels
+            return closed.drop("up"), levels
         open_rows = left
         levels.append(hanging.select("tree", "node", "up"))
-        above = reach.select(*[F.col(c).alias(f"_{c}") for c in reach.columns])
-        joined = reach.join(above, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("up") == F.col("_node")), "left")
-        reach = joined.select(
+        every = closed.unionByName(hanging)
+        above = every.select(*[F.col(c).alias(f"_{c}") for c in every.columns])
+        joined = hanging.join(above, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("up") == F.col("_node")), "left")
+        step = joined.select(
             "tree",
             "node",
             F.col("_up").alias("up"),
             (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
             (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"),
         )
+        step = written(step, "reach")
+        closed, hanging = closed.unionByName(step.where(F.col("up").isNull())), step.where(F.col("up").isNotNull())
 
 
 def paths(messages: DataFrame, keep: int | None = 1) -> DataFrame:
