@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glosswork.plans.spread import scratch_folder
 
@@ -24,8 +25,8 @@ def stream_metric_rollup(
 ) -> DataFrame:
     """Run the stream over all data that is there and return the windows it wrote.
 
-    ``complete`` rewrites every window at each trigger: late rows still count,
-    and state grows with the number of windows times metrics. ``append`` writes
+    ``complete`` writes every window at each trigger, into a folder of its own:
+    late rows still count, and state grows with the number of windows times metrics. ``append`` writes
     a window once the watermark has passed it: later rows for it are dropped,
     open windows are not written, and state stays bounded.
     """
@@ -36,11 +37,32 @@ def stream_metric_rollup(
     writer = rolled.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "complete":
 
-        def replace(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{path}/windows")
+        def keep(batch: DataFrame, number: int) -> None:
+            # A retried batch has the same number and writes the same windows again.
+            batch.write.mode("overwrite").parquet(f"{path}/windows/batch={number:020d}")
 
-        query = writer.foreachBatch(replace).start()
-    else:
-        query = writer.format("parquet").option("path", f"{path}/windows").start()
-    query.awaitTermination()
-    return spark.read.schema(rolled.schema).parquet(f"{path}/windows")
+        query = writer.foreachBatch(keep).start()
+        query.awaitTermination()
+        return latest_windows(spark, path, rolled.schema)
+    writer.format("parquet").option("path", f"{path}/windows").start().awaitTermination()
+    return _stored(spark, f"{path}/windows", rolled.schema)
+
+
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What was written below the path, or an empty table when no data ever came."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def latest_windows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The windows of the last finished trigger in complete mode.
+
+    Every trigger writes a folder of its own and a reader takes the newest that
+    has been committed, so none ever sees half of one.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/windows/batch=*/_SUCCESS")
+    done = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(root)
+    folders = sorted(str(done[i].getPath().getParent()) for i in range(len(done))) if done is not None else []
+    return spark.read.schema(schema).parquet(folders[-1]) if folders else spark.createDataFrame([], schema)

@@ -145,3 +145,10 @@ def test_stream_resumes_where_it_stopped(spark, tmp_path):
         stream = live.read_text_stream(spark, path, schema, "*.parquet")
         found = live.stream_prepare(stream, [lambda df: op.tokenize_plain(df)], out)
         assert sorted(r.id for r in found.collect()) == list(range(i + 1))
+
+
+def test_rollup_without_data(spark, tmp_path):
+    schema = "ts timestamp, metric string, value double"
+    (tmp_path / "empty").mkdir()
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "empty"))
+    assert live.stream_metric_rollup(stream).count() == 0
