@@ -402,9 +402,10 @@ ORACLE: dict[str, str] = {
         ["packed"],
         f"""
         , flat AS (SELECT batch, block, unnest(input_ids) AS t, generate_subscripts(input_ids, 1) - 1 AS ix FROM packed)
-        , digests AS (SELECT *, md5('{SEED}:' || batch || ':' || block || ':' || ix) AS d FROM flat)
-        , draws AS (SELECT batch, block, ix, t, ('0x'||substr(d,1,8))::bigint AS a, ('0x'||substr(d,9,8))::bigint AS b,
-            ('0x'||substr(d,17,8))::bigint AS c FROM digests)
+        , digests AS (SELECT *, substr(md5('{SEED}:' || batch || ':' || block || ':' || (ix // 4)), ix % 4 * 8 + 1, 8) AS d,
+            md5('{SEED}:' || batch || ':' || block || ':' || ix || ':m') AS m FROM flat)
+        , draws AS (SELECT batch, block, ix, t, ('0x'||d)::bigint AS a, ('0x'||substr(m,1,8))::bigint AS b,
+            ('0x'||substr(m,9,8))::bigint AS c FROM digests)
         , fates AS (SELECT *, t NOT IN (0, 1, 2) AND a < {int(0.15 * 2**32)} AS chosen FROM draws)
         SELECT batch, block, string_agg(CASE WHEN NOT chosen THEN t WHEN b < {int(0.8 * 2**32)} THEN v
             WHEN b < {int(0.9 * 2**32)} THEN c % v ELSE t END, ' ' ORDER BY ix) AS masked_ids,

@@ -214,22 +214,36 @@ def mlm_mask(
     """Choose positions to predict: adds ``masked_ids`` and ``labels`` (-100 where nothing is predicted).
 
     Special tokens are never chosen. Of the chosen positions 80 % become the
-    mask, 10 % a random id below ``vocab_size`` and 10 % stay. One hash per
-    position supplies all three draws, so a retried task chooses the same ones.
+    mask, 10 % a random id below ``vocab_size`` and 10 % stay. One hash for every
+    four positions chooses, and each chosen one has a hash for its fate, so a
+    retried task chooses the same ones.
     """
     shown_mask = F.lit(vocab_size if mask_id is None else mask_id).cast("int")
     prefix = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.lit(""))
 
-    def decide(token: Column, digest: Column) -> Column:
-        chosen = digest_below(digest, probability) & ~token.isin(BOS, PAD, EOS)
+    def fate(token: Column, digest: Column) -> Column:
         shown = (
-            F.when(digest_below(digest, 0.8, 1), shown_mask)
-            .when(digest_below(digest, 0.9, 1), (draw_slice(digest, 2) % vocab_size).cast("int"))
+            F.when(digest_below(digest, 0.8), shown_mask)
+            .when(digest_below(digest, 0.9), (draw_slice(digest, 1) % vocab_size).cast("int"))
             .otherwise(token)
         )
-        predicted = F.struct(shown.alias("shown"), token.alias("label"))
-        return F.when(chosen, predicted).otherwise(F.struct(token.alias("shown"), F.lit(IGNORED).alias("label")))
-
-    digests = let(prefix, lambda p: F.transform(ids, lambda _, i: F.md5(F.concat(p, i.cast("string")))))
-    decided = df.withColumn("_d", F.zip_with(F.col(ids), digests, decide))
-    return decided.select(*df.columns, F.col("_d.shown").alias("masked_ids"), F.col("_d.label").alias("labels"))
+        return F.struct(shown.alias("shown"), token.alias("label"))
+
+    def decide(token: Column, place: Column, start: Column, digests: Column) -> Column:
+        digits = F.substring(F.get(digests, F.shiftright(place, 2)), (place % 4) * 8 + 1, F.lit(8))
+        chosen = digest_below(digits, probability) & ~token.isin(BOS, PAD, EOS)
+        own = F.md5(F.concat(start, place.cast("string"), F.lit(":m")))
+        kept = F.struct(token.alias("shown"), F.lit(IGNORED).alias("label"))
+        return F.when(chosen, let(own, lambda d: fate(token, d))).otherwise(kept)
+
+    fours = F.sequence(F.lit(0), F.shiftright(F.greatest(F.size(ids) - 1, F.lit(0)), 2))
+    decided = let(
+        prefix,
+        lambda p: let(
+            F.transform(fours, lambda g: F.md5(F.concat(p, g.cast("string")))),
+            lambda digests: F.transform(ids, lambda t, i: decide(t, i, p, digests)),
+        ),
+    )
+    return df.withColumn("_d", decided).select(
+        *df.columns, F.col("_d.shown").alias("masked_ids"), F.col("_d.label").alias("labels")
+    )
