@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,11 +25,16 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that all executors share.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session may go without it.
+    local session may go without it. A plain path on a cluster whose default file
+    system is each machine's own gets a warning: only a shared mount will do.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    one_machine = re.match(r"local(\[|$)", spark.sparkContext.master)
+    if root and ":/" not in root and not one_machine:
+        if (spark._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:").startswith("file:"):
+            warnings.warn("spark.checkpoint.dir is a plain path; it must be a mount that all executors share", stacklevel=3)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not one_machine:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="glosswork-")
         spark.conf.set("spark.checkpoint.dir", root)
