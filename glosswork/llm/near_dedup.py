@@ -5,12 +5,13 @@ one row in all that follows. One pass hashes every shingle once; the smallest ha
 signature, and an empty bin takes the value of a filled one that its own sequence of draws meets first. Bins are
 joined to bands; classes that agree in a band share a bucket.
 
-In a bucket only edges from one centre to the other members become candidates. The centre is the member that shares
+In a bucket edges from one centre to the other members become candidates first. The centre is the member that shares
 most buckets, counted with their sizes: in a family of near copies that is the text the others were made from. Edges
-whose signatures agree too little to reach the threshold are left out, and the rest is confirmed on full sets. A member
-whose edge fails, while it is near enough that a third text could link it (distances of sets obey the triangle rule),
-takes part in a further round: its buckets get another centre among their near members, and so on for ``rounds`` rounds or
-until one confirms no new link.
+whose signatures agree too little to reach the threshold are left out, and the rest is confirmed on full sets. What is
+left over are buckets whose members are not one component: there the signatures of all pairs from different components
+are compared, as matrices inside tasks, each pair in the first bucket it shares, and the near ones are confirmed too. So
+every pair that shares a bucket is either in one component or was compared, whatever centres there were. A leftover
+bucket of more than ``PAIR_ROWS`` members is dealt out as pairs of blocks, so a task holds two blocks at a time.
 
 Components come from taking the smallest label around and jumping to the label's label, table by table. Bucket sizes,
 centres and labels are minima, maxima and counts that combine before the shuffle. Full sets are joined with the centre
@@ -24,6 +25,7 @@ come back. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +41,8 @@ from glosswork.plans import written
 BINS = 128
 BAND_BINS = 5  # 25 bands: two sets at 0.85 share none with a chance of 4e-7
 CENTRE_ROWS = 200
+PAIR_ROWS = 1024  # members of a leftover bucket that are compared with as many others at a time
+GROUP_ROWS = 8192  # members of smaller leftover buckets that one call compares
 SKETCH_MARGIN = 0.15  # how far the estimate of a signature may lie below the truth: more than four deviations
 
 
@@ -136,10 +140,76 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _stars(members: DataFrame, used: DataFrame | None) -> DataFrame:
-    """``bucket, a`` with the centre of every bucket: the best-shared member that has not been one."""
-    free = members if used is None else members.join(used, ["bucket", "key"], "left_anti")
-    return free.groupBy("bucket").agg(F.max(F.struct("score", "key"))["key"].alias("a"))
+def _stars(members: DataFrame) -> DataFrame:
+    """``bucket, a`` with the centre of every bucket: the best-shared member."""
+    return members.groupBy("bucket").agg(F.max(F.struct("score", "key"))["key"].alias("a"))
+
+
+def _near_cells(left: np.ndarray, right: np.ndarray, roots_l: np.ndarray, roots_r: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs from different components whose signatures agree in ``least`` bins at least."""
+    rows, cols = [], []
+    for start in range(0, len(left), 256):
+        part, roots = left[start : start + 256], roots_l[start : start + 256]
+        other = np.flatnonzero(roots_r != roots[0]) if (roots == roots[0]).all() else np.arange(len(right))
+        if not len(other):
+            continue
+        facing = right[other]
+        if len(part) * len(facing) <= 4096:
+            agree = (part[:, None, :] == facing[None, :, :]).sum(axis=2)
+        else:
+            agree = np.zeros((len(part), len(facing)), np.uint8)
+            for a, b in zip(np.ascontiguousarray(part.T), np.ascontiguousarray(facing.T)):
+                agree += a[:, None] == b[None, :]
+        i, j = np.nonzero((agree >= least) & (roots[:, None] != roots_r[other][None, :]))
+        rows.append(i + start)
+        cols.append(other[j])
+    empty = np.zeros(0, np.int64)
+    return (np.concatenate(rows), np.concatenate(cols)) if rows else (empty, empty)
+
+
+def _leftover_pairs(members: DataFrame, roots: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """``a, b`` of near pairs that share a bucket and lie in different components, every pair once."""
+    placed = members.join(roots, "key", "left").select("bucket", "key", F.xxhash64(F.coalesce("root", "key")).alias("root"))
+    placed = written(placed, "placed")
+    held = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    # The only pair of a bucket of two has been an edge of its star.
+    apart = held.where((F.col("low") != F.col("high")) & (F.col("n") > 2))
+    parts = F.ceil(F.col("n") / PAIR_ROWS).cast("int")
+    left = written(placed.join(apart.select("bucket", parts.alias("parts")), "bucket"), "leftover")
+    groups = max(1, left.count() // GROUP_ROWS)
+    mine = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    dealt = left.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    unit = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
+    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
+    work = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("bucket"), F.lit(groups))).otherwise(unit)
+    cells = dealt.select("bucket", "key", "root", work.alias("work"), unit.alias("unit"), side.alias("side")).join(classes, "key")
+
+    def run(cut: pa.Table) -> pa.Table:
+        cut = cut.combine_chunks()
+        column = lambda name: cut[name].to_numpy()
+        order = np.lexsort((column("root"), column("unit")))
+        unit, root, side, bucket = (column(n)[order] for n in ("unit", "root", "side", "bucket"))
+        sketch = np.frombuffer(b"".join(cut["sketch"].to_pylist()), "<u2").reshape(-1, BINS)[order]
+        bands = cut["bands"].combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order]
+        starts = np.flatnonzero(np.diff(unit, prepend=unit[:1] - 1))
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for start, stop in zip(starts, [*starts[1:], len(unit)]):
+            rows = np.arange(start, stop)
+            whole = side[start] == 2
+            a, b = (rows, rows) if whole else (rows[side[rows] == 0], rows[side[rows] == 1])
+            i, j = _near_cells(sketch[a], sketch[b], root[a], root[b], least)
+            i, j = a[i], b[j]
+            if whole:
+                once = i < j
+                i, j = i[once], j[once]
+            same = bands[i] == bands[j]
+            first = bands[i, same.argmax(axis=1)] == bucket[i]
+            found_a.append(order[i[first]])
+            found_b.append(order[j[first]])
+        keys = cut["key"].combine_chunks()
+        return pa.table({"a": keys.take(pa.array(np.concatenate(found_a))), "b": keys.take(pa.array(np.concatenate(found_b)))})
+
+    return cells.groupBy("work").applyInArrow(run, "a binary, b binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -155,14 +225,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(
-    documents: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", rounds: int = 1
-) -> DataFrame:
+def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, text_hash, n_shingles, component_id, kept, key`` of every document.
 
     Documents are linked when 100 times what their sets share is at least ``percent`` times what they hold together.
-    ``rounds`` is the number of further rounds of stars for members that failed with their centres. Texts that a third
-    one can link are near to a common centre, so the sets read for the first round are those of all rounds.
     """
     texts = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     rows = written(sketches(texts, width), "sketches")
@@ -175,48 +241,35 @@ def near_duplicates(
     scores = inside.groupBy("key").agg(F.sum(F.col("size") - 1).alias("score"))
     members = written(inside.join(scores, "key").select("bucket", "key", "score"), "members")
 
-    near = percent / 100
-    reach = 1 - 2 * (1 - near)  # two links from the centre, by the triangle rule
+    least = math.ceil((percent / 100 - SKETCH_MARGIN) * BINS - 1e-9)  # bins in which the signatures of a near pair agree
+
+    def sets_of(keys: DataFrame) -> DataFrame:
+        names = keys.join(labels, "key").select(F.col("label").alias("_label")).distinct()
+        chosen = texts.join(names, texts.doc_id.eqNullSafe(names["_label"]), "left_semi")
+        return written(shingle_sets(chosen, width).dropDuplicates(["key"]).join(keys, "key", "left_semi"), "sets")
+
+    def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        enough = 100 * F.col("met") >= percent * (F.col("size_a") + F.col("size_b") - F.col("met"))
+        return written(_confirmed(pairs, sets).where(enough).select("a", "b"), "links")
+
+    ends = F.explode(F.array("a", "b")).alias("key")
+    pairs = members.join(written(_stars(members), "stars"), "bucket").where(F.col("key") != F.col("a")).select("a", F.col("key").alias("b")).distinct()
     sketch = classes.select("key", "sketch")
-    links = tried = used = None
-    sets = None
-    for turn in range(rounds + 1):
-        stars = written(_stars(members, used), "stars")
-        pairs = members.join(stars, "bucket").where(F.col("key") != F.col("a")).select("a", F.col("key").alias("b")).distinct()
-        if tried is not None:
-            back = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))
-            pairs = pairs.join(tried, ["a", "b"], "left_anti").join(back, ["a", "b"], "left_anti")
-        left = sketch.select(F.col("key").alias("a"), F.col("sketch").alias("sketch_a"))
-        right = sketch.select(F.col("key").alias("b"), F.col("sketch").alias("sketch_b"))
-        likely = pairs.join(right, "b").join(left, "a").withColumn("guess", _agreement("sketch_a", "sketch_b"))
-        candidates = written(likely.where(F.col("guess") >= reach - SKETCH_MARGIN).select("a", "b", "guess"), "candidates")
-        if sets is None:
-            wanted = written(candidates.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
-            names = wanted.join(labels, "key").select(F.col("label").alias("_label")).distinct()
-            chosen = texts.join(names, texts.doc_id.eqNullSafe(names["_label"]), "left_semi")
-            sets = written(shingle_sets(chosen, width).dropDuplicates(["key"]).join(wanted, "key", "left_semi"), "sets")
-            members = members.join(wanted, "key", "left_semi")
-        hopeful = candidates.where(F.col("guess") >= near - SKETCH_MARGIN).select("a", "b")
-        sizes = _confirmed(hopeful, sets)
-        linked = 100 * F.col("met") >= percent * (F.col("size_a") + F.col("size_b") - F.col("met"))
-        found = written(sizes.where(linked).select("a", "b"), "links")
-        links = found if links is None else links.union(found)
-        seen = candidates.select("a", "b")
-        tried = seen if tried is None else tried.union(seen)
-        if turn == rounds or (turn and found.limit(1).count() == 0):
-            break
-        root = components(links).withColumnRenamed("node", "key")
-        # Left over: near members of a bucket that its centre's component does not hold.
-        apart = candidates.join(root.select(F.col("key").alias("a"), F.col("root").alias("root_a")), "a", "left")
-        apart = apart.join(root.select(F.col("key").alias("b"), F.col("root").alias("root_b")), "b", "left")
-        apart = apart.where(~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b")))
-        open_keys = written(apart.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "open")
-        if open_keys.limit(1).count() == 0:
-            break
-        open_buckets = members.join(open_keys, "key", "left_semi").select("bucket").distinct()
-        used_now = stars.select("bucket", F.col("a").alias("key"))
-        used = used_now if used is None else used.union(used_now)
-        members = written(members.join(open_buckets, "bucket", "left_semi"), "members")
+    left = sketch.select(F.col("key").alias("a"), F.col("sketch").alias("sketch_a"))
+    right = sketch.select(F.col("key").alias("b"), F.col("sketch").alias("sketch_b"))
+    likely = pairs.join(right, "b").join(left, "a").where(_agreement("sketch_a", "sketch_b") * BINS >= least)
+    tried = written(likely.select("a", "b"), "candidates")
+    wanted = written(tried.select(ends).distinct(), "wanted")
+    sets = sets_of(wanted)
+    links = linked(tried, sets)
+
+    roots = components(links).withColumnRenamed("node", "key")
+    again = _leftover_pairs(members.select("bucket", "key"), roots, classes, least)
+    back = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    again = written(again.join(tried.union(back), ["a", "b"], "left_anti"), "again")
+    if again.limit(1).count():
+        more = written(again.select(ends).distinct().join(wanted, "key", "left_anti"), "wanted")
+        links = links.union(linked(again, sets.union(sets_of(more))))
 
     root = components(links)
     named = root.join(labels.withColumnRenamed("key", "node"), "node")

@@ -70,6 +70,33 @@ def test_families_equal_brute_force(spark):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_template_families_without_a_base_equal_brute_force(spark, monkeypatch):
+    """Members are linked with each other and with no centre; blocks of few rows give the same as one block."""
+    import glosswork.llm.near_dedup as module
+
+    draw = random.Random(11)
+    texts = []
+    for size, words, slots, values in ((250, 150, 8, 12), (120, 150, 6, 9)):
+        base, places = [f"w{draw.randrange(4000)}" for _ in range(words)], draw.sample(range(words), slots)
+        for _ in range(size):
+            copy = list(base)
+            for p in places:
+                copy[p] = f"v{draw.randrange(values)}"
+            texts.append(" ".join(copy))
+    base = [f"e{draw.randrange(4000)}" for _ in range(300)]
+    for _ in range(150):
+        copy = list(base)
+        for p in draw.sample(range(300), draw.randrange(5, 11)):
+            copy[p] = f"x{draw.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for width, percent, block in ((3, 85, 1024), (5, 80, 1024), (3, 85, 40)):
+        monkeypatch.setattr(module, "PAIR_ROWS", block)
+        got = near_duplicates(df, width, percent).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, width, percent))
+
+
 def test_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(None, text), (4, text), (4, text), (9, text + " more"), (9, None), (None, "single text here now then"), (7, None)]
