@@ -5,7 +5,9 @@ sentences being replaced by a placeholder of their type. Every window of ``WIDTH
 looked up among the windows of all items by hash, and the words behind a met hash are compared. An item leaks into a
 document when at least ``PERCENT`` percent of its windows are met there and the slots agree: along one diagonal (the
 distance of the places in document and item) a slot value of the item stands for the same value of the document
-wherever it comes, for at least ``PERCENT`` percent of the slots. A leak is ``literal`` when all slots have the item's
+wherever it comes, for at least ``PERCENT`` percent of the slots. As one changed word takes ``WIDTH`` windows away, an item
+leaks as well when the windows met along neighbouring diagonals (an added or missing word moves the diagonal by one) cover
+at least ``PERCENT`` percent of its words and the slots along them agree. A leak is ``literal`` when all slots have the item's
 own values and ``reparameterised`` when they don't.
 
 Windows are made and looked up inside one stage; only met windows are shuffled, as one row for each document, item and
@@ -27,6 +29,7 @@ from glosswork.plans import written
 
 WIDTH = 5
 PERCENT = 80
+SHIFT = 4  # words added or missing inside a passage that is still one passage
 FEW_WINDOWS = 200_000  # windows of items that may be broadcast, about 60 bytes each
 
 # The placeholders and what they stand for.
@@ -59,7 +62,7 @@ def _hash_at(words: str, at: str) -> Column:
 
 
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """``window, item, item_id, item_at, item_words, item_raw, item_windows`` for every distinct window of every item."""
+    """``window, item, item_id, item_at, item_size, item_words, item_raw, item_windows`` for every distinct window of every item."""
     cut = items.select(
         F.col(item_id).alias("item_id"),
         F.xxhash64(F.col(item_id), F.col(text)).alias("item"),
@@ -73,6 +76,7 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text")
         "item_id",
         "item",
         "item_at",
+        F.size("words").alias("item_size"),
         F.slice("words", F.col("item_at") + 1, WIDTH).alias("item_words"),
         F.slice("raw", F.col("item_at") + 1, WIDTH).alias("item_raw"),
     )
@@ -99,21 +103,39 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     )
     none = F.array().cast("array<struct<i:string,d:string>>")
     rows = met.select(
-        "doc_id", "text_hash", "item_id", "item", "item_windows", "window",
+        "doc_id", "text_hash", "item_id", "item", "item_windows", "item_size", "item_at", "window",
         (F.col("at") - F.col("item_at")).alias("diagonal"), F.when(has_slot, pairs).otherwise(none).alias("pairs"),
     )
-    # Written, as two questions are asked of it and the texts should be read for it once.
-    once = rows.groupBy("doc_id", "text_hash", "item", "item_id", "item_windows", "window").agg(
-        F.min(F.struct("diagonal", "pairs")).alias("m")
-    )
-    once = written(once, "met")
+    # Written, as several questions are asked of it and the texts should be read for it once.
+    rows = written(rows, "met")
     keys = ["doc_id", "text_hash", "item", "item_id"]
+    once = rows.groupBy(*keys, "item_windows", "window").agg(F.min(F.struct("diagonal", "pairs")).alias("m"))
     shares = once.groupBy(*keys, "item_windows").agg(F.count(F.lit(1)).alias("met")).where(
         F.col("met") * 100 >= F.col("item_windows") * PERCENT
     )
-    values = once.select(*keys, "m.diagonal", F.explode("m.pairs").alias("p")).groupBy(*keys, "diagonal", "p.i").agg(
-        F.count(F.lit(1)).alias("n"), F.min("p.d").alias("low"), F.max("p.d").alias("high")
-    )
+    anywhere = _judged(shares, once.select(*keys, "m.diagonal", F.explode("m.pairs").alias("p")), keys, ["diagonal"], [])
+
+    # Each diagonal lies in two bands that overlap by half, so diagonals up to SHIFT apart share one.
+    width = 2 * SHIFT
+    band = F.explode(F.array(F.floor(F.col("diagonal") / width) * 2, F.floor((F.col("diagonal") + SHIFT) / width) * 2 - 1)).alias("band")
+    banded = rows.select("*", band)
+    covered = F.size(F.array_distinct(F.flatten(F.transform(F.collect_set("item_at"), lambda p: F.sequence(p, p + (WIDTH - 1))))))
+    passages = banded.groupBy(*keys, "item_windows", "item_size", "band").agg(
+        F.count_distinct("window").alias("met"), covered.alias("covered")
+    ).where(F.col("covered") * 100 >= F.col("item_size") * PERCENT).select(*keys, "item_windows", "band", "met")
+    inside = banded.select(*keys, "band", F.explode("pairs").alias("p"))
+    aligned = _judged(passages, inside, keys, [], ["band"]).drop("band")
+    both = anywhere.withColumn("order", F.lit(0)).unionByName(aligned.withColumn("order", F.lit(1)))
+    columns = ["met", "item_windows", "slots", "agreeing", "kind"]
+    # The whole item's own judgement comes first, then the passage with most windows.
+    ranked = F.struct("order", (-F.col("met")).alias("less"), "kind", "slots", "agreeing", "met", "item_windows")
+    return both.groupBy(*keys).agg(F.min(ranked).alias("r")).select("doc_id", "text_hash", "item_id", *[f"r.{c}" for c in columns])
+
+
+def _judged(shares: DataFrame, filled: DataFrame, keys: list[str], inner: list[str], outer: list[str]) -> DataFrame:
+    """Rows of ``shares`` whose slots agree; values ``p`` are compared inside the keys, ``inner`` and ``outer``."""
+    keys = [*keys, *outer]
+    values = filled.groupBy(*keys, *inner, "p.i").agg(F.count(F.lit(1)).alias("n"), F.min("p.d").alias("low"), F.max("p.d").alias("high"))
     agreed = values.groupBy(*keys).agg(
         F.sum("n").alias("slots"),
         F.sum(F.when(F.col("low") == F.col("high"), F.col("n")).otherwise(0)).alias("agreeing"),
@@ -125,7 +147,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     joined = shares.join(agreed.withColumnsRenamed({k: f"_{k}" for k in keys}), same, "left")
     slots = F.coalesce("slots", F.lit(0))
     return joined.where(F.coalesce("agreeing", F.lit(0)) * 100 >= slots * PERCENT).select(
-        "doc_id", "text_hash", "item_id", "met", "item_windows", slots.alias("slots"), F.coalesce("agreeing", F.lit(0)).alias("agreeing"),
+        *keys, "met", "item_windows", slots.alias("slots"), F.coalesce("agreeing", F.lit(0)).alias("agreeing"),
         F.when(F.coalesce("own", F.lit(0)) == slots, "literal").otherwise("reparameterised").alias("kind"),
     )
 

@@ -61,3 +61,17 @@ def test_many_windows_are_joined_not_broadcast(spark, monkeypatch):
     one = found(spark, [ITEM, OTHER])
     monkeypatch.setattr(module, "FEW_WINDOWS", 0)
     assert found(spark, [ITEM, OTHER]) == one
+
+
+def test_edits_and_names_at_sentence_starts(spark):
+    sold = "{0} sold clips to {1} of her friends in {2}. {0} then sold half as many clips in {3}. How many clips did she sell?"
+    item = sold.format("Natalia", "48", "April", "May")
+    plain = "the quick brown fox jumps over a lazy dog and runs far away into dark woods"
+    texts = [
+        "Some intro. " + sold.format("Marina", "36", "June", "July") + " The end.",
+        "x " + plain.replace("lazy", "sleepy") + " y",
+        plain.replace("jumps over", "jumps high over"),
+        plain.replace("over a", "over"),
+        "the quick brown fox jumps " + "other words come here now " * 3 + "into dark woods",
+    ]
+    assert set(found(spark, texts, [item, plain])) == {(0, 0), (1, 1), (2, 1), (3, 1)}
