@@ -3,7 +3,9 @@
 Terms are runs of small letters and digits. A term of the templates weighs ``ln((1 + N) / (1 + df)) + 1``, the counts being
 over all files; any other term weighs 1. A line is a header when its cosine to a template is at least ``COSINE``. Only
 lines that hold a marker are measured: a template's markers are its heaviest terms, taken until the rest is too light to
-reach the bound, so a line without one can't be a header.
+reach the bound, so a line without one can't be a header. Words around a notice dilute its line; a longer line that misses
+the bound is measured again as overlapping windows of ``WINDOWS`` terms, about twice as long as the templates, and its
+best window stands for it.
 
 A file named like a licence, or whose header terms are at least half of its terms, speaks for its directory. A file without
 a header takes the licence of the nearest directory above that has one: the distinct directories are spread over their
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from glosswork.plans import written
 
 COSINE = 0.6
+WINDOWS = (10, 14, 20, 28, 40)  # each steps by half, so a notice of half as many terms lies whole in one
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
 
 # What headers and the first lines of licences say.
@@ -83,7 +86,7 @@ def markers(weight: dict[str, float], bound: float = COSINE) -> set[str]:
 def headers(files: DataFrame) -> DataFrame:
     """``path, doc_id, text_hash, license, score, share`` of files ``path, doc_id, text`` that have a header.
 
-    ``share`` is the part of the file's terms that stand in header lines.
+    ``share`` is the part of the file's terms that stand in header lines, or in the windows that stand for them.
     """
     spark = files.sparkSession
     weight = weights(files)
@@ -100,18 +103,32 @@ def headers(files: DataFrame) -> DataFrame:
     some = hashed.where(F.col("text").rlike(f"(?i)(?<![a-z0-9])({marked})(?![a-z0-9])"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(f"(?i)(?<![a-z0-9])({marked})(?![a-z0-9])"))
     cut = some.select(*keys, F.size(terms(F.col("text"))).alias("all_terms"), F.posexplode(lines).alias("line", "said")).dropDuplicates([*keys, "line"])
-    counted = cut.select(*keys, "line", "all_terms", F.size(terms(F.col("said"))).alias("line_terms"), F.explode(terms(F.col("said"))).alias("term"))
-    tf = counted.groupBy(*keys, "line", "all_terms", "line_terms", "term").agg(F.count(F.lit(1)).alias("n"))
+    # The first piece of a line is the whole of it, the others are its windows that hold a marker.
+    said = cut.select(*keys, "line", "all_terms", terms(F.col("said")).alias("said"))
+    some_marker = F.array(*[F.lit(t) for t in sorted(markers(weight))])
+    none = F.array().cast("array<array<string>>")
+
+    def windows(width: int) -> Column:
+        starts = F.sequence(F.lit(0), F.size("said") - 1, F.lit(width // 2))
+        return F.when(F.size("said") > width, F.transform(starts, lambda at: F.slice("said", at + 1, width))).otherwise(none)
+
+    near = F.filter(F.concat(*[windows(w) for w in WINDOWS]), lambda x: F.arrays_overlap(x, some_marker))
+    pieces = said.select(*keys, "line", "all_terms", F.posexplode(F.concat(F.array("said"), near)).alias("piece", "said"))
+    counted = pieces.select(*keys, "line", "piece", "all_terms", F.size("said").alias("line_terms"), F.explode("said").alias("term"))
+    tf = counted.groupBy(*keys, "line", "piece", "all_terms", "line_terms", "term").agg(F.count(F.lit(1)).alias("n"))
     weighed = tf.join(known, "term", "left").withColumn("w", F.col("n") * F.coalesce("weight", F.lit(1.0)))
-    norms = weighed.groupBy(*keys, "line", "all_terms", "line_terms").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = tf.join(table, "term").groupBy(*keys, "line", "license", "template").agg(F.sum(F.col("n") * F.col("product")).alias("dot"))
-    same = F.col("line") == F.col("_line")
+    norms = weighed.groupBy(*keys, "line", "piece", "all_terms", "line_terms").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = tf.join(table, "term").groupBy(*keys, "line", "piece", "license", "template").agg(F.sum(F.col("n") * F.col("product")).alias("dot"))
+    same = (F.col("line") == F.col("_line")) & (F.col("piece") == F.col("_piece"))
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    measured = dots.join(norms.withColumnsRenamed({k: f"_{k}" for k in [*keys, "line"]}), same)
+    measured = dots.join(norms.withColumnsRenamed({k: f"_{k}" for k in [*keys, "line", "piece"]}), same)
     cosine = F.round(F.col("dot") / F.col("norm"), 6)
-    best = measured.groupBy(*keys, "line", "all_terms", "line_terms").agg(F.min(F.struct((-cosine).alias("s"), "license")).alias("b"))
-    return best.where(F.col("b.s") <= -COSINE).groupBy(*keys, "all_terms").agg(F.min("b").alias("b"), F.sum("line_terms").alias("said")).select(
+    best = measured.groupBy(*keys, "line", "piece", "all_terms", "line_terms").agg(F.min(F.struct((-cosine).alias("s"), "license")).alias("b"))
+    found = best.where(F.col("b.s") <= -COSINE).groupBy(*keys, "line", "all_terms").agg(
+        F.min(F.struct((F.col("piece") > 0).alias("cut"), "b", "line_terms")).alias("l")
+    )
+    return found.groupBy(*keys, "all_terms").agg(F.min("l.b").alias("b"), F.sum("l.line_terms").alias("said")).select(
         *keys, F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), (F.col("said") / F.col("all_terms")).alias("share")
     )
 

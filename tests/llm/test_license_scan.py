@@ -69,3 +69,14 @@ def test_every_line_over_the_bound_has_a_marker(spark):
             words = TERM.findall(text.lower())
             squares = {t: (words.count(t) * weight[t]) ** 2 for t in words}
             assert sum(v for t, v in squares.items() if t not in found) < COSINE**2 * sum(squares.values())
+
+
+def test_notices_inside_long_lines(spark):
+    words = " ".join(f"word{i}" for i in range(1000))
+    notices = {"MIT": "Released under the MIT License.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "Apache-2.0": "Licensed under the Apache License, Version 2.0."}
+    files = [(f"{name}/LICENSE", f"{words} {said} {words}") for name, said in notices.items()]
+    files += [(f"{name}/x.txt", "plain") for name in notices] + [("other/LICENSE", words)]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(files)], "doc_id bigint, path string, text string")
+    got = {r.path: (r.license, r.how) for r in scan(df).collect()}
+    assert all(got[f"{n}/LICENSE"] == (n, "header") and got[f"{n}/x.txt"] == (n, "inherited") for n in notices)
+    assert got["other/LICENSE"] == (None, "none")
