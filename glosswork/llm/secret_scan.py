@@ -7,11 +7,14 @@ taking off the one that leaves, and with it the sum of ``c log2 c``, from which
 characters has its own bound. Known harmless strings are on an allow-list: identifiers in groups, runs of the
 alphabet, placeholders, digests of nothing, plain numbers.
 
+A candidate may join fields by separators. Patterns' spans and harmless fields are taken out of it first, and each rest
+that is long enough is a candidate of its own.
+
 Everything is built from string and array expressions inside the row, so nothing is shuffled. Places come from the
 texts between the matches: their lengths are summed in blocks, so that a text full of matches costs in proportion.
 
-Defined results: no text is an empty one and has no spans. Places count code points, ends being exclusive. Candidates
-that touch a pattern's span are not told again. Other columns pass through; one called like an added one is replaced.
+Defined results: no text is an empty one and has no spans. Places count code points, ends being exclusive. What a
+pattern's span covers is not told again. Other columns pass through; one called like an added one is replaced.
 """
 
 from __future__ import annotations
@@ -36,9 +39,12 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 
 # Harmless strings.
 ALLOWED = (
-    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^[0-9+/_=-]*$|(.)\1{7}|(?i:example|placeholder|changeme|your[_-]|dummy|sample|"
-    r"abcdefgh|01234567|12345678|qwerty)|^(sha(256|384|512)-)|^(da39a3ee5e6b4b0d3255bfef95601890afd80709|d41d8cd98f00b204e9800998ecf8427e)$"
+    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^[0-9+/_=-]*$|^(sha(256|384|512)-)|"
+    r"^(da39a3ee5e6b4b0d3255bfef95601890afd80709|d41d8cd98f00b204e9800998ecf8427e)$"
 )
+# What makes a field between separators harmless.
+ALLOWED_FIELD = r"([^\x20])\1{7}|(?i:example|placeholder|changeme|^your$|dummy|sample|abcdefgh|01234567|12345678|qwerty)"
+EDGES = r"(?<=[\x20+/_=-])|(?=[\x20+/_=-])"
 
 
 def _bound(s: str) -> str:
@@ -91,9 +97,13 @@ def _running(items: str) -> str:
 
 def _spans(text: str, pattern: str, kind: int) -> Column:
     """``start, kind, stop, said`` of every match."""
+    return F.expr(_spans_sql(text, pattern, kind))
+
+
+def _spans_sql(text: str, pattern: str, kind: int) -> str:
     literal = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
     sums = _running("lengths")
-    return F.expr(
+    return (
         f"element_at(transform(array(regexp_extract_all({text}, {literal}, 0)), m -> if(size(m) = 0, "
         "cast(array() as array<struct<start:bigint,kind:int,stop:bigint,said:string>>), "
         f"element_at(transform(array(zip_with(slice(split({text}, {literal}, -1), 1, size(m)), m, (g, x) -> "
@@ -111,11 +121,26 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
         looked = looked.withColumn(name, _spans(f"`{body}`", pattern, i))
     kept = F.filter(names[0], lambda s: F.length(F.regexp_extract(s["said"], ASSIGNED, 1)) >= 6)
     based = looked.withColumn(names[0], F.concat(kept, F.col(names[1]), F.col(names[2]))).drop(names[1], names[2])
-    free = F.filter(
-        names[3], lambda s: ~F.exists(names[0], lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])) & ~s["said"].rlike(ALLOWED)
-    )
+
+    # Same length as the candidate: spaces for what the patterns' spans cover, then for harmless fields.
+    def uncovered(c: Column) -> Column:
+        inside = F.filter(names[0], lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
+
+        def blank(m: Column, b: Column) -> Column:
+            start, stop = F.greatest(b["start"], c["start"]), F.least(b["stop"], c["stop"])
+            n = (stop - start).cast("int")
+            return F.overlay(m, F.repeat(F.lit(" "), n), (start - c["start"] + 1).cast("int"), n)
+
+        fields = F.split(F.aggregate(inside, c["said"], blank), EDGES, -1)
+        kept = F.transform(fields, lambda x: F.when(x.rlike(ALLOWED_FIELD), F.repeat(F.lit(" "), F.length(x))).otherwise(x))
+        return F.struct(c["start"].alias("start"), F.array_join(kept, "").alias("rest"))
+
+    told = based.withColumn(f"_rest_{names[3]}", F.transform(F.filter(names[3], lambda c: ~c["said"].rlike(ALLOWED)), uncovered))
+    runs = _spans_sql("cand.rest", CANDIDATE, 3)
+    moved = f"transform({runs}, r -> struct(r.start + cand.start as start, r.kind as kind, r.stop + cand.start as stop, r.said as said))"
+    free = F.filter(F.flatten(F.expr(f"transform(`_rest_{names[3]}`, cand -> {moved})")), lambda s: ~s["said"].rlike(ALLOWED))
     high = F.expr(f"filter(`_free_{names[3]}`, s -> {_top_entropy('s.said')} >= {_bound('s.said')})")
-    told = based.withColumn(f"_free_{names[3]}", free)
+    told = told.withColumn(f"_free_{names[3]}", free).drop(f"_rest_{names[3]}")
     spans = F.array_sort(F.concat(F.col(names[0]), high))
     return put(told, {"spans": spans}).drop(body, names[0], names[3], f"_free_{names[3]}")
 
@@ -134,5 +159,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     for pattern in (strong, ACCESS, HEX):
         masked = F.regexp_replace(masked, pattern, REDACTED)
     extra = F.array_distinct(F.transform(F.filter("spans", lambda s: s["kind"] == 3), lambda s: s["said"]))
+    # Longest first, as one may be a part of another.
+    extra = F.transform(F.sort_array(F.transform(extra, lambda s: F.struct(F.length(s).alias("n"), s.alias("said"))), asc=False), lambda x: x["said"])
     masked = F.aggregate(extra, masked, lambda t, s: F.replace(t, s, F.lit(REDACTED)))
     return put(scanned, {text: F.when(F.size("spans") > 0, masked).otherwise(F.col(text))})
