@@ -16,7 +16,10 @@ from glosswork.plans import written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in no language: those without a letter. A missing language gets the predicted one."""
+    """Drop documents without a letter, and only those; a missing language gets the predicted one.
+
+    Score and mixture reject nothing here: the model decides only what a missing language becomes.
+    """
     model = language_id.learn(docs.select("lang", "text"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     told = language_id.predict(whole, model).where(F.col("lang_pred") != language_id.UNKNOWN)
