@@ -224,3 +224,82 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     name = F.when(F.col("doc_id") % 100 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), hundred, name)
     return scan(documents.withColumn("path", path))
+
+
+def _crc32_sql(digits: str) -> str:
+    """CRC-32 of a text of ASCII characters, bit by bit, in DuckDB SQL."""
+    codes = f"list_transform(string_split({digits}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))"
+    step = "lambda a, k: xor(a >> 1, CAST(3988292384 AS BIGINT) * (a & 1))"
+    zeros = "[CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]"
+    return (
+        f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), "
+        f"lambda crc, code: list_reduce(list_prepend(xor(crc, code), {zeros}), {step})), CAST(4294967295 AS BIGINT))"
+    )
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs in all documents; every tenth by the check sum of its id first repeats a stretch of its words up to the end."""
+    from glosswork.llm.common import word_list
+    from glosswork.llm.periodic_runs import find_runs
+
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.call_function("div", h, F.lit(10))
+    words = table(spark, folder, "documents").select("doc_id", "text", g.alias("g"), (h % 10 == 0).alias("planted"))
+    words = words.withColumn("words", F.when(F.col("planted"), word_list(F.col("text"))).otherwise(F.array().cast("array<string>")))
+    n = F.size("words").cast("bigint")
+    placed = words.withColumn("n", n).withColumn("a", F.when(n > 0, F.col("g") % n))
+    placed = placed.withColumn("p", 1 + F.call_function("div", F.col("n") - F.col("a"), 3 + F.col("g") % 8))
+    left = F.col("n") - F.col("a")
+    stretch = F.slice("words", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    times = F.ceil(left / F.col("p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(stretch, times)), F.lit(1), left.cast("int"))
+    planted = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), tail), " ")
+    found = find_runs(placed.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text")))
+    best = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("short")))
+    )
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    text = F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), "")
+    told = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), text.alias("lines"), "collapsed")
+    length, period = F.col("best.length"), -F.col("best.short")
+    return told.select(
+        "doc_id",
+        "n_runs",
+        (-F.col("best.before")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.call_function("div", 1000 * length, period).alias("exponent_milli"),
+        F.sha2(F.col("lines"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
+ORACLE["op13_periodic_runs"] = rf"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_crc32_sql("CAST(doc_id AS VARCHAR)")} AS h FROM documents
+), placed AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM docs
+), planted AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM placed
+), words AS (
+  SELECT doc_id, n, i, CASE WHEN a IS NULL OR i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM planted)
+), met AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i AND 2 * (y.i - x.i) <= x.n
+), stretches AS (
+  SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM met)
+  GROUP BY doc_id, q, island HAVING count(*) >= greatest(q, 12 - q)
+), runs AS (
+  SELECT * FROM stretches a WHERE NOT EXISTS (
+    SELECT 1 FROM stretches b WHERE b.doc_id = a.doc_id AND b.q < a.q AND a.q % b.q = 0 AND b.s <= a.s AND b.s + b.l >= a.s + a.l)
+), dropped AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words LEFT JOIN (SELECT *, TRUE AS gone FROM dropped) USING (doc_id, i)
+  WHERE gone IS NULL GROUP BY doc_id
+), told AS (
+  SELECT doc_id, count(*) AS n_runs, arg_max({{'s': s, 'l': l, 'q': q}}, l * 1000000000000 - s * 1000000 - q) AS best,
+    string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, CAST(best.l AS BIGINT) AS length, best.q AS period,
+  CAST(1000 * best.l // best.q AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM docs LEFT JOIN told USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
