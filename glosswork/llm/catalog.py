@@ -303,3 +303,97 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, CAST(best.l AS BI
   CAST(1000 * best.l // best.q AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
 FROM docs LEFT JOIN told USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
+
+
+@query
+def op12_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    from glosswork.llm.mixing import mix
+
+    return mix(table(spark, folder, "documents").select("doc_id", "source", "text")).drop("source")
+
+
+ORACLE["op12_source_mix"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') AS lines,
+    length(coalesce(text, '')) AS n, length(regexp_replace(coalesce(text, ''), '[0-9#*$%&|<>{}~^=_\\]', '', 'g')) AS plain
+  FROM documents
+), keyed AS (
+  SELECT doc_id, source, size,
+    -ln((CAST('0x' || substr(md5('12:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496)
+    / greatest(5, 100 - 300 * (n - plain) // greatest(n, 1) - 60 * (len(lines) - len(list_distinct(lines))) // greatest(len(lines), 1)) AS key
+  FROM sized
+), owned AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM keyed GROUP BY source
+), weighed AS (
+  SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS BIGINT)] AS weight, sum(source_size) OVER () AS total FROM owned
+), ordered AS (
+  SELECT *, row_number() OVER ranked AS place, total - coalesce(sum(3 * source_size) OVER (ranked ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remains,
+    sum(weight) OVER (ranked ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS parts
+  FROM weighed WINDOW ranked AS (ORDER BY 3 * source_size / weight, source IS NULL, source)
+), open AS (SELECT min(place) AS first, arg_min(remains, place) AS remains, arg_min(parts, place) AS parts FROM ordered WHERE weight * remains <= 3 * source_size * parts
+), aimed AS (
+  SELECT source, source_size, CASE WHEN place < first THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(weight * open.remains AS DOUBLE) / CAST(open.parts AS DOUBLE) END AS target
+  FROM ordered, open
+), budgets AS (SELECT *, CAST(least(floor(target + 0.5), 3 * source_size) AS BIGINT) AS budget FROM aimed
+), joined AS (
+  SELECT k.doc_id, k.size, b.source_size, b.target, CASE WHEN b.source_size > 0 THEN budget // b.source_size ELSE 0 END AS epochs, budget,
+    coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY key, k.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM keyed k JOIN budgets b ON k.source IS NOT DISTINCT FROM b.source
+), cut AS (SELECT *, CAST(greatest(0, least(size, budget - epochs * source_size - before)) AS BIGINT) AS part FROM joined)
+SELECT doc_id, size, source_size, target, epochs, part, CAST(epochs * size + part AS BIGINT) AS taken FROM cut
+"""
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The trie of all conversations, each rebuilt to begin like the first one of its hundred."""
+    from glosswork.llm.prefix_trie import numbered_turns, prefix_trie
+    from glosswork.plans import hot_lookup
+
+    turns = written(numbered_turns(table(spark, folder, "conversations")), "numbered")
+    sizes = written(turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_own")), "sizes")
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    convs = sizes.select("conv_id", "n_own", h.alias("h"), (F.col("conv_id") - F.col("conv_id") % 100).alias("base"))
+    bases = sizes.select(F.col("conv_id").alias("base"), F.col("n_own").alias("n_base"))
+    lead = F.least(F.col("h"), F.coalesce("n_base", F.lit(0)))
+    convs = convs.join(bases, "base", "left").withColumn("lead", lead)
+    convs = written(convs.withColumn("length", F.col("lead") + F.greatest(F.col("n_own") - F.col("h"), F.lit(0))), "convs")
+    kept = hot_lookup(turns, convs.withColumn("rows", F.col("n_own")).drop("base", "n_base"), ["conv_id"], ["place"]).where("place > h")
+    kept = kept.select("conv_id", (F.col("lead") + F.col("place") - F.col("h")).alias("place"), "digest", "chars", "length")
+    heads = turns.where("conv_id % 100 = 0 AND place <= 5").withColumnRenamed("conv_id", "base")
+    heads = heads.join(convs.select("conv_id", "base", "lead", "length"), "base").where("place <= lead")
+    return prefix_trie(kept.unionByName(heads.select(*kept.columns)), convs.select("conv_id", "length"))
+
+
+ORACLE["op11_prefix_trie"] = rf"""
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, count(*) AS n_own, {_crc32_sql("CAST(conv_id AS VARCHAR)")} % 6 AS h, conv_id - conv_id % 100 AS base FROM own GROUP BY conv_id
+), rebuilt AS (
+  SELECT c.conv_id, o.place, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.base WHERE o.place <= c.h
+  UNION ALL
+  SELECT o.conv_id, o.place - c.h + least(c.h, coalesce(b.n_own, 0)), o.role, o.text
+  FROM own o JOIN convs c USING (conv_id) LEFT JOIN convs b ON b.conv_id = c.base WHERE o.place > c.h
+), chain AS (
+  SELECT conv_id, place AS depth, length(text) AS chars, count(*) OVER (PARTITION BY conv_id) AS length,
+    md5(string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER (PARTITION BY conv_id ORDER BY place)) AS prefix
+  FROM rebuilt
+  UNION ALL SELECT c.conv_id, 0, 0, (SELECT count(*) FROM rebuilt r WHERE r.conv_id = c.conv_id), '' FROM convs c
+), nodes AS (
+  SELECT depth, prefix, min(conv_id) AS m, count(*) AS n, any_value(chars) AS chars,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = length), '')) AS ends
+  FROM chain GROUP BY depth, prefix
+), met AS (SELECT c.conv_id, depth, m FROM chain c JOIN nodes USING (depth, prefix)
+), hung AS (SELECT x.*, p.m AS up FROM nodes x LEFT JOIN met p ON p.conv_id = x.m AND p.depth = x.depth - 1
+), children AS (SELECT up AS m, depth - 1 AS depth, count(*) AS n_children FROM hung WHERE depth > 0 GROUP BY 1, 2
+), full_nodes AS (SELECT h.*, coalesce(n_children, 0) AS n_children FROM hung h LEFT JOIN children USING (m, depth)
+), below AS (
+  SELECT a.m, a.depth, sum(CASE WHEN x.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((x.n - 1) * x.chars) AS saved
+  FROM full_nodes x JOIN met a ON a.conv_id = x.m AND a.depth <= x.depth GROUP BY a.m, a.depth
+)
+SELECT m AS conv_id, depth, up AS parent_conv_id, n AS n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, ends AS ends_sha256 FROM full_nodes JOIN below USING (m, depth)
+"""
