@@ -532,3 +532,7 @@ ORACLE: dict[str, str] = {
           array_to_string(regexp_extract_all(text, '{TOKEN}'), ' ') AS toks,
           len(regexp_extract_all(text, '{TOKEN}')) AS n_items FROM documents""",
 }
+
+# The same rows by another way.
+ORACLE["retrieve_topk_index"] = ORACLE["retrieve_topk"]
+ORACLE["retrieval_replay_index"] = ORACLE["retrieval_replay"]

@@ -371,6 +371,13 @@ def retrieve_topk(spark: SparkSession, folder: str) -> DataFrame:
     return hits.withColumn("score", F.round("score", 6))
 
 
+@query
+def retrieve_topk_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector asks: the same hits as a full scan, from the lists of an index that can hold one."""
+    index = op.build_index(v.vectors(spark, folder, "raw_id"), scratch_folder(spark, "index"))
+    return op.search_index(v.vectors(spark, folder, "id"), index, 5).withColumn("score", F.round("score", 6))
+
+
 @query
 def project_queries(spark: SparkSession, folder: str) -> DataFrame:
     weight, bias = v.hash_weights(64, v.OUT_DIMS)
@@ -401,6 +408,15 @@ def retrieval_replay(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("n_items", F.col("n_items").cast("bigint"))
 
 
+@query
+def retrieval_replay_index(spark: SparkSession, folder: str) -> DataFrame:
+    domain = v.document_vectors(spark, folder, "id").withColumn("bk", whole_div(F.col("id"), v.BATCH_ROWS))
+    index = op.build_index(v.document_vectors(spark, folder, "raw_id"), scratch_folder(spark, "index"))
+    corpus = v.corpus(spark, folder).select("raw_id", tokens(F.col("text")).alias("input_ids"))
+    found = op.retrieval_replay(domain, index, corpus, 2, BUDGET, search=op.search_index)
+    return found.withColumn("n_items", F.col("n_items").cast("bigint"))
+
+
 @query
 def span_match(spark: SparkSession, folder: str) -> DataFrame:
     found = op.span_match(op.with_spans(v.knowledge(spark, folder)))

@@ -73,5 +73,6 @@ from glosswork.operators.tokens import (
     tokenize_plain,
     truncate_pad,
 )
+from glosswork.operators.vector_index import VectorIndex, build_index, open_index, search_index, search_with_probes
 
 __all__ = [name for name in dir() if not name.startswith("_")]

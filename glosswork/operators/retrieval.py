@@ -178,15 +178,23 @@ def retrieval_augment(
 
 
 def retrieval_replay(
-    domain: DataFrame, record: DataFrame, corpus: DataFrame, k: int, budget: int, group: str = "bk", key: str = "id"
+    domain: DataFrame,
+    record: DataFrame,
+    corpus: DataFrame,
+    k: int,
+    budget: int,
+    group: str = "bk",
+    key: str = "id",
+    search: Callable[..., DataFrame] | None = None,
 ) -> DataFrame:
     """Documents retrieved for each domain batch, cut into batches by length.
 
     ``domain`` holds ``key, group, embedding``; ``corpus`` holds ``raw_id`` and
     ``input_ids``. The result has one row per hit: ``group, item, raw_id,
-    n_items, batch_no``.
+    n_items, batch_no``. ``record`` may be whatever ``search`` takes in place of
+    ``retrieve_topk``, such as an index for ``search_index``.
     """
-    hits = retrieve_topk(domain, record, k, query_id=key)
+    hits = (search or retrieve_topk)(domain, record, k, query_id=key)
     grouped = hits.join(domain.select(F.col(key).alias("query_id"), group), "query_id")
     items = fetch_docs(grouped, corpus).withColumn("item", F.col("query_id") * k + F.col("rank") - 1)
     return length_batches(items, budget, group, "item").select(group, "item", "raw_id", "n_items", "batch_no")
