@@ -534,5 +534,6 @@ ORACLE: dict[str, str] = {
 }
 
 # The same rows by another way.
+ORACLE["read_knowledge_split"] = ORACLE["read_knowledge"]
 ORACLE["retrieve_topk_index"] = ORACLE["retrieve_topk"]
 ORACLE["retrieval_replay_index"] = ORACLE["retrieval_replay"]

@@ -52,6 +52,14 @@ def read_knowledge(spark: SparkSession, folder: str) -> DataFrame:
     return io.read_knowledge(spark, path).select("id", "prompt", F.array_join("targets", "|").alias("targets"))
 
 
+@query
+def read_knowledge_split(spark: SparkSession, folder: str) -> DataFrame:
+    """All prompts in few large arrays, each read by as many tasks as it has splits."""
+    path = scratch_folder(spark, "knowledge")
+    io.write_knowledge(v.knowledge(spark, folder), path, file_rows=100_000)
+    return io.read_knowledge(spark, path, split=True).select("id", "prompt", F.array_join("targets", "|").alias("targets"))
+
+
 @query
 def read_task_jsonl(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_folder(spark, "task")

@@ -1,5 +1,6 @@
 """Readers and writers for the file shapes of the workload."""
 
+from glosswork.sources.json_arrays import read_json_array
 from glosswork.sources.readers import (
     load_named_task,
     read_corpus,
@@ -16,6 +17,7 @@ __all__ = [
     "read_corpus",
     "read_custom",
     "read_embeddings",
+    "read_json_array",
     "read_knowledge",
     "read_metrics",
     "read_task_jsonl",

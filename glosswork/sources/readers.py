@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from glosswork.operators.ids import dense_row_id
 from glosswork.operators.pairs import TASK_COLUMNS
 from glosswork.plans.spread import attach, written
+from glosswork.sources.json_arrays import read_json_array
 
 KNOWLEDGE = "prompt string, targets array<string>"
 TASK = "text string, label string"
@@ -48,13 +49,15 @@ def _starts(sizes: DataFrame, order: list[str]) -> DataFrame:
     return sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
 
 
-def read_knowledge(spark: SparkSession, path: str) -> DataFrame:
+def read_knowledge(spark: SparkSession, path: str, split: bool = False) -> DataFrame:
     """Prompts from JSON array files of ``{prompt, targets}``: ``id, prompt, targets``.
 
-    ``path`` may be a folder of such files, which are taken in name order. One
-    array cannot be split between tasks, so a large collection should be many
-    files. Malformed JSON fails.
+    ``path`` may be a folder of such files, which are taken in name order. Each file
+    is read by one task, or with ``split``, for large files, by many
+    (``read_json_array``). Malformed JSON fails.
     """
+    if split:
+        return read_json_array(spark, path, KNOWLEDGE)
     raw = spark.read.schema(KNOWLEDGE).option("multiLine", True).option("mode", "FAILFAST").json(path)
     placed = written(_in_file_order(raw, ["prompt", "targets"]), "file-order")
     return _numbered(placed, "id").select("id", "prompt", "targets")
