@@ -537,3 +537,4 @@ ORACLE: dict[str, str] = {
 ORACLE["read_knowledge_split"] = ORACLE["read_knowledge"]
 ORACLE["retrieve_topk_index"] = ORACLE["retrieve_topk"]
 ORACLE["retrieval_replay_index"] = ORACLE["retrieval_replay"]
+ORACLE["refresh_record"] = ORACLE["embed_corpus"]

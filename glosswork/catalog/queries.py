@@ -439,6 +439,19 @@ def embed_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("raw_id", v.listed_micro(F.col("embedding")).alias("embedding"))
 
 
+@query
+def refresh_record(spark: SparkSession, folder: str) -> DataFrame:
+    """A record built from an older state of all documents, then brought up to them."""
+    now = v.texts(spark, folder).withColumnRenamed("id", "raw_id").select("raw_id", "text")
+    older = F.when(F.col("raw_id") % 7 == 0, F.concat("text", F.lit(" older"))).otherwise(F.col("text"))
+    was = now.where("raw_id % 11 <> 0").withColumn("text", older)
+    gone = now.select((-1 - F.col("raw_id")).alias("raw_id"), "text").where("raw_id % 5 = 0")
+    path = scratch_folder(spark, "record")
+    op.refresh_record(was.unionByName(gone), path)
+    op.refresh_record(now, path)
+    return op.read_record(spark, path).select("raw_id", v.listed_micro(F.col("embedding")).alias("embedding"))
+
+
 # Masking and packing
 
 

@@ -39,6 +39,7 @@ from glosswork.operators.metrics import (
 from glosswork.operators.packing import length_batch_first, length_batches, pack_blocks, pad_batch
 from glosswork.operators.pairs import project_pairs, resolve_text_columns
 from glosswork.operators.prompts import prompt_fill, span_mask, span_match, with_spans
+from glosswork.operators.record import change_set, manifests, read_record, refresh_record
 from glosswork.operators.retrieval import (
     dense_layer,
     embed_corpus,
