@@ -4,6 +4,7 @@ from glosswork.plans.spread import (
     attach,
     bounded,
     bucket_of,
+    forget,
     hot_lookup,
     quantile_bounds,
     rank_in_buckets,
@@ -17,6 +18,7 @@ __all__ = [
     "attach",
     "bounded",
     "bucket_of",
+    "forget",
     "hot_lookup",
     "quantile_bounds",
     "rank_in_buckets",

@@ -61,3 +61,14 @@ def test_rank_correlation_shares_its_pair_counts(spark):
 def test_no_python_where_expressions_suffice(spark, make):
     text = plan(make(spark))
     assert "Python" not in text and "Pandas" not in text and "ArrowEval" not in text
+
+
+def test_forgotten_tables_are_gone(spark):
+    import os
+
+    from glosswork.plans import forget, written
+
+    table = written(spark.range(5).toDF("x"), "gone")
+    again = written(table.select("x"), "kept")
+    forget(table)
+    assert not os.path.exists(table.scratch_path) and again.count() == 5
