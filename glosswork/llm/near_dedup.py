@@ -9,9 +9,11 @@ In a bucket edges from one centre to the other members become candidates first.
 most buckets, counted with their sizes: in a family of near copies that is the text the others were made from. Edges
 whose signatures agree too little to reach the threshold are left out, and the rest is confirmed on full sets. What is
 left over are buckets whose members are not one component: there the signatures of all pairs from different components
-are compared, as matrices inside tasks, each pair in the first bucket it shares, and the near ones are confirmed too. So
-every pair that shares a bucket is either in one component or was compared, whatever centres there were. A leftover
-bucket of more than ``PAIR_ROWS`` members is dealt out as pairs of blocks, so a task holds two blocks at a time.
+are compared, as matrices inside tasks, each pair in the first bucket it shares. Members that are near to one of another
+component get their full sets, in the units they were found in, and are confirmed inside the task; fewer edges than
+members leave it, so no pair ever becomes a row. Every pair that shares a bucket is either in one component or was
+compared, whatever centres there were. A leftover bucket of more than ``PAIR_ROWS`` members, or very large ones, is dealt
+out as pairs of blocks, so a task holds two blocks at a time.
 
 Components come from taking the smallest label around and jumping to the label's label, table by table. Bucket sizes,
 centres and labels are minima, maxima and counts that combine before the shuffle. Full sets are joined with the centre
@@ -36,12 +38,14 @@ from pyspark.sql import types as T
 
 from glosswork.llm.common import free_name, slices
 from glosswork.llm.shingles import WordHasher, mixed, raw_texts
-from glosswork.plans import written
+from glosswork.plans import forget, written
 
 BINS = 128
 BAND_BINS = 5  # 25 bands: two sets at 0.85 share none with a chance of 4e-7
 CENTRE_ROWS = 200
 PAIR_ROWS = 1024  # members of a leftover bucket that are compared with as many others at a time
+PAIR_SHINGLES = 4 << 20  # and the shingles that they may have together
+PAIRS = 1 << 16  # pairs whose bands are compared at a time
 GROUP_ROWS = 8192  # members of smaller leftover buckets that one call compares
 SKETCH_MARGIN = 0.15  # how far the estimate of a signature may lie below the truth: more than four deviations
 
@@ -135,8 +139,11 @@ def components(edges: DataFrame) -> DataFrame:
             "node", F.least("low", F.coalesce("_r", "low")).alias("root"), (F.least("low", F.coalesce("_r", "low")) < F.col("root")).alias("moved")
         )
         step = written(jumped, "labels")
-        labels = step.select("node", "root")
-        if step.where("moved").limit(1).count() == 0:
+        forget(labels)
+        labels, moved = step.select("node", "root"), step.where("moved").limit(1).count()
+        labels.scratch_path = step.scratch_path
+        if not moved:
+            forget(both)
             return labels
 
 
@@ -145,9 +152,8 @@ def _stars(members: DataFrame) -> DataFrame:
     return members.groupBy("bucket").agg(F.max(F.struct("score", "key"))["key"].alias("a"))
 
 
-def _near_cells(left: np.ndarray, right: np.ndarray, roots_l: np.ndarray, roots_r: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs from different components whose signatures agree in ``least`` bins at least."""
-    rows, cols = [], []
+def _near_pairs(left: np.ndarray, right: np.ndarray, roots_l: np.ndarray, roots_r: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs from different components whose signatures agree in ``least`` bins at least, some at a time."""
     for start in range(0, len(left), 256):
         part, roots = left[start : start + 256], roots_l[start : start + 256]
         other = np.flatnonzero(roots_r != roots[0]) if (roots == roots[0]).all() else np.arange(len(right))
@@ -161,28 +167,44 @@ def _near_cells(left: np.ndarray, right: np.ndarray, roots_l: np.ndarray, roots_
             for a, b in zip(np.ascontiguousarray(part.T), np.ascontiguousarray(facing.T)):
                 agree += a[:, None] == b[None, :]
         i, j = np.nonzero((agree >= least) & (roots[:, None] != roots_r[other][None, :]))
-        rows.append(i + start)
-        cols.append(other[j])
-    empty = np.zeros(0, np.int64)
-    return (np.concatenate(rows), np.concatenate(cols)) if rows else (empty, empty)
+        for at in range(0, len(i), PAIRS):
+            yield i[at : at + PAIRS] + start, other[j[at : at + PAIRS]]
 
 
-def _leftover_pairs(members: DataFrame, roots: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """``a, b`` of near pairs that share a bucket and lie in different components, every pair once."""
-    placed = members.join(roots, "key", "left").select("bucket", "key", F.xxhash64(F.coalesce("root", "key")).alias("root"))
+def _sides(unit: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """For rows sorted by unit: the rows of every unit's two sides, and whether they are one and the same."""
+    starts = np.flatnonzero(np.diff(unit, prepend=unit[:1] - 1))
+    for start, stop in zip(starts, [*starts[1:], len(unit)]):
+        rows = np.arange(start, stop)
+        whole = bool(side[start] == 2)
+        yield (rows, rows, True) if whole else (rows[side[rows] == 0], rows[side[rows] == 1], False)
+
+
+def _unlinked_members(members: DataFrame, roots: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """``unit, side, key, root, n`` of members that have a near one of another component in a unit.
+
+    A unit is a bucket, or a pair of blocks of a large one. A pair counts in the first bucket that it shares. Pairs stay
+    inside the task: what leaves it are at most the members that came in.
+    """
+    placed = members.join(roots, "key", "left").select("bucket", "key", "n", F.xxhash64(F.coalesce("root", "key")).alias("root"))
     placed = written(placed, "placed")
-    held = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    held = placed.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"), F.min("root").alias("low"), F.max("root").alias("high")
+    )
     # The only pair of a bucket of two has been an edge of its star.
-    apart = held.where((F.col("low") != F.col("high")) & (F.col("n") > 2))
-    parts = F.ceil(F.col("n") / PAIR_ROWS).cast("int")
+    apart = held.where((F.col("low") != F.col("high")) & (F.col("rows") > 2))
+    parts = F.greatest(F.ceil(F.col("rows") / PAIR_ROWS), F.ceil(F.col("shingles") / PAIR_SHINGLES)).cast("int")
     left = written(placed.join(apart.select("bucket", parts.alias("parts")), "bucket"), "leftover")
+    forget(placed)
     groups = max(1, left.count() // GROUP_ROWS)
     mine = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     dealt = left.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     unit = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
     work = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("bucket"), F.lit(groups))).otherwise(unit)
-    cells = dealt.select("bucket", "key", "root", work.alias("work"), unit.alias("unit"), side.alias("side")).join(classes, "key")
+    cells = dealt.select("bucket", "key", "n", "root", work.alias("work"), unit.alias("unit"), side.alias("side")).join(
+        classes.select("key", "sketch", "bands"), "key"
+    )
 
     def run(cut: pa.Table) -> pa.Table:
         cut = cut.combine_chunks()
@@ -191,25 +213,68 @@ def _leftover_pairs(members: DataFrame, roots: DataFrame, classes: DataFrame, le
         unit, root, side, bucket = (column(n)[order] for n in ("unit", "root", "side", "bucket"))
         sketch = np.frombuffer(b"".join(cut["sketch"].to_pylist()), "<u2").reshape(-1, BINS)[order]
         bands = cut["bands"].combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order]
-        starts = np.flatnonzero(np.diff(unit, prepend=unit[:1] - 1))
-        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for start, stop in zip(starts, [*starts[1:], len(unit)]):
-            rows = np.arange(start, stop)
-            whole = side[start] == 2
-            a, b = (rows, rows) if whole else (rows[side[rows] == 0], rows[side[rows] == 1])
-            i, j = _near_cells(sketch[a], sketch[b], root[a], root[b], least)
-            i, j = a[i], b[j]
-            if whole:
-                once = i < j
-                i, j = i[once], j[once]
-            same = bands[i] == bands[j]
-            first = bands[i, same.argmax(axis=1)] == bucket[i]
-            found_a.append(order[i[first]])
-            found_b.append(order[j[first]])
+        near = np.zeros(len(order), bool)
+        for a, b, _ in _sides(unit, side):
+            for i, j in _near_pairs(sketch[a], sketch[b], root[a], root[b], least):
+                i, j = a[i], b[j]
+                first = bands[i, (bands[i] == bands[j]).argmax(axis=1)] == bucket[i]
+                near[i[first]] = near[j[first]] = True
+        return cut.select(["unit", "side", "key", "root", "n"]).take(pa.array(np.sort(order[near])))
+
+    return cells.groupBy("work").applyInArrow(run, "unit bigint, side int, key binary, root bigint, n bigint")
+
+
+def _forest(unlinked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges ``a, b`` that join what is linked in each unit: fewer than its members.
+
+    A unit's shingles are numbered; a member marks its own and counts the marks of all others of other components at once.
+    Linked components become one, so a pair that is already joined is not compared.
+    """
+    unlinked = written(unlinked, "unlinked")
+    total = unlinked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    groups = max(1, math.ceil(total / PAIR_SHINGLES))
+    big = unlinked.groupBy("unit").agg((F.sum("n") > PAIR_SHINGLES // 8).alias("alone"))
+    work = F.when(F.col("alone"), F.col("unit")).otherwise(F.pmod(F.xxhash64("unit"), F.lit(groups)))
+    dealt = unlinked.join(big, "unit").withColumn("work", work).join(sets.select("key", "shingles"), "key")
+
+    def run(cut: pa.Table) -> pa.Table:
+        cut = cut.combine_chunks()
+        unit = cut["unit"].to_numpy()
+        order = np.argsort(unit, kind="stable")
+        cut = cut.take(pa.array(order))
+        unit, side, root = (cut[n].to_numpy() for n in ("unit", "side", "root"))
+        lists = cut["shingles"].combine_chunks()
+        sizes = lists.value_lengths().to_numpy().astype(np.int64)
+        flat, ends = lists.flatten().to_numpy(), np.cumsum(sizes)
+        left, right = [], []
+        for a, b, whole in _sides(unit, side):
+            rows = a if whole else np.concatenate([a, b])
+            low, high = rows.min(), rows.max()
+            begin = ends[low] - sizes[low]
+            number = np.unique(flat[begin : ends[high]], return_inverse=True)[1]
+            owned = lambda i: number[ends[i] - sizes[i] - begin : ends[i] - begin]
+            marks = np.zeros(number.max(initial=0) + 1, np.int32)
+            component = root.copy()
+            for i in a.tolist():
+                facing = (b[b > i] if whole else b)
+                facing = facing[component[facing] != component[i]]
+                if not len(facing):
+                    continue
+                marks[owned(i)] = 1
+                cells = np.concatenate([owned(j) for j in facing.tolist()])
+                met = np.add.reduceat(marks[cells], np.cumsum(sizes[facing]) - sizes[facing])
+                marks[owned(i)] = 0
+                linked = facing[100 * met >= percent * (sizes[i] + sizes[facing] - met)]
+                for j in linked.tolist():
+                    if component[j] != component[i]:
+                        left.append(i)
+                        right.append(j)
+                        component[rows[component[rows] == component[j]]] = component[i]
         keys = cut["key"].combine_chunks()
-        return pa.table({"a": keys.take(pa.array(np.concatenate(found_a))), "b": keys.take(pa.array(np.concatenate(found_b)))})
+        take = lambda at: keys.take(pa.array(np.array(at, np.int64)))
+        return pa.table({"a": take(left), "b": take(right)})
 
-    return cells.groupBy("work").applyInArrow(run, "a binary, b binary")
+    return dealt.groupBy("work").applyInArrow(run, "a binary, b binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -231,15 +296,18 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, doc
     Documents are linked when 100 times what their sets share is at least ``percent`` times what they hold together.
     """
     texts = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    rows = written(sketches(texts, width), "sketches")
-    labels = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("label"))
-    classes = rows.where(F.col("key").isNotNull()).dropDuplicates(["key"]).select("key", "sketch", "bands")
+    signed = written(sketches(texts, width), "sketches")
+    classes = signed.where(F.col("key").isNotNull()).dropDuplicates(["key"]).select("key", "sketch", "bands", "n_shingles")
     classes = written(classes, "classes")
-    spread = classes.select("key", F.explode("bands").alias("bucket"))
+    rows = written(signed.select("doc_id", "text_hash", "n_shingles", "key"), "rows")
+    forget(signed)
+    labels = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("label"))
+    spread = classes.select("key", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     inside = written(spread.join(shared, "bucket"), "buckets")
     scores = inside.groupBy("key").agg(F.sum(F.col("size") - 1).alias("score"))
-    members = written(inside.join(scores, "key").select("bucket", "key", "score"), "members")
+    members = written(inside.join(scores, "key").select("bucket", "key", "n", "score"), "members")
+    forget(inside)
 
     least = math.ceil((percent / 100 - SKETCH_MARGIN) * BINS - 1e-9)  # bins in which the signatures of a near pair agree
 
@@ -252,24 +320,25 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, doc
         enough = 100 * F.col("met") >= percent * (F.col("size_a") + F.col("size_b") - F.col("met"))
         return written(_confirmed(pairs, sets).where(enough).select("a", "b"), "links")
 
-    ends = F.explode(F.array("a", "b")).alias("key")
     pairs = members.join(written(_stars(members), "stars"), "bucket").where(F.col("key") != F.col("a")).select("a", F.col("key").alias("b")).distinct()
     sketch = classes.select("key", "sketch")
     left = sketch.select(F.col("key").alias("a"), F.col("sketch").alias("sketch_a"))
     right = sketch.select(F.col("key").alias("b"), F.col("sketch").alias("sketch_b"))
     likely = pairs.join(right, "b").join(left, "a").where(_agreement("sketch_a", "sketch_b") * BINS >= least)
     tried = written(likely.select("a", "b"), "candidates")
-    wanted = written(tried.select(ends).distinct(), "wanted")
+    wanted = written(tried.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
     sets = sets_of(wanted)
     links = linked(tried, sets)
 
     roots = components(links).withColumnRenamed("node", "key")
-    again = _leftover_pairs(members.select("bucket", "key"), roots, classes, least)
-    back = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    again = written(again.join(tried.union(back), ["a", "b"], "left_anti"), "again")
-    if again.limit(1).count():
-        more = written(again.select(ends).distinct().join(wanted, "key", "left_anti"), "wanted")
-        links = links.union(linked(again, sets.union(sets_of(more))))
+    unlinked = written(_unlinked_members(members, roots, classes, least), "unlinked")
+    forget(members, classes)
+    if unlinked.limit(1).count():
+        more = written(unlinked.select("key").distinct().join(wanted, "key", "left_anti"), "wanted")
+        later = sets_of(more)
+        links = links.union(written(_forest(unlinked, sets.union(later), percent), "links"))
+        forget(later)
+    forget(sets)
 
     root = components(links)
     named = root.join(labels.withColumnRenamed("key", "node"), "node")
