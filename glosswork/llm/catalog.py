@@ -130,8 +130,8 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     from glosswork.llm.packing import pack
 
     documents = table(spark, folder, "documents").select("doc_id", "source", "text")
-    tokens = written(encoded(documents, public_tokenizers.path("word_bpe_49k.json"), "word", end_id=2), "ids")
-    pieces = pack(tokens)
+    tokens = encoded(documents, public_tokenizers.path("word_bpe_49k.json"), "word", end_id=2)
+    pieces = pack(written(tokens.withColumn("row", F.monotonically_increasing_id()), "ids"), row="row")
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source"
     )

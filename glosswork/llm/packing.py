@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glosswork.llm.common import running_start
+from glosswork.llm.common import free_name, running_start
+from glosswork.plans import written
 
 WINDOW = 4096
 PACKET = 128  # tokens that a source sends at a time
@@ -92,16 +93,19 @@ def plan_pieces(
 
 def pack(
     documents: DataFrame, ids: str = "ids", source: str = "source", doc_id: str = "doc_id", width: int = 2,
-    shares: Mapping[str, float] | None = None, window: int = WINDOW, packet: int = PACKET,
+    shares: Mapping[str, float] | None = None, window: int = WINDOW, packet: int = PACKET, row: str | None = None,
 ) -> DataFrame:
     """Pieces of tokenized documents: ``doc_id, source, start, length, doc_tokens, sequence_id, offset, ids``.
 
-    ``ids`` holds little-endian numbers of ``width`` bytes and must come from a written table, since rows are named by
-    their place in it; the pieces' ids are little-endian 32-bit numbers.
+    ``ids`` holds little-endian numbers of ``width`` bytes; the pieces' ids are little-endian 32-bit numbers. ``row`` is a
+    column that names each row and has been written with it. Without one, the rows are written here with a name, as two
+    scans are not sure to number rows alike when executors come and go.
     """
+    if row is None:
+        row = free_name(documents, "row")
+        documents = written(documents.withColumn(row, F.monotonically_increasing_id()), "rows")
     named = documents.select(
-        F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
-        F.coalesce(ids, F.lit(b"")).alias("ids"),
+        F.col(row).alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(ids, F.lit(b"")).alias("ids")
     )
     order = F.xxhash64("doc_id", "row")
     sizes = named.select("row", "source", order.alias("order"), F.call_function("div", F.octet_length("ids"), F.lit(width)).alias("size"))

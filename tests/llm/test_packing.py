@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from glosswork.llm.catalog import QUERIES
-from glosswork.llm.packing import PACKET, WINDOW, assemble, pack
+from glosswork.llm.packing import PACKET, WINDOW, assemble, pack, plan_pieces
 from glosswork.plans import written
 
 
@@ -85,3 +85,43 @@ def test_assembled_windows(spark):
     windows = assemble(pack(tokens(spark, rows)), pad_id=0).orderBy("sequence_id").collect()
     assert [(w.used, w.padded, len(w.input_ids)) for w in windows] == [(4096, 4096, 4096), (4096, 4096, 4096), (1808, 2048, 2048)]
     assert sorted(i for w in windows for i in w.input_ids if i) == sorted(list(range(1, 2001)) * 5)
+
+
+def test_closed_form_equals_a_sequential_round_robin(spark):
+    """Queues that take turns, each sending packets while its carried credit is above nothing."""
+    window, packet = 256, 16
+    rows = [(i, "abc"[i % 3] if i % 5 else "d", i * 7919 % 1000 * (1 << 40) + i, 1 + i * 37 % 90) for i in range(300)]
+    sizes = spark.createDataFrame(rows, "row bigint, source string, order bigint, size bigint")
+    openings = {r.source: r.o for r in sizes.select("source", F.pmod(F.xxhash64("source"), F.lit(packet)).alias("o")).distinct().collect()}
+    own = defaultdict(int)
+    for _, s, _, n in rows:
+        own[s] += n
+    total = sum(own.values())
+    queues = {s: [(r, k) for _, _, r, n in sorted(((o >> 16) % 256, o, r, n) for r, q, o, n in rows if q == s) for k in range(n)] for s in own}
+    credit, sent, order = {s: -float(openings[s]) for s in own}, {s: 0 for s in own}, []
+    while any(sent[s] < len(queues[s]) for s in own):
+        for s in sorted(own):
+            credit[s] += window * own[s] / total
+            while credit[s] > 0:
+                order += queues[s][sent[s] : sent[s] + packet]
+                sent[s] += packet
+                credit[s] -= packet
+    placed = {}
+    for p in plan_pieces(sizes, window=window, packet=packet).collect():
+        for k in range(p.length):
+            placed[p.sequence_id * window + p.offset + k] = (p.row, p.start + k)
+    assert [placed[i] for i in range(total)] == order
+
+
+def test_rows_keep_their_names_when_scans_are_split_otherwise(spark):
+    """The scans of one plan may be cut differently, as when executors come and go between its stages."""
+    rows = [(i, "ab"[i % 2], binary([i] * (20 + i))) for i in range(400)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, source string, ids binary").repartition(5)
+    pieces = pack(written(documents, "test"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        found = pieces.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(p.length for p in found) == sum(20 + i for i in range(400))
+    assert all(set(np.frombuffer(p.ids, "<u4")) == {p.doc_id} for p in found)
