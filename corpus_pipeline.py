@@ -49,8 +49,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens, every source at its share: their place, ids and check sum."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    tokens = written(encoding.encoded(docs.select("doc_id", "source", "text"), path, "word", end_id=2), "ids")
-    return packing.pack(tokens).withColumn("ids_crc32", F.crc32("ids"))
+    tokens = encoding.encoded(docs.select("doc_id", "source", "text"), path, "word", end_id=2)
+    named = written(tokens.withColumn("row", F.monotonically_increasing_id()), "ids")
+    return packing.pack(named, row="row").withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [
