@@ -538,3 +538,9 @@ ORACLE["read_knowledge_split"] = ORACLE["read_knowledge"]
 ORACLE["retrieve_topk_index"] = ORACLE["retrieve_topk"]
 ORACLE["retrieval_replay_index"] = ORACLE["retrieval_replay"]
 ORACLE["refresh_record"] = ORACLE["embed_corpus"]
+ORACLE["stream_best"] = steps(
+    ["epochs"],
+    """SELECT a.run, a.epoch, round(a.value, 6) AS valid, round(b.value, 6) AS test, round(greatest(a.value, 0), 6) AS best
+    FROM (SELECT * FROM epochs WHERE metric = 'view' QUALIFY row_number() OVER (PARTITION BY run ORDER BY value DESC, epoch) = 1) a
+    LEFT JOIN epochs b ON a.run = b.run AND a.epoch = b.epoch AND b.metric = 'purchase'""",
+)

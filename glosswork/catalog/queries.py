@@ -664,6 +664,18 @@ def metric_at_best(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("valid", F.round("valid", 6)).withColumn("test", F.round("test", 6))
 
 
+@query
+def stream_best(spark: SparkSession, folder: str) -> DataFrame:
+    """The validation peak of every run, followed as its points come in."""
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
+    events = live.read_text_stream(spark, folder, schema, "events.parquet")
+    points = events.select(
+        F.col("user_id").alias("run"), F.dayofmonth("ts").cast("bigint").alias("epoch"), F.col("event_type").alias("metric"), "value"
+    )
+    found = live.stream_best(points, "view", "purchase")
+    return found.select("run", "epoch", *[F.round(c, 6).alias(c) for c in ("valid", "test", "best")])
+
+
 @query
 def total_loss(spark: SparkSession, folder: str) -> DataFrame:
     examples = op.cloze_loss(v.cloze(spark, folder)).select("batch", F.col("loss").alias("knowledge_loss"))
