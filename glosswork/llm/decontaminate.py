@@ -11,10 +11,11 @@ at least ``PERCENT`` percent of its words and the slots along them agree. A leak
 own values and ``reparameterised`` when they don't.
 
 Windows are made and looked up inside one stage; only met windows are shuffled, as one row for each document, item and
-place. The items' windows are broadcast when a count has shown that there are few, and joined by hash otherwise.
+place. The items' windows are broadcast when they have proved few and small, and joined by hash otherwise; texts take no
+part in that join. A window of placeholders alone stands for its own words, so number lists meet only their copies.
 
-Everything is built from string and array expressions. Defined results: no text, or one with fewer words than a window,
-meets nothing, and such an item is met by nothing; repeated items and repeated documents are each judged by
+Everything is built from string and array expressions. Defined results: no text, or one without a word, meets nothing and
+is met by nothing; an item with fewer words than a window is one window of its own length; repeated items and repeated documents are each judged by
 themselves, rows equal in id and text being one document. Null ids stay null. Other columns pass through
 ``without_leaks`` and don't come back from ``leaks``.
 """
@@ -25,31 +26,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.llm.common import WORD, free_name
-from glosswork.plans import written
+from glosswork.plans import bounded, written
 
 WIDTH = 5
 PERCENT = 80
 SHIFT = 4  # words added or missing inside a passage that is still one passage
-FEW_WINDOWS = 200_000  # windows of items that may be broadcast, about 60 bytes each
+FEW_WINDOWS = 200_000  # windows of items that may be sent to every task
+WINDOW_BYTES = 96 << 20  # and their bytes
 
 # The placeholders and what they stand for.
 NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"  # private characters, taken out of texts first
 PRIVATE = f"[{NUMBER}-{NAME}]"
 NUMERAL = r"[0-9][0-9.,:/]*|\b(?:two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|forty|fifty|hundred|thousand|million)\b"
 UNITS = (
-    r"(?<=[ %]?)(?:km|kg|cm|mm|mg|ml|lbs?|oz|mph|m|g|s|h|miles?|met(?:er|re)s?|feet|foot|inch(?:es)?|litres?|liters?|grams?|"
+    r"(?<=\ue000[ %]?)(?:km|kg|cm|mm|mg|ml|lbs?|oz|mph|m|g|s|h|miles?|met(?:er|re)s?|feet|foot|inch(?:es)?|litres?|liters?|grams?|"
     r"pounds?|dollars?|euros?|cents?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|percent)\b"
 )
-NAMES = r"(?<=[\p{Ll}\p{Nd},;:-] )\p{Lu}[\p{L}'’-]*"
+# Words that begin sentences without being names.
+OPENERS = (
+    "The A An In On At If When While What Who Whose Where Which Why How Is Are Was Were Do Does Did Can Could Will Would Should "
+    "There This That These Those It He She They We You I My His Her Their Our And But Or So Then For From To With By As After "
+    "Before Each Every Some All Both One Find Calculate Given Let Suppose"
+)
+# A capital is looked for first and then what stands around it: inside a sentence any word, at its start one in small letters.
+NAMES = (
+    r"\p{Lu}(?<!(?=(?:" + "|".join(OPENERS.split()) + r")\b).)(?:(?<=[\p{Ll}\p{Nd}\ue000\ue001,;:-] \p{Lu})"
+    r"|(?<=(?:^|[\r\n]|[.!?)\"\u201d\u00bb] )\p{Lu})(?=\p{Ll}))[\p{L}'\u2019-]*"
+)
 KEPT_IN_WORDS = r"[^\p{L}\p{N}\x20\x09-\x0D" + f"{NUMBER}-{NAME}]+"
+BESIDE_WORDS = ".,;:!?()[]\"'"
+
+
+def _template(text: Column) -> Column:
+    """The text with placeholders, without punctuation, in small letters: every expression named once."""
+    marked = F.regexp_replace(F.regexp_replace(text, PRIVATE, ""), NUMERAL, NUMBER)
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(marked, UNITS, UNIT), NAMES, NAME), KEPT_IN_WORDS, "")
+    return F.lower(F.coalesce(plain, F.lit("")))
+
+
+def _split(plain: Column) -> Column:
+    return F.filter(F.split(plain, r"[\x20\x09-\x0D]+"), lambda x: x != "")
 
 
 def template_words(text: Column) -> Column:
     """The words of a text's template, as many as the text has words with a letter or digit."""
-    marked = F.regexp_replace(F.regexp_replace(text, PRIVATE, ""), NUMERAL, NUMBER)
-    marked = F.when(F.contains(marked, F.lit(NUMBER)), F.regexp_replace(marked, UNITS, UNIT)).otherwise(marked)
-    plain = F.regexp_replace(F.regexp_replace(marked, NAMES, NAME), KEPT_IN_WORDS, "")
-    return F.filter(F.split(F.lower(F.coalesce(plain, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    return _split(_template(text))
 
 
 def _raw_words(text: Column) -> Column:
@@ -57,28 +78,46 @@ def _raw_words(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.regexp_replace(text, PRIVATE, ""), F.lit(WORD), F.lit(0)), lambda x: x.rlike(r"[\p{L}\p{N}]"))
 
 
-def _hash_at(words: str, at: str) -> Column:
-    return F.xxhash64(*[F.get(words, F.col(at) + i) for i in range(WIDTH)])
+def _windows(texts: DataFrame, keep: list[str], width: int) -> DataFrame:
+    """``keep, at, window, words`` of every window of ``width`` words of rows with ``plain`` and ``text``.
+
+    A window of nothing but placeholders says nothing; its own words stand in for them, so that lists of numbers or names
+    meet only their copies. The template is a column of its own: what follows names it twice and would compute it twice.
+    """
+    blank = r"[\x20\x09-\x0D]+"
+    bare = rf"(?:{PRIVATE}{blank}){{{width - 1}}}{PRIVATE}(?:{blank}|$)"
+    own = F.transform(_raw_words(F.col("text")), lambda x: F.lower(F.trim(x, F.lit(BESIDE_WORDS))))
+    none = F.array().cast("array<string>")
+    cut = texts.select(*keep, _split(F.col("plain")).alias("words"), F.when(F.col("plain").rlike(bare), own).otherwise(none).alias("own"))
+    places = F.when(F.size("words") >= width, F.sequence(F.lit(0), F.size("words") - width))
+    # The outer form: a plain explode would compute the places, and with them all words, once more for a filter.
+    at = cut.select(*keep, "words", "own", F.explode_outer(places).alias("at")).where(F.col("at").isNotNull())
+    empty = F.lit(True)
+    for i in range(width):
+        empty = empty & F.get("words", F.col("at") + i).isin(NUMBER, UNIT, NAME)
+    value = lambda i: F.when(empty, F.get("own", F.col("at") + i)).otherwise(F.get("words", F.col("at") + i))
+    said = F.when(empty, F.slice("own", F.col("at") + 1, width)).otherwise(F.slice("words", F.col("at") + 1, width))
+    return at.select(*keep, "at", F.xxhash64(F.lit(width), *[value(i) for i in range(width)]).alias("window"), said.alias("words"), F.lit(width).alias("width"))
 
 
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """``window, item, item_id, item_at, item_size, item_words, item_raw, item_windows`` for every distinct window of every item."""
-    cut = items.select(
-        F.col(item_id).alias("item_id"),
-        F.xxhash64(F.col(item_id), F.col(text)).alias("item"),
-        template_words(F.col(text)).alias("words"),
-        _raw_words(F.coalesce(F.col(text), F.lit(""))).alias("raw"),
+    """``window, width, item, item_id, item_at, item_size, item_words, item_raw, item_windows``: distinct windows of all items.
+
+    An item with fewer than ``WIDTH`` template words is one window of its own length.
+    """
+    named = items.select(
+        F.col(item_id).alias("item_id"), F.xxhash64(F.col(item_id), F.col(text)).alias("item"), F.col(text).alias("text"), _template(F.col(text)).alias("plain")
     ).dropDuplicates(["item"])
-    whole = cut.where(F.size("words") >= WIDTH)
-    at = whole.select("*", F.explode(F.sequence(F.lit(0), F.size("words") - WIDTH)).alias("item_at"))
-    each = at.select(
-        _hash_at("words", "item_at").alias("window"),
-        "item_id",
-        "item",
-        "item_at",
-        F.size("words").alias("item_size"),
-        F.slice("words", F.col("item_at") + 1, WIDTH).alias("item_words"),
-        F.slice("raw", F.col("item_at") + 1, WIDTH).alias("item_raw"),
+    named = named.withColumn("item_size", F.size(_split(F.col("plain")))).withColumn("raw", _raw_words(F.coalesce("text", F.lit(""))))
+    keep = ["item_id", "item", "item_size", "raw"]
+    each = None
+    for width in range(1, WIDTH + 1):
+        fits = F.col("item_size") >= width if width == WIDTH else F.col("item_size") == width
+        part = _windows(named.where(fits), keep, width)
+        each = part if each is None else each.unionByName(part)
+    each = each.select(
+        "window", "width", "item_id", "item", F.col("at").alias("item_at"), "item_size", F.col("words").alias("item_words"),
+        F.slice("raw", F.col("at") + 1, F.col("width")).alias("item_raw"),
     )
     sizes = each.groupBy(F.col("item").alias("_item")).agg(F.count_distinct("window").alias("item_windows"))
     return each.join(sizes, F.col("item") == F.col("_item")).drop("_item")
@@ -86,27 +125,37 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text")
 
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each leak: ``doc_id, text_hash, item_id, met, item_windows, slots, agreeing, kind``."""
-    windows = item_windows(items)
-    if windows.count() <= FEW_WINDOWS:
-        windows = F.broadcast(windows)
-    cut = documents.select(
-        F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"), template_words(F.col(text)).alias("words")
-    )
-    at = cut.where(F.size("words") >= WIDTH).select("*", F.explode(F.sequence(F.lit(0), F.size("words") - WIDTH)).alias("at"))
-    met = at.withColumn("window", _hash_at("words", "at")).join(windows, "window").where(F.slice("words", F.col("at") + 1, WIDTH) == F.col("item_words"))
+    windows = written(item_windows(items), "windows")
+    widths = [r.width for r in windows.select("width").distinct().orderBy("width").collect()]  # WIDTH at most
+    small = bounded(windows, FEW_WINDOWS, WINDOW_BYTES)
+    windows = windows if small is None else F.broadcast(small)
+    named = documents.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    plain = named.withColumn("plain", _template(F.col("text")))
+    met = None
+    for width in widths or [WIDTH]:
+        found = _windows(plain, ["doc_id", "text_hash"], width).join(windows, ["window", "width"]).where(F.col("words") == F.col("item_words"))
+        met = found if met is None else met.unionByName(found)
+    met = met.select("doc_id", "text_hash", "at", "width", "window", "item_id", "item", "item_windows", "item_size", "item_at", "item_words", "item_raw")
+    # Written, as several questions are asked of it and the texts should be read for it once.
+    met = written(met, "met")
     is_slot = lambda x: x.rlike(PRIVATE)
     has_slot = F.exists("item_words", is_slot)
-    said = F.slice(_raw_words(F.col("text")), F.col("at") + 1, WIDTH)
-    filled = F.arrays_zip(F.col("item_words").alias("t"), F.col("item_raw").alias("i"), said.alias("d"))
+    spots = met.where(has_slot).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.collect_set("at").alias("spots"))
+    few = bounded(spots)
+    wanted = named.join(spots if few is None else F.broadcast(few), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")))
+    # The words behind a text's windows are taken out once, for all places at which it met one with a slot.
+    raw = wanted.dropDuplicates(["doc_id", "text_hash"]).select("_d", "_h", "spots", _raw_words(F.col("text")).alias("raw"))
+    spoken = raw.select("_d", "_h", "raw", F.explode_outer("spots").alias("_at")).select("_d", "_h", "_at", F.slice("raw", F.col("_at") + 1, WIDTH).alias("said"))
+    filled = F.arrays_zip(F.col("item_words").alias("t"), F.col("item_raw").alias("i"), F.slice("said", F.lit(1), F.col("width")).alias("d"))
     pairs = F.transform(
         F.filter(filled, lambda x: is_slot(x["t"])), lambda x: F.struct(F.lower(x["i"]).alias("i"), F.lower(x["d"]).alias("d"))
     )
     none = F.array().cast("array<struct<i:string,d:string>>")
-    rows = met.select(
-        "doc_id", "text_hash", "item_id", "item", "item_windows", "item_size", "item_at", "window",
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")) & (F.col("at") == F.col("_at"))
+    rows = met.join(spoken, same, "left").select(
+        "doc_id", "text_hash", "item_id", "item", "item_windows", "item_size", "item_at", "window", "width",
         (F.col("at") - F.col("item_at")).alias("diagonal"), F.when(has_slot, pairs).otherwise(none).alias("pairs"),
     )
-    # Written, as several questions are asked of it and the texts should be read for it once.
     rows = written(rows, "met")
     keys = ["doc_id", "text_hash", "item", "item_id"]
     once = rows.groupBy(*keys, "item_windows", "window").agg(F.min(F.struct("diagonal", "pairs")).alias("m"))
