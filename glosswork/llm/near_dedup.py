@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,7 @@ PAIR_ROWS = 1024  # members of a leftover bucket that are compared with as many
 PAIR_SHINGLES = 4 << 20  # and the shingles that they may have together
 PAIRS = 1 << 16  # pairs whose bands are compared at a time
 GROUP_ROWS = 8192  # members of smaller leftover buckets that one call compares
+MAP_BITS = 1 << 28  # bits of the map of documents whose sets are wanted: 32 MB
 SKETCH_MARGIN = 0.15  # how far the estimate of a signature may lie below the truth: more than four deviations
 
 
@@ -120,6 +121,26 @@ def shingle_sets(documents: DataFrame, width: int) -> DataFrame:
     return documents.select("text").mapInArrow(run, "key binary, shingles array<bigint>")
 
 
+def _bit(doc_id: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(bits)) + 1
+
+
+def _with_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts whose ``doc_id`` is among the ``ids`` and a few others, without a shuffle of texts.
+
+    The ids' hashes set bits of a map of ``MAP_BITS`` bits at most, which is broadcast whatever the number of ids; a map that
+    is nearly full lets nearly all texts pass, and what passes by chance is sorted out by key afterwards.
+    """
+    wanted = max(1, ids.count())
+    bits = min(MAP_BITS, 1 << max(15, (16 * wanted - 1).bit_length()))
+    marked = ids.select(_bit("doc_id", bits).alias("bit"))
+    maps = marked.groupBy(F.bitmap_bucket_number("bit").alias("_slot")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_map"))
+    place = F.bitmap_bit_position(_bit("doc_id", bits))
+    met = texts.join(F.broadcast(maps), F.bitmap_bucket_number(_bit("doc_id", bits)) == F.col("_slot"))
+    byte = F.conv(F.hex(F.substring("_map", (F.call_function("div", place, F.lit(8)) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return met.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*texts.columns)
+
+
 @F.arrow_udf(T.DoubleType())
 def _agreement(left: pa.Array, right: pa.Array) -> pa.Array:
     a = np.frombuffer(b"".join(left.to_pylist()), "<u2").reshape(-1, BINS)
@@ -312,9 +333,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, doc
     least = math.ceil((percent / 100 - SKETCH_MARGIN) * BINS - 1e-9)  # bins in which the signatures of a near pair agree
 
     def sets_of(keys: DataFrame) -> DataFrame:
-        names = keys.join(labels, "key").select(F.col("label").alias("_label")).distinct()
-        chosen = texts.join(names, texts.doc_id.eqNullSafe(names["_label"]), "left_semi")
-        return written(shingle_sets(chosen, width).dropDuplicates(["key"]).join(keys, "key", "left_semi"), "sets")
+        names = written(keys.join(labels, "key").select(F.col("label").alias("doc_id")), "names")
+        return written(shingle_sets(_with_ids(texts, names), width).dropDuplicates(["key"]).join(keys, "key", "left_semi"), "sets")
 
     def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         enough = 100 * F.col("met") >= percent * (F.col("size_a") + F.col("size_b") - F.col("met"))
