@@ -534,6 +534,8 @@ ORACLE: dict[str, str] = {
 }
 
 # The same rows by another way.
+ORACLE["span_join"] = ORACLE["span_match"]
+ORACLE["read_numbered"] = ORACLE["read_corpus"]
 ORACLE["read_knowledge_split"] = ORACLE["read_knowledge"]
 ORACLE["retrieve_topk_index"] = ORACLE["retrieve_topk"]
 ORACLE["retrieval_replay_index"] = ORACLE["retrieval_replay"]

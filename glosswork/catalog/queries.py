@@ -12,6 +12,7 @@ from glosswork import sources as io
 from glosswork import streaming as live
 from glosswork.catalog import views as v
 from glosswork.functions import letter_index, snippet, tokens, whole_div
+from glosswork.functions.arrays import flattened
 from glosswork.operators.tokens import FIRST_WORD_ID
 from glosswork.plans import scratch_folder
 
@@ -95,6 +96,21 @@ def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return io.read_corpus(spark, f"{folder}/documents.parquet", "text", order="doc_id")
 
 
+@query
+def read_numbered(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as a corpus that came in three parts, each numbered when it was there."""
+    root = scratch_folder(spark, "arriving")
+    documents = v.table(spark, folder, "documents").select("doc_id", "text")
+    bounds = documents.agg(F.min("doc_id"), F.max("doc_id")).first()
+    third = (bounds[1] - bounds[0]) // 3 + 1
+    for part in range(3):
+        low = bounds[0] + part * third
+        arrived = documents.where((F.col("doc_id") >= low) & (F.col("doc_id") < low + third))
+        arrived.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select("text").write.parquet(f"{root}/corpus/{part}")
+        io.number_new_files(spark, f"{root}/corpus/*", f"{root}/ledger")
+    return io.read_numbered(spark, f"{root}/corpus/*", f"{root}/ledger")
+
+
 @query
 def embedding_store(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_folder(spark, "embeddings")
@@ -433,6 +449,16 @@ def span_match(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def span_join(spark: SparkSession, folder: str) -> DataFrame:
+    """``span_match`` from a table of tokens and a table of spans."""
+    rows = op.with_spans(v.knowledge(spark, folder))
+    tokens = flattened(rows, ["id"], F.col("tokens"), "t", "token_no").select("id", "token_no", "t.b", "t.e", "t.tok")
+    spans = flattened(rows, ["id"], F.col("spans"), "s", "span_no").select("id", "span_no", "s.b", "s.e")
+    found = op.span_join(tokens, spans, width=16)
+    return found.withColumns({c: F.col(c).cast("bigint") for c in ("token_no", "span_no")})
+
+
 @query
 def embed_corpus(spark: SparkSession, folder: str) -> DataFrame:
     found = op.embed_corpus(v.texts(spark, folder).withColumnRenamed("id", "raw_id"))

@@ -63,6 +63,7 @@ from glosswork.operators.scoring import (
     total_layer_mse,
     total_loss,
 )
+from glosswork.operators.spans import span_join
 from glosswork.operators.tokens import (
     build_vocab,
     encode_ids,
