@@ -539,6 +539,7 @@ ORACLE["read_numbered"] = ORACLE["read_corpus"]
 ORACLE["read_knowledge_split"] = ORACLE["read_knowledge"]
 ORACLE["retrieve_topk_index"] = ORACLE["retrieve_topk"]
 ORACLE["retrieval_replay_index"] = ORACLE["retrieval_replay"]
+ORACLE["stream_replay"] = ORACLE["retrieval_replay"]
 ORACLE["refresh_record"] = ORACLE["embed_corpus"]
 ORACLE["stream_best"] = steps(
     ["epochs"],

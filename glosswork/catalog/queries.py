@@ -702,6 +702,31 @@ def stream_best(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("run", "epoch", *[F.round(c, 6).alias(c) for c in ("valid", "test", "best")])
 
 
+@query
+def stream_replay(spark: SparkSession, folder: str) -> DataFrame:
+    """``retrieval_replay`` of domain rows and hits that come in as streams; a last row on both sides closes all windows."""
+    at = lambda i: F.timestamp_seconds(1_700_000_000 + whole_div(i, v.BATCH_ROWS) * 3600)
+    domain = v.document_vectors(spark, folder, "id").withColumn("bk", whole_div(F.col("id"), v.BATCH_ROWS))
+    hits = op.retrieve_topk(domain, v.document_vectors(spark, folder, "raw_id"), 2)
+    end = F.lit("2100-01-01 00:00:00").cast("timestamp")
+    last = spark.range(1).select(F.lit(-1).cast("bigint").alias("id"), F.lit(-1).cast("bigint").alias("bk"), end.alias("ts"))
+    root = scratch_folder(spark, "streams")
+    domain.select("id", "bk", at(F.col("id")).alias("ts")).write.parquet(f"{root}/domain")
+    last.write.mode("append").parquet(f"{root}/domain")
+    hits.select("query_id", "rank", "raw_id", at(F.col("query_id")).alias("ts")).write.parquet(f"{root}/hits")
+    late = last.select(F.lit(-2).cast("bigint").alias("query_id"), F.lit(1).cast("bigint").alias("rank"), F.lit(0).cast("bigint").alias("raw_id"), "ts")
+    late.write.mode("append").parquet(f"{root}/hits")
+    corpus = v.corpus(spark, folder).select("raw_id", tokens(F.col("text")).alias("input_ids"))
+    found = live.stream_replay(
+        live.read_text_stream(spark, f"{root}/domain", "id bigint, bk bigint, ts timestamp", "*.parquet"),
+        live.read_text_stream(spark, f"{root}/hits", "query_id bigint, rank bigint, raw_id bigint, ts timestamp", "*.parquet"),
+        corpus,
+        2,
+        BUDGET,
+    )
+    return found.select("bk", "item", "raw_id", F.col("n_items").cast("bigint").alias("n_items"), "batch_no")
+
+
 @query
 def total_loss(spark: SparkSession, folder: str) -> DataFrame:
     examples = op.cloze_loss(v.cloze(spark, folder)).select("batch", F.col("loss").alias("knowledge_loss"))
