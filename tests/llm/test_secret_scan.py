@@ -74,3 +74,10 @@ def test_secrets_joined_to_other_fields(spark):
     assert [g.count("entropy") for g in got] == [1, 1, 1, 1, 0]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert not any(key in r.text or access in r.text or digest in r.text for r in redact(df).collect())
+
+
+def test_a_digest_mark_hides_only_a_digest(spark):
+    strong = "q7Zp3Rk9Xw2Lm8Tv4Bn6aB3xQ9Ls"
+    digest = "sha256-" + (strong * 2)[:43] + "="
+    got = spans_of(spark, [f"sha256-/{strong}", digest, f"x {digest} y", f"sha512-{strong}"])
+    assert got[0].startswith("entropy:") and got[1:3] == ["", ""] and got[3].startswith("entropy:")
