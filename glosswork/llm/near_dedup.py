@@ -44,7 +44,7 @@ BINS = 128
 BAND_BINS = 5  # 25 bands: two sets at 0.85 share none with a chance of 4e-7
 CENTRE_ROWS = 200
 PAIR_ROWS = 1024  # members of a leftover bucket that are compared with as many others at a time
-PAIR_SHINGLES = 4 << 20  # and the shingles that they may have together
+PAIR_SHINGLES = 1 << 20  # and the shingles that they may have together
 PAIRS = 1 << 16  # pairs whose bands are compared at a time
 GROUP_ROWS = 8192  # members of smaller leftover buckets that one call compares
 MAP_BITS = 1 << 28  # bits of the map of documents whose sets are wanted: 32 MB
@@ -254,7 +254,7 @@ def _forest(unlinked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     unlinked = written(unlinked, "unlinked")
     total = unlinked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     groups = max(1, math.ceil(total / PAIR_SHINGLES))
-    big = unlinked.groupBy("unit").agg((F.sum("n") > PAIR_SHINGLES // 8).alias("alone"))
+    big = unlinked.groupBy("unit").agg((F.sum("n") > PAIR_SHINGLES // 2).alias("alone"))
     work = F.when(F.col("alone"), F.col("unit")).otherwise(F.pmod(F.xxhash64("unit"), F.lit(groups)))
     dealt = unlinked.join(big, "unit").withColumn("work", work).join(sets.select("key", "shingles"), "key")
 

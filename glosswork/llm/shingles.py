@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20  # text hashed at a time, cut between words
+BLOCK_BYTES = 512 << 10  # text hashed at a time, cut between words
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
