@@ -21,10 +21,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Score and mixture reject nothing here: the model decides only what a missing language becomes.
     """
     model = language_id.learn(docs.select("lang", "text"))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    # The text goes to Python once, beside the other columns.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "text")
     told = language_id.predict(whole, model).where(F.col("lang_pred") != language_id.UNKNOWN)
-    lang = F.coalesce(F.col("row.lang"), F.col("lang_pred"))
-    return told.select(*[lang.alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
+    changed = {"lang": F.coalesce(F.col("row.lang"), F.col("lang_pred")), "text": F.col("text")}
+    return told.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
