@@ -93,6 +93,8 @@ def _batch_starts(budget: int) -> Callable[[Column], Column]:
 
 
 def _sized(df: DataFrame, items: str) -> DataFrame:
+    if isinstance(df.schema[items].dataType, T.IntegralType):
+        return df.withColumn("n_items", F.coalesce(F.col(items).cast("int"), F.lit(0)))
     # Empty rows find no start later. Filtering them here would make Spark
     # compute a derived array column a second time, inside the filter.
     return df.withColumn("n_items", F.coalesce(F.size(items), F.lit(0)))
@@ -117,7 +119,8 @@ def length_batches(
 
     Rows are taken longest first (ties by key); a batch closes when its first
     row's length times the number of rows would pass ``budget``. Adds ``n_items``
-    and ``batch_no``. Rows without items are left out.
+    and ``batch_no``. Rows without items are left out. ``items`` may also be a
+    column of their numbers, where the lists themselves need not travel.
 
     The sequential part sees only the lengths of a group and how often each
     occurs. Rows are ranked inside one length of one group, and where one length

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.operators.packing import length_batches
-from glosswork.plans.spread import scratch_folder
+from glosswork.plans.spread import scratch_folder, written
 from glosswork.streaming.rollup import _stored
 
 
@@ -38,15 +38,14 @@ def stream_replay(
     found = hits.select("query_id", "rank", "raw_id", F.col("ts").alias("_found")).withWatermark("_found", delay)
     met = (F.col("query_id") == F.col("_id")) & (F.col("_found") >= F.col("_asked")) & (F.col("_found") <= F.col("_asked") + F.expr(f"interval {window}"))
     pairs = asked.join(found, met).select("_asked", "_group", "raw_id", (F.col("query_id") * k + F.col("rank") - 1).cast("bigint").alias("item"))
-    sized = pairs.join(corpus.select("raw_id", F.size("input_ids").alias("_size")), "raw_id")
+    sizes = written(corpus.select("raw_id", F.size("input_ids").alias("_size")), "sizes")  # every trigger reads them
+    sized = pairs.join(sizes, "raw_id")
     closed = sized.groupBy(F.window("_asked", window).alias("_w"), "_group").agg(F.collect_list(F.struct("item", "raw_id", "_size")).alias("_rows"))
     schema = f"window_start timestamp, {group} {kind}, item bigint, raw_id bigint, n_items int, batch_no bigint"
 
     def keep(batch: DataFrame, number: int) -> None:
         rows = batch.select(F.struct("_w.start", "_group").alias("_at"), F.explode("_rows").alias("_r")).select("_at", "_r.*")
-        # Lengths decide; lists of that length stand for the tokens, which stay in the corpus.
-        listed = rows.withColumn("_items", F.array_repeat(F.lit(0), F.col("_size")))
-        cut = length_batches(listed, budget, "_at", "item", "_items")
+        cut = length_batches(rows, budget, "_at", "item", "_size")
         cut.select(
             F.col("_at.start").alias("window_start"), F.col("_at._group").alias(group), "item", F.col("raw_id").cast("bigint").alias("raw_id"), "n_items", "batch_no"
         ).write.mode("overwrite").parquet(f"{path}/closed/batch={number:020d}")
