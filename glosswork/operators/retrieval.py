@@ -21,6 +21,10 @@ from glosswork.plans.spread import HOT_ROWS, hot_lookup, written
 QUERY_BYTES = 64 << 20  # queries up to this size are sent to every task
 SCAN_TASKS = 4  # tasks for each core that scan the record: each gives out k hits for every query
 SCORE_CELLS = 4 << 20  # scores held at once
+ASKED_ROWS, STORED_ROWS = 512, 2048  # queries and vectors of one product in single precision
+FIRST_ROWS = 256  # vectors of the first one, when no k-th score is known
+NEAR_PAIRS = 64  # pairs for each query of a slice that are scored singly
+LONGEST = 1e15  # vectors up to this length are compared in single precision first
 SCORE_DIGITS = 9  # scores closer than this rank as equal, whatever the block shapes
 HITS = "query_id bigint, raw_id bigint, score double"
 
@@ -61,6 +65,105 @@ def _score(
     return _top(np.hstack([held[0], scores]), np.hstack([held[1], best]), k)
 
 
+def _without_spare_copies(stored: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of vectors that are equal only the ``k`` lowest ids: no others can be hits."""
+    if len(stored) <= k or not stored.shape[1]:
+        return stored, ids
+    whole = np.ascontiguousarray(stored).view(np.dtype((np.void, stored.dtype.itemsize * stored.shape[1]))).ravel()
+    _, group = np.unique(whole, return_inverse=True)
+    if group.max() + 1 == len(stored):
+        return stored, ids
+    order = np.lexsort((ids, group))
+    begins = np.flatnonzero(np.diff(group[order], prepend=-1))
+    place = np.arange(len(order)) - np.repeat(begins, np.diff(begins, append=len(order)))
+    kept = order[place < k]
+    return stored[kept], ids[kept]
+
+
+class _Held:
+    """The best ``k`` vectors of every query, kept while blocks of vectors come in.
+
+    Products in single precision find the pairs that can reach the k-th score so far, or ``floor`` where that is higher:
+    a pair is left out only when it misses it by more than all rounding together. Those pairs alone are scored in double
+    precision. Queries of a slice with very many of them, as ties give, are scored against the whole block.
+    """
+
+    def __init__(self, asked: np.ndarray, k: int, floor: np.ndarray | None = None):
+        self.asked, self.k, self.floor, self.seen = asked, k, floor, 0
+        self.scores = np.full((len(asked), k), -np.inf)
+        self.ids = np.zeros((len(asked), k), np.int64)
+        self.real = np.zeros((len(asked), k), bool)
+        self.length = np.sqrt((asked * asked).sum(axis=1))
+        self.plain = bool((self.length < LONGEST).all())
+        self.narrow = asked.astype(np.float32) if self.plain else None
+
+    def edges(self, rows: np.ndarray) -> np.ndarray:
+        least = np.where(self.real[rows, -1], self.scores[rows, -1], -np.inf)
+        return least if self.floor is None else np.maximum(least, self.floor[rows])
+
+    def add(self, stored: np.ndarray, ids: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Take in a block of vectors, for all queries or for those in the given places."""
+        rows = np.arange(len(self.asked)) if rows is None else rows
+        stored, ids = _without_spare_copies(stored, ids, self.k)
+        at = 0
+        while at < len(stored):
+            few = max(FIRST_ROWS, 4 * self.k, self.seen) if self.floor is None else STORED_ROWS
+            block, names = stored[at : at + min(few, STORED_ROWS)], ids[at : at + min(few, STORED_ROWS)]
+            at, self.seen = at + len(block), self.seen + len(block)
+            longest = float(np.sqrt((block * block).sum(axis=1)).max())
+            quick = self.plain and longest < LONGEST
+            narrow = block.astype(np.float32).T if quick else None
+            for i in range(0, len(rows), ASKED_ROWS):
+                part = rows[i : i + ASKED_ROWS]
+                if quick:
+                    self._add_near(part, block, narrow, names, longest)
+                else:
+                    self._add_all(part, block, names)
+
+    def _add_near(self, part: np.ndarray, block: np.ndarray, narrow: np.ndarray, names: np.ndarray, longest: float) -> None:
+        near = self.narrow[part] @ narrow
+        # Rounding of both vectors, of each product and of the sums, twice over, and that of the scores.
+        slack = (block.shape[1] + 8) * 2.0**-23 * self.length[part] * longest + 3 * 10.0**-SCORE_DIGITS
+        edge = self.edges(part) - slack
+        some = np.flatnonzero(near.max(axis=1) >= edge)
+        if not len(some):
+            return
+        low = np.nextafter(edge[some].astype(np.float32), np.float32(-np.inf))
+        who, which = np.nonzero(near[some] >= low[:, None])
+        part = part[some]
+        if len(who) > NEAR_PAIRS * len(part):
+            self._add_all(part, block, names)
+            return
+        scores = np.round(np.einsum("ij,ij->i", self.asked[part[who]], block[which]), SCORE_DIGITS)
+        better = scores >= self.edges(part)[who]
+        who, scores, found = who[better], scores[better], names[which[better]]
+        if len(who):
+            counts = np.bincount(who, minlength=len(part))
+            touched = np.flatnonzero(counts)
+            row = np.searchsorted(touched, who)
+            column = np.arange(len(who)) - (np.cumsum(counts) - counts)[who]
+            shape = len(touched), int(counts.max())
+            wide, named, real = np.full(shape, -np.inf), np.zeros(shape, np.int64), np.zeros(shape, bool)
+            wide[row, column], named[row, column], real[row, column] = scores, found, True
+            self._merge(part[touched], wide, named, real)
+
+    def _add_all(self, part: np.ndarray, block: np.ndarray, names: np.ndarray) -> None:
+        scores, found = _score(self.asked[part], block, names, self.k)
+        self._merge(part, scores, found, np.ones(scores.shape, bool))
+
+    def _merge(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, real: np.ndarray) -> None:
+        scores, ids, real = (np.hstack(x) for x in ((self.scores[rows], scores), (self.ids[rows], ids), (self.real[rows], real)))
+        order = np.lexsort((ids, -scores, ~real))[:, : self.k]
+        self.scores[rows], self.ids[rows], self.real[rows] = (np.take_along_axis(x, order, 1) for x in (scores, ids, real))
+
+    def hits(self, query_ids: np.ndarray) -> pa.RecordBatch:
+        who, place = np.nonzero(self.real)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(query_ids[who], pa.int64()), pa.array(self.ids[who, place], pa.int64()), pa.array(self.scores[who, place], pa.float64())],
+            names=["query_id", "raw_id", "score"],
+        )
+
+
 def _hits(query_ids: np.ndarray, held: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
     scores, ids = held
     return pa.RecordBatch.from_arrays(
@@ -85,12 +188,12 @@ def retrieve_topk(
 ) -> DataFrame:
     """The ``k`` stored vectors with the largest inner product: ``query_id, rank, raw_id, score``.
 
-    Exact. Pairs are scored as matrix products inside tasks and only each task's
+    Exact. Pairs are compared as matrix products inside tasks and only each task's
     own best ``k`` per query leave it, so the pairs themselves never become
     rows. Queries that measure at most ``query_bytes`` are sent to every task
     and the record is read once; more queries go in blocks of that size, with one
-    scan of the record each. The scan has a few tasks for each core, since every
-    task gives out hits for every query. Ties go to the lower id.
+    scan of the record each. The record is dealt to a few tasks for each core, since
+    every task gives out hits for every query. Ties go to the lower id.
     """
     queries = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(vector).alias("v"))
     record = record.select(F.col(raw_id).cast("bigint").alias("raw_id"), F.col(vector).alias("v"))
@@ -111,19 +214,20 @@ def _scan_with_queries(queries: DataFrame, record: DataFrame, k: int) -> DataFra
         held = None
         for batch in batches:
             if batch.num_rows and len(query_ids):
-                held = _score(asked, _matrix(batch["v"]), batch["raw_id"].to_numpy(), k, held)
+                held = held or _Held(asked, k)
+                held.add(_matrix(batch["v"]), batch["raw_id"].to_numpy())
         if held is not None:
-            yield _hits(query_ids, held)
+            yield held.hits(query_ids)
 
     tasks = SCAN_TASKS * record.sparkSession.sparkContext.defaultParallelism
-    return record.coalesce(tasks).mapInArrow(scan, HITS)
+    return record.repartition(tasks, "raw_id").mapInArrow(scan, HITS)
 
 
 def _block_by_block(queries: DataFrame, record: DataFrame, k: int, query_rows: int, query_block: int) -> DataFrame:
-    """One scan of the record for each block of queries; of the record nothing is shuffled."""
+    """One scan of the record, written once, for each block of queries."""
     blocks = math.ceil(query_rows / query_block)
     dealt = written(queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "queries")
-    found = None
+    record, found = written(record, "record"), None
     for block in range(blocks):
         part = dealt.where(F.col("block") == block).drop("block")
         hits = written(_best(_scan_with_queries(part, record, k), k), "hits")
@@ -196,8 +300,10 @@ def retrieval_replay(
     """
     hits = (search or retrieve_topk)(domain, record, k, query_id=key)
     grouped = hits.join(domain.select(F.col(key).alias("query_id"), group), "query_id")
-    items = fetch_docs(grouped, corpus).withColumn("item", F.col("query_id") * k + F.col("rank") - 1)
-    return length_batches(items, budget, group, "item").select(group, "item", "raw_id", "n_items", "batch_no")
+    # Lengths decide, so the lists themselves stay where they are.
+    found = fetch_docs(grouped, corpus.select("raw_id", F.size("input_ids").alias("_size")))
+    items = written(found.select(group, (F.col("query_id") * k + F.col("rank") - 1).alias("item"), "raw_id", "_size"), "items")
+    return length_batches(items, budget, group, "item", "_size").select(group, "item", "raw_id", "n_items", "batch_no")
 
 
 def hashed_embedding(df: DataFrame, dims: int, seed: int = 0, key: str = "raw_id", text: str = "text") -> DataFrame:

@@ -3,7 +3,8 @@
 A list holds the stored vectors nearest to its centre. For a query ``q`` no vector of a list with centre ``c`` and radius
 ``r`` scores more than ``<q, c> + |q| r``. A search first looks into the few lists whose centres score best; the k-th
 best score found there is a threshold, and of the other lists only those whose bound reaches it are read. So the hits are
-those of a full scan; how many lists are skipped depends on how well the vectors cluster.
+those of a full scan; how many lists are skipped depends on how well the vectors cluster. Pairs of query and list are
+never rows of that second look: blocks of queries are sent to the tasks that read the lists.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glosswork.functions.draws import HEX_SPAN, draw
-from glosswork.operators.retrieval import HITS, _best, _hits, _matrix, _score
+from glosswork.operators.retrieval import HITS, QUERY_BYTES, SCAN_TASKS, _best, _Held, _hits, _matrix, _score
 from glosswork.plans.spread import written
 
 CENTRE_BYTES = 64 << 20  # centres are sent to every task
@@ -29,6 +30,7 @@ ROUNDS = 6  # of moving the centres
 PART_ROWS = 4096  # vectors of a list, and queries of a list, that one task compares at a time
 FIRST_LISTS = 4  # lists that every query looks into
 SLACK = 1e-8  # more than scores are rounded by
+NAMED_LISTS = 10_000  # lists that a filter names one by one
 
 
 @dataclass
@@ -146,8 +148,33 @@ def _chosen(asked: np.ndarray, k: int, centres: np.ndarray, rows: np.ndarray, fi
     return mask
 
 
-def _probes(queries: DataFrame, shared: Broadcast, k: int, first: int, rest: bool) -> DataFrame:
-    """``query_id, v, list``: the first lists of each query, or with ``rest`` the others whose bound reaches ``least``."""
+def _reached(asked: np.ndarray, least: np.ndarray, centres: np.ndarray, radii: np.ndarray, length: np.ndarray | None = None) -> np.ndarray:
+    """Which lists can hold a vector that scores ``least``, for every query."""
+    length = (np.sqrt((asked * asked).sum(axis=1)) if length is None else length)[:, None]
+    return asked @ centres.T + length * radii >= least[:, None] - SLACK * (1 + length)
+
+
+def _probes(queries: DataFrame, shared: Broadcast, k: int, first: int) -> DataFrame:
+    """``query_id, v, list``: the first lists of each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, _, rows, numbers = shared.value
+        step = max(1, (2 << 20) // max(1, len(rows)))
+        for batch in batches:
+            for at in range(0, batch.num_rows if len(rows) else 0, step):
+                part = batch.slice(at, step)
+                who, which = np.nonzero(_chosen(_matrix(part["v"]), k, centres, rows, first))
+                for i in range(0, len(who), PART_ROWS):
+                    take = pa.array(who[i : i + PART_ROWS])
+                    yield pa.RecordBatch.from_arrays(
+                        [part["query_id"].take(take), part["v"].take(take), pa.array(numbers[which[i : i + PART_ROWS]])], ["query_id", "v", "list"]
+                    )
+
+    return queries.mapInArrow(run, "query_id bigint, v array<double>, list bigint")
+
+
+def _rest(queries: DataFrame, shared: Broadcast, k: int, first: int) -> DataFrame:
+    """``query_id, list`` of the other lists whose bound reaches ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, radii, rows, numbers = shared.value
@@ -156,16 +183,60 @@ def _probes(queries: DataFrame, shared: Broadcast, k: int, first: int, rest: boo
             for at in range(0, batch.num_rows if len(rows) else 0, step):
                 part = batch.slice(at, step)
                 asked = _matrix(part["v"])
-                mask = _chosen(asked, k, centres, rows, first)
-                if rest:
-                    length = np.sqrt((asked * asked).sum(axis=1, keepdims=True))
-                    bound = asked @ centres.T + length * radii
-                    mask = ~mask & (bound >= part["least"].to_numpy()[:, None] - SLACK * (1 + length))
+                mask = ~_chosen(asked, k, centres, rows, first) & _reached(asked, part["least"].to_numpy(), centres, radii)
                 who, which = np.nonzero(mask)
-                take = pa.array(who)
-                yield pa.RecordBatch.from_arrays([part["query_id"].take(take), part["v"].take(take), pa.array(numbers[which])], ["query_id", "v", "list"])
+                yield pa.RecordBatch.from_arrays([part["query_id"].take(pa.array(who)), pa.array(numbers[which])], ["query_id", "list"])
+
+    return queries.mapInArrow(run, "query_id bigint, list bigint")
+
+
+def _needed(queries: DataFrame, shared: Broadcast) -> list[int]:
+    """Numbers of the lists that some query of the table can have a hit in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, radii, rows, numbers = shared.value
+        step = max(1, (2 << 20) // max(1, len(rows)))
+        some = np.zeros(len(rows), bool)
+        for batch in batches:
+            for at in range(0, batch.num_rows if len(rows) else 0, step):
+                part = batch.slice(at, step)
+                some |= _reached(_matrix(part["v"]), part["least"].to_numpy(), centres, radii).any(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(numbers[some], pa.int64())], ["list"])
+
+    return queries.mapInArrow(run, "list bigint").distinct().toArrow()["list"].to_pylist()
 
-    return queries.mapInArrow(run, "query_id bigint, v array<double>, list bigint")
+
+def _scan_lists(queries: DataFrame, index: VectorIndex, shared: Broadcast, k: int) -> DataFrame:
+    """The best ``k`` of every query of one block that score ``least`` or more, from the lists that can hold them.
+
+    The queries are sent to every task. A task compares the vectors of a list with those queries alone whose bound for
+    the list reaches what they look for.
+    """
+    table = queries.toArrow()
+    sent = queries.sparkSession.sparkContext.broadcast((table["query_id"].to_numpy(), _matrix(table["v"]), table["least"].to_numpy()))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, asked, least = sent.value
+        centres, radii, _, numbers = shared.value
+        held = None
+        for batch in batches:
+            if not batch.num_rows or not len(query_ids):
+                continue
+            held = held or _Held(asked, k, least)
+            stored, ids, lists = _matrix(batch["v"]), batch["raw_id"].to_numpy(), batch["list"].to_numpy()
+            for number in np.unique(lists):
+                own, at = lists == number, np.searchsorted(numbers, number)
+                wanted = _reached(asked, held.edges(np.arange(len(asked))), centres[at : at + 1], radii[at : at + 1], held.length)[:, 0]
+                held.add(stored[own], ids[own], np.flatnonzero(wanted))
+        if held is not None:
+            yield held.hits(query_ids)
+
+    lists, needed = index.lists, _needed(queries, shared)
+    if len(needed) <= min(NAMED_LISTS, len(shared.value[3]) - 1):
+        lists = lists.where(F.col("list").isin(needed))
+    tasks = SCAN_TASKS * queries.sparkSession.sparkContext.defaultParallelism
+    # Lists stay together, so that each is compared at once; of long ones their parts do.
+    return lists.repartition(tasks, "list", "part").sortWithinPartitions("list").mapInArrow(scan, HITS)
 
 
 def _search_lists(probes: DataFrame, index: VectorIndex, k: int, part_rows: int) -> DataFrame:
@@ -203,9 +274,10 @@ def search_index(
     vector: str = "embedding",
     first_lists: int = FIRST_LISTS,
     part_rows: int = PART_ROWS,
+    query_bytes: int = QUERY_BYTES,
 ) -> DataFrame:
     """``query_id, rank, raw_id, score`` as ``retrieve_topk`` gives them, from the lists that can hold a hit."""
-    hits, _ = search_with_probes(queries, index, k, query_id, vector, first_lists, part_rows)
+    hits, _ = search_with_probes(queries, index, k, query_id, vector, first_lists, part_rows, query_bytes)
     return hits
 
 
@@ -217,16 +289,30 @@ def search_with_probes(
     vector: str = "embedding",
     first_lists: int = FIRST_LISTS,
     part_rows: int = PART_ROWS,
+    query_bytes: int = QUERY_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
-    """``search_index``, and ``query_id, list`` of every list that a query looked into."""
+    """``search_index``, and ``query_id, list`` of every list that a query looked into.
+
+    More than ``query_bytes`` of queries go in blocks of that size, with one look into the lists each.
+    """
     shared = index.shared()
     asked = written(queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(vector).cast("array<double>").alias("v")), "asked")
-    first = _probes(asked, shared, k, first_lists, rest=False)
+    first = _probes(asked, shared, k, first_lists)
     found = written(_best(_search_lists(first, index, k, part_rows), k), "hits")
     edge = found.where(F.col("rank") == k).select(F.col("query_id").alias("_q"), "score")
+    rows, width = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    blocks = max(1, math.ceil(rows * width * 8 / max(1, query_bytes)))
     # A query with fewer than k hits has no threshold yet.
-    known = asked.join(edge, F.col("query_id") == F.col("_q"), "left").select("query_id", "v", F.coalesce("score", F.lit(-math.inf)).alias("least"))
-    rest = _probes(known, shared, k, first_lists, rest=True)
-    more = _search_lists(rest, index, k, part_rows)
-    hits = _best(found.select("query_id", "raw_id", "score").union(more), k)
-    return hits, first.select("query_id", "list").union(rest.select("query_id", "list"))
+    known = written(
+        asked.join(edge, F.col("query_id") == F.col("_q"), "left").select(
+            "query_id", "v", F.coalesce("score", F.lit(-math.inf)).alias("least"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
+        ),
+        "thresholds",
+    )
+    hits = None
+    for block in range(blocks):
+        part = known.where(F.col("block") == block).drop("block")
+        best = _best(_scan_lists(part, index, shared, k), k)
+        best = best if blocks == 1 else written(best, "hits")
+        hits = best if hits is None else hits.union(best)
+    return hits, first.select("query_id", "list").union(_rest(known, shared, k, first_lists))

@@ -46,6 +46,41 @@ def test_small_score_slices(spark, monkeypatch):
     assert np.allclose(scores, want)
 
 
+def held(asked, stored, ids, k, floor=None):
+    kept = retrieval._Held(asked, k, floor)
+    for at in range(0, len(stored), 700):
+        kept.add(stored[at : at + 700], ids[at : at + 700])
+    return kept.hits(np.arange(len(asked))).to_pydict()
+
+
+@pytest.mark.parametrize("kind", ["random", "copies", "ties", "long", "short"])
+def test_single_precision_leaves_out_no_hit(kind):
+    rng = np.random.default_rng(7)
+    stored, asked = rng.normal(size=(3000, 12)), rng.normal(size=(600, 12))
+    if kind == "copies":
+        stored[::3] = stored[0]
+    if kind == "ties":
+        stored, asked = np.round(stored), np.round(asked)
+    stored = stored * {"long": 1e16, "short": 1e-9}.get(kind, 1.0)
+    ids = rng.permutation(3000)
+    scores = np.round(asked @ stored.T, 9)
+    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores))[:, :4]
+    got = held(asked, stored, ids, 4)
+    assert got["raw_id"] == ids[order].ravel().tolist()
+    assert np.allclose(got["score"], np.take_along_axis(scores, order, 1).ravel(), rtol=1e-9, atol=1.1e-9)
+    floor = np.take_along_axis(scores, order, 1)[:, 1]
+    reached = held(asked, stored, ids, 4, floor)
+    assert {(q, i) for q, i in zip(reached["query_id"], reached["raw_id"])} >= {(q, i) for q in range(600) for i in ids[order[q, :1]]}
+
+
+def test_few_pairs_are_scored_in_double_precision(monkeypatch):
+    rng = np.random.default_rng(8)
+    cells, whole = [], retrieval._score
+    monkeypatch.setattr(retrieval, "_score", lambda asked, stored, *rest: cells.append(len(asked) * len(stored)) or whole(asked, stored, *rest))
+    held(rng.normal(size=(500, 16)), rng.normal(size=(7000, 16)), np.arange(7000), 2)
+    assert sum(cells) < 0.1 * 500 * 7000
+
+
 def test_topk_of_nothing(spark):
     some, none = vectors(spark, np.ones((2, 3)), "id"), vectors(spark, np.ones((1, 3)), "raw_id").where("raw_id < 0")
     assert op.retrieve_topk(some, none, 3).count() == 0
@@ -111,3 +146,13 @@ def test_replay_covers_every_hit(spark):
     corpus = spark.createDataFrame([(i, list(range(i + 1))) for i in range(8)], "raw_id bigint, input_ids array<int>")
     found = op.retrieval_replay(domain, vectors(spark, rng.normal(size=(8, 3)), "raw_id"), corpus, 2, 10)
     assert found.count() == 12 and found.select("item").distinct().count() == 12
+
+
+def test_replay_needs_lengths_only(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    domain = vectors(spark, rng.normal(size=(6, 3)), "id").withColumn("bk", F.col("id") % 2)
+    corpus = spark.createDataFrame([(i, [f"word{i}"] * (i + 1)) for i in range(8)], "raw_id bigint, input_ids array<string>")
+    fetched, fetch = [], retrieval.fetch_docs
+    monkeypatch.setattr(retrieval, "fetch_docs", lambda hits, docs: fetched.append(docs.dtypes) or fetch(hits, docs))
+    found = op.retrieval_replay(domain, vectors(spark, rng.normal(size=(8, 3)), "raw_id"), corpus, 2, 10)
+    assert found.count() == 12 and fetched == [[("raw_id", "bigint"), ("_size", "int")]]

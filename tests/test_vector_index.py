@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from glosswork import operators as op
+from glosswork.operators import vector_index
 from tests.test_retrieval import vectors
 
 
@@ -49,3 +50,21 @@ def test_empty_sides(spark, tmp_path):
     assert op.search_index(some.withColumnRenamed("raw_id", "id").limit(0), index, 2).count() == 0
     none = op.build_index(some.limit(0), str(tmp_path / "b"))
     assert op.search_index(some.withColumnRenamed("raw_id", "id"), none, 2).count() == 0
+
+
+def test_second_look_makes_no_rows_of_pairs(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    stored = rng.normal(size=(400, 16))  # no list can be skipped
+    record, queries = vectors(spark, stored, "raw_id"), vectors(spark, stored, "id")
+    index = op.build_index(record, str(tmp_path / "index"), lists=20)
+    pairs, look = [], vector_index._search_lists
+    monkeypatch.setattr(vector_index, "_search_lists", lambda probes, *rest: pairs.append(probes.count()) or look(probes, *rest))
+    assert rows(op.search_index(queries, index, 3)) == rows(op.retrieve_topk(queries, record, 3))
+    assert sum(pairs) <= vector_index.FIRST_LISTS * len(stored)
+
+
+def test_blocks_of_queries(spark, tmp_path):
+    stored = clustered(5, 20, 10)
+    record, queries = vectors(spark, stored, "raw_id"), vectors(spark, stored, "id")
+    index = op.build_index(record, str(tmp_path / "index"), lists=20)
+    assert rows(op.search_index(queries, index, 3, query_bytes=2000)) == rows(op.retrieve_topk(queries, record, 3))
