@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+SUMMED_ROWS = 64  # lists that are summed at a time
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times inside ``body``.
@@ -24,17 +26,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def running_total(lists: pa.Array) -> pa.Array:
     """Running sum inside every list, last element included.
 
-    The whole Arrow batch is summed at once and each list's start is taken off,
-    so no Python loop runs over rows. The same thing as a fold that appends to
-    an array copies the array at every step.
+    Many rows of an Arrow batch are summed at once and each list's start is taken
+    off, so no Python loop runs over rows; a few at a time, so that the sums of a
+    batch of long lists take little memory. The same thing as a fold that appends
+    to an array copies the array at every step.
     """
     sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(sizes, dtype=np.int64)
-    starts = ends - sizes
-    sums = np.concatenate([[0], np.cumsum(lists.flatten().to_numpy(zero_copy_only=False), dtype=np.int64)])
-    within = sums[1:] - np.repeat(sums[starts], sizes)
-    offsets = np.concatenate([[0], ends]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(within.astype(np.int32)))
+    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    within = np.empty(offsets[-1], np.int32)
+    for at in range(0, len(lists), SUMMED_ROWS):
+        some = sizes[at : at + SUMMED_ROWS]
+        values = lists.slice(at, len(some)).flatten().to_numpy(zero_copy_only=False)
+        sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+        starts = offsets[at : at + len(some)] - offsets[at]
+        within[offsets[at] : offsets[at + len(some)]] = sums[1:] - np.repeat(sums[starts], some)
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(within))
 
 
 def whole_div(value: Column, by: int) -> Column:
