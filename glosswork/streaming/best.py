@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,34 +32,50 @@ class BestEpoch(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sums = handle.getMapState("sums", "epoch bigint, metric string", "total double, n bigint")
+        # One value for a run: each call on state is a message, and a value for each epoch would be as many.
+        self.sums = handle.getValueState("sums", "epoch array<bigint>, is_valid array<boolean>, total array<double>, n array<bigint>")
         self.last = handle.getValueState("last", "ms bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        newest = None
+        newest, sums = None, self._read()
         for frame in rows:
-            wanted = frame[frame["metric"].isin([self.valid, self.test]) & frame["epoch"].notna()]
-            for (epoch, metric), values in wanted.groupby(["epoch", "metric"])["value"]:
-                at = (int(epoch), metric)
-                total, n = self.sums.getValue(at) if self.sums.containsKey(at) else (0.0, 0)
-                self.sums.updateValue(at, (total + float(values.sum()), n + int(values.count())))
+            epochs, metrics = frame["epoch"].to_numpy(float, na_value=np.nan), frame["metric"].to_numpy()
+            values = frame["value"].to_numpy(float, na_value=np.nan)
+            for metric in {self.valid, self.test}:
+                wanted = (metrics == metric) & ~np.isnan(epochs)
+                found, at = np.unique(frame["epoch"].to_numpy()[wanted].astype(np.int64), return_inverse=True)
+                some = ~np.isnan(values[wanted])
+                totals = np.bincount(at[some], values[wanted][some], minlength=len(found))
+                counts = np.bincount(at[some], minlength=len(found))
+                for epoch, total, n in zip(found.tolist(), totals.tolist(), counts.tolist()):
+                    before = sums.get((epoch, metric), (0.0, 0))
+                    sums[epoch, metric] = before[0] + total, before[1] + n
             if self.idle_ms is not None and len(frame):
                 newest = max(newest or 0, int(frame["ts"].max().timestamp() * 1000))
+        if sums:
+            at = list(sums)
+            self.sums.update(([e for e, _ in at], [m == self.valid for _, m in at], [sums[x][0] for x in at], [sums[x][1] for x in at]))
         if newest is not None:
             newest = max(newest, self.last.get()[0]) if self.last.exists() else newest
             self.last.update((newest,))
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(newest + self.idle_ms)
-        yield from self._answer(key, closed=False)
+        yield from self._answer(key, sums, closed=False)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield from self._answer(key, closed=True)
+        yield from self._answer(key, self._read(), closed=True)
         self.sums.clear()
         self.last.clear()
 
-    def _answer(self, key: Any, closed: bool) -> Iterator[pd.DataFrame]:
-        means = {tuple(at): total / n for at, (total, n) in self.sums.iterator() if n}
+    def _read(self) -> dict:
+        kept = self.sums.get()
+        if kept is None:
+            return {}
+        return {(e, self.valid if v else self.test): (t, n) for e, v, t, n in zip(*kept)}
+
+    def _answer(self, key: Any, sums: dict, closed: bool) -> Iterator[pd.DataFrame]:
+        means = {at: total / n for at, (total, n) in sums.items() if n}
         epochs = sorted(epoch for epoch, metric in means if metric == self.valid)
         if not epochs:
             return
