@@ -78,6 +78,8 @@ def _range_sorted_id(df: DataFrame, order: list[str], name: str, rows_per_bucket
         *[F.col(c).alias(f"_k{i}") for i, c in enumerate(order)],
         (F.col("_start") + at.bitwiseAND(F.lit((1 << _OFFSET_BITS) - 1))).alias(name),
     )
+    if set(df.columns) == set(order):  # nothing else to fetch
+        return ids.select(*[F.col(f"_k{order.index(c)}").alias(c) for c in df.columns], name)
     same = F.lit(True)
     for i, c in enumerate(order):
         same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glosswork.functions.arrays import flattened, let, pad_to, running_total
 from glosswork.functions.draws import digest_below, draw_slice
@@ -24,6 +25,8 @@ IGNORED = -100
 
 FIRST_WORD_ID = UNK + 1
 LOCAL_VOCABULARY = 500_000
+LOCAL_LETTERS = 32  # letters of a token that is looked up by the tasks themselves, when the vocabulary is larger
+OTHER = -1
 TOKEN_TYPE = "array<struct<b:int,e:int,tok:string>>"
 
 
@@ -66,8 +69,8 @@ def build_vocab(df: DataFrame, max_size: int | None = None, tokens: str = "toks"
     corpus is not tokenized again for each.
     """
     counts = flattened(df, [], tokens, "token").groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
-    counted = written(counts.withColumn("_less", -F.col("rows")), "token-counts")
-    ranked = dense_row_id(counted, ["_less", "token"], "_place")
+    counted = written(counts.select((-F.col("rows")).alias("_less"), "token"), "token-counts")
+    ranked = dense_row_id(counted, ["_less", "token"], "_place").withColumn("rows", -F.col("_less"))
     if max_size is not None:
         ranked = ranked.where(F.col("_place") < max_size - FIRST_WORD_ID)
     return written(ranked.select("token", "rows", (F.col("_place") + FIRST_WORD_ID).cast("int").alias("token_id")), "vocabulary")
@@ -85,21 +88,21 @@ def encode_ids(
     """Add token ids; ``specials`` wraps them in the begin and end ids.
 
     A vocabulary proved to have at most ``max_local`` entries is sent to the
-    tasks, which look up a whole Arrow batch of tokens at once. A larger one is
-    joined, frequent tokens being split over many tasks.
+    tasks, which look up a whole Arrow batch of tokens at once. Of a larger one
+    the most frequent entries are, and only the other tokens are joined.
     """
     local = bounded(vocab.select("token", "token_id"), max_local)
     if local is not None:
         encoded = df.withColumn(name, _lookup(local)(F.col(tokens)))
     else:
-        encoded = _encode_by_join(df, vocab, key, tokens, name)
+        encoded = _encode_by_join(df, vocab, key, tokens, name, max_local)
     if specials:
         ids = F.concat(F.array(F.lit(BOS)), F.col(name), F.array(F.lit(EOS)))
         encoded = encoded.withColumn(name, ids)
     return encoded
 
 
-def _lookup(vocab: DataFrame) -> Callable[[Column], Column]:
+def _lookup(vocab: DataFrame, missing: int = UNK) -> Callable[[Column], Column]:
     table = vocab.toArrow()
     shared = vocab.sparkSession.sparkContext.broadcast(
         (table["token"].combine_chunks(), table["token_id"].combine_chunks())
@@ -109,7 +112,7 @@ def _lookup(vocab: DataFrame) -> Callable[[Column], Column]:
     def lookup(lists: pa.Array) -> pa.Array:
         known, ids = shared.value
         places = pc.index_in(lists.flatten().cast(known.type), value_set=known)
-        found = pc.fill_null(pc.take(ids, places), UNK).cast(pa.int32())
+        found = pc.fill_null(pc.take(ids, places), missing).cast(pa.int32())
         sizes = pc.fill_null(lists.value_lengths(), 0)
         offsets = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(sizes).cast(pa.int32())])
         return pa.ListArray.from_arrays(offsets, found)
@@ -117,14 +120,49 @@ def _lookup(vocab: DataFrame) -> Callable[[Column], Column]:
     return lookup
 
 
-def _encode_by_join(df: DataFrame, vocab: DataFrame, key: str, tokens: str, name: str) -> DataFrame:
-    flat = flattened(df, [key], tokens, "token", "_at")
-    found = hot_lookup(flat, vocab.select("token", "rows", "token_id"), ["token"], [key, "_at"], how="left")
-    lists = found.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("_at", F.coalesce("token_id", F.lit(UNK)).alias("i")))).alias("_ids")
-    )
-    joined = df.join(lists, key, "left")
-    return joined.withColumn(name, F.coalesce(F.col("_ids.i"), F.array().cast("array<int>"))).drop("_ids")
+def _frequent(vocab: DataFrame, most: int) -> Column:
+    """Whether an entry is among the at most ``most`` most frequent ones, of tokens that are not very long."""
+    fits = F.length("token") <= LOCAL_LETTERS
+    # One row for each number of rows: no more than the root of twice the tokens of the corpus.
+    sizes = vocab.where(fits).groupBy("rows").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pylist()
+    least = None
+    for size in sorted(sizes, key=lambda r: -r["rows"]):
+        most -= size["n"]
+        if most < 0:
+            break
+        least = size["rows"]
+    return F.lit(False) if least is None else fits & (F.col("rows") >= least)
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _patched(lists: pa.Array, others: pa.Array) -> pa.Array:
+    """Every ``OTHER`` of a list replaced by the next one of the other list's ids."""
+    ids = lists.flatten().to_numpy(zero_copy_only=False).copy()
+    ids[ids == OTHER] = others.flatten().to_numpy(zero_copy_only=False)
+    ends = pc.cumulative_sum(lists.value_lengths()).cast(pa.int32())
+    return pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), pa.array(ids, pa.int32()))
+
+
+def _encode_by_join(df: DataFrame, vocab: DataFrame, key: str, tokens: str, name: str, max_local: int) -> DataFrame:
+    """Ids of frequent tokens by lookup; the others are rows that meet the vocabulary and go back to their lists in order.
+
+    A list is found again by its key and a hash of its tokens, so that equal keys don't mix.
+    """
+    frequent = _frequent(vocab, max_local)
+    local = bounded(vocab.where(frequent).select("token", "token_id"), max_local)
+    if local is None:  # too many bytes
+        frequent, local = F.lit(False), bounded(vocab.limit(0).select("token", "token_id"))
+    coded = df.withColumn(name, _lookup(local, OTHER)(F.col(tokens))).withColumn("_list", F.xxhash64(tokens))
+    pairs = F.zip_with(tokens, name, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    others = F.transform(F.filter(pairs, lambda x: x["i"] == OTHER), lambda x: x["t"])
+    flat = flattened(coded, [F.col(key).alias("_key"), "_list"], others, "token", "_at")
+    found = hot_lookup(flat, vocab.where(~frequent).select("token", "rows", "token_id"), ["token"], ["_key", "_list", "_at"], how="left")
+    # Rows that are the same twice give the same places twice.
+    places = F.collect_set(F.struct("_at", F.coalesce("token_id", F.lit(UNK)).cast("int").alias("i")))
+    lists = found.groupBy("_key", F.col("_list").alias("_hash")).agg(F.array_sort(places)["i"].alias("_ids"))
+    joined = coded.join(lists, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_list") == F.col("_hash")), "left")
+    filled = _patched(F.col(name), F.coalesce("_ids", F.array().cast("array<int>")))
+    return joined.withColumn(name, filled).drop("_ids", "_key", "_list", "_hash")
 
 
 def truncate_pad(

@@ -1,12 +1,16 @@
 """Repeated keys, missing labels and predictions, many hot keys, wide weights, GELU."""
 
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from glosswork import operators as op
+from glosswork.functions.arrays import running_total
+from glosswork.operators import tokens
 from glosswork.operators.retrieval import gelu
 from glosswork.plans import hot_lookup, sum_in_groups
 
@@ -83,3 +87,30 @@ def test_whole_vocabulary(spark):
         ids = op.encode_ids(df, vocab, max_local=most).first().input_ids
         assert len(ids) == 3003 and 3 not in ids
     assert op.build_vocab(df, 14).count() == 10
+
+
+def test_large_vocabularies_join_rare_tokens_only(spark, monkeypatch):
+    lists = [(1, ["a", "b", None, "rare1", "a"]), (1, ["b", "rare2"]), (1, ["b", "rare2"]), (None, ["a", "new", "rare1"]), (2, []), (3, None), (4, ["a", "x" * 99, "a"])]
+    df = spark.createDataFrame(lists, "id bigint, toks array<string>")
+    vocab = op.build_vocab(df.select(F.expr("filter(toks, t -> t <> 'new')").alias("toks")))
+    joined, join = [], tokens.hot_lookup
+    monkeypatch.setattr(tokens, "hot_lookup", lambda rows, *rest, **more: joined.append(rows.count()) or join(rows, *rest, **more))
+    few, whole = (sorted(op.encode_ids(df, vocab, max_local=n).select("id", "input_ids").collect(), key=repr) for n in (2, 100))
+    assert few == whole
+    assert joined == [7]  # all but the nine "a" and "b"
+
+
+def test_running_totals_of_many_lists(spark):
+    df = spark.range(1000).select("id", F.when(F.col("id") % 7 != 0, F.array_repeat(F.lit(2), (F.col("id") % 5).cast("int"))).alias("a"))
+    for row in df.withColumn("s", running_total("a")).collect():
+        assert (row.s or []) == [2 * (i + 1) for i in range(len(row.a or []))]
+
+
+def test_running_totals_hold_little_beside_their_result():
+    sizes = np.full(2000, 1000)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.ones(sizes.sum(), np.int32)))
+    tracemalloc.start()
+    sums = running_total.func(lists)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sums[5].as_py() == list(range(1, 1001)) and peak < 2 * 4 * sizes.sum()
