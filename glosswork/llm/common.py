@@ -51,6 +51,15 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         start, done = stop, int(ends[stop - 1])
 
 
+def give_back() -> None:
+    """Return to the system what Arrow and the allocator have freed; a worker would keep it for as long as it lives."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def running_start(
     df: DataFrame, groups: Sequence[str], bucket: str, order: Sequence[str], amount: str, name: str
 ) -> DataFrame:

@@ -25,9 +25,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosswork.llm.common import slices
+from glosswork.llm.common import give_back, slices
 
-RUN_BYTES = 8 << 20  # text encoded at a time: a longer run meets fewer pieces twice
+RUN_BYTES = 4 << 20  # text encoded at a time: a longer run meets fewer pieces twice and takes more memory
 KEPT_PIECES = 150_000  # pieces in each of the two generations a worker remembers; the rest are encoded again
 WIDE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"  # white space by any rule, for Arrow's expressions
 ODD = rf"^{WIDE}|{WIDE}{WIDE}|{WIDE}$|[\x09\x0b-\x0d\x1c-\x1f\x{{85}}]|[^\P{{Z}} ]"
@@ -133,6 +133,7 @@ class PieceEncoder:
         if len(pieces) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         coded = pieces.dictionary_encode()
+        del texts, pieces
         ids = self._ids(_strings(coded.dictionary))
         width = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
         lists = pa.LargeListArray.from_arrays(
@@ -171,8 +172,12 @@ def encoded(
                 ends = np.cumsum(sizes)
                 values = [raw[width * (e - n) : width * e] + tail for e, n in zip(ends.tolist(), sizes.tolist())]
                 part = batch.slice(start, stop - start)
+                del ids, raw
+                give_back()
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(f.name) for f in kept], pa.array(values, pa.binary())], [*[f.name for f in kept], name]
                 )
+        batch = texts = part = values = None  # the worker idles after this, beside the joins
+        give_back()
 
     return df.select(*[F.col(f"`{f.name}`") for f in kept], text).mapInArrow(run, schema)
