@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from glosswork.llm.common import give_back, slices
 
-RUN_BYTES = 4 << 20  # text encoded at a time: a longer run meets fewer pieces twice and takes more memory
+RUN_BYTES = {"word": 4 << 20, "byte": 8 << 20}  # text encoded at a time: a longer run meets fewer pieces twice, but takes more memory
 KEPT_PIECES = 150_000  # pieces in each of the two generations a worker remembers; the rest are encoded again
 WIDE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"  # white space by any rule, for Arrow's expressions
 ODD = rf"^{WIDE}|{WIDE}{WIDE}|{WIDE}$|[\x09\x0b-\x0d\x1c-\x1f\x{{85}}]|[^\P{{Z}} ]"
@@ -166,7 +166,7 @@ def encoded(
         tail = np.array([end_id], kind_of_id).tobytes()
         for batch in batches:
             texts = batch.column(text)
-            for start, stop in slices(texts, RUN_BYTES):
+            for start, stop in slices(texts, RUN_BYTES[kind]):
                 ids, sizes = encoder.encode(texts.slice(start, stop - start))
                 raw = ids.astype(kind_of_id).tobytes()
                 ends = np.cumsum(sizes)
