@@ -8,7 +8,7 @@ some of those places therefore changes no id, and prose repeats most pieces. Wha
 a blank is such a place, and both sides of a lone line break are. A text with other white space is cut into runs
 of white space with the word that follows; one with control characters that engines class differently is not cut.
 
-Both cut between a common letter and a full stop or comma. A piece of plain letters needs no cutting rule any more and
+Both cut between a common letter and a sign of ASCII, such as a full stop or comma. A piece of plain letters needs no cutting rule any more and
 goes straight to the tokenizer's model; all others go through the whole tokenizer.
 """
 
@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 
 from glosswork.llm.common import give_back, slices
 
-RUN_BYTES = {"word": 4 << 20, "byte": 8 << 20}  # text encoded at a time: a longer run meets fewer pieces twice, but takes more memory
-KEPT_PIECES = 150_000  # pieces in each of the two generations a worker remembers; the rest are encoded again
+RUN_BYTES = 4 << 20  # text encoded at a time: a longer run meets fewer pieces twice, but takes more memory
+KEPT_PIECES = 500_000  # pieces a worker remembers, in some 15 MB; the rest are encoded again
 WIDE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"  # white space by any rule, for Arrow's expressions
 ODD = rf"^{WIDE}|{WIDE}{WIDE}|{WIDE}$|[\x09\x0b-\x0d\x1c-\x1f\x{{85}}]|[^\P{{Z}} ]"
-# Letters that no normal form or change of case turns into more than a letter, before a full stop or comma.
-STOP = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}])([.,])"
+# Letters that no normal form or change of case turns into more than a letter, before a sign of ASCII.
+STOP = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}])([!-/:-@\[-`{-~])"
 
 
 def byte_letters() -> dict[int, str]:
@@ -63,7 +63,9 @@ class PieceEncoder:
         self.kind = kind
         self.letters = byte_letters()
         # Functions travel with the job and are new in each task; the module stays, so a worker's tasks share its pieces.
-        self.memory = tokenizers.__dict__.setdefault("_pieces_met", {}).setdefault((path, kind), [{}, {}])
+        self.memory = tokenizers.__dict__.setdefault("_pieces_met", {}).setdefault((path, kind), [])
+        if not self.memory:
+            self.memory[:] = pa.array([], pa.large_string()), pa.array([], pa.large_binary()), np.zeros(0, np.int64)
 
     def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """All pieces of all texts, and how many each text has."""
@@ -100,23 +102,37 @@ class PieceEncoder:
             word = "".join(map(self.letters.get, word.encode()))
         return self.letters[32] + word if blank else word
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        if len(self.memory[0]) > KEPT_PIECES:
-            self.memory[:] = [{}, self.memory[0]]
-        known, older = self.memory
-        model, whole = self.tokenizer.model, []
-        found = [known.get(p) or older.get(p) for p in pieces]
-        for i, ids in enumerate(found):
-            if ids:
-                known[pieces[i]] = ids
-            elif plain := self._plain(pieces[i]):
-                found[i] = known[pieces[i]] = array("I", [t.id for t in model.tokenize(plain)]).tobytes()
+    def _new_ids(self, pieces: list[str]) -> pa.Array:
+        """The ids of pieces that this worker doesn't remember, as one binary value for each."""
+        model, found, whole = self.tokenizer.model, [b""] * len(pieces), []
+        for i, piece in enumerate(pieces):
+            if plain := self._plain(piece):
+                found[i] = array("I", [t.id for t in model.tokenize(plain)]).tobytes()
             else:
                 whole.append(i)
         for at in range(0, len(whole), 4096):
             part = whole[at : at + 4096]
             for i, e in zip(part, self.tokenizer.encode_batch_fast([pieces[i] for i in part], add_special_tokens=False)):
-                found[i] = known[pieces[i]] = array("I", e.ids).tobytes()
+                found[i] = array("I", e.ids).tobytes()
+        return pa.array(found, pa.large_binary())
+
+    def _ids(self, pieces: pa.Array) -> pa.Array:
+        """The ids of distinct pieces, as one binary value for each; the pieces met last are remembered."""
+        known, ids, met = self.memory
+        places = pc.index_in(pieces, value_set=known)
+        missing = pc.is_null(places)
+        new = pieces.filter(missing)
+        known, ids = pa.concat_arrays([known, new]), pa.concat_arrays([ids, self._new_ids(_strings(new))])
+        places = places.fill_null(0).to_numpy().copy()
+        places[missing.to_numpy(zero_copy_only=False)] = np.arange(len(met), len(known))
+        found = ids.take(pa.array(places))
+        # How many runs ago each piece was met last.
+        met = np.concatenate([met + 1, np.zeros(len(new), np.int64)])
+        met[places] = 0
+        if len(known) > KEPT_PIECES:
+            kept = np.sort(np.argsort(met, kind="stable")[:KEPT_PIECES])
+            known, ids, met = known.take(pa.array(kept)), ids.take(pa.array(kept)), met[kept]
+        self.memory[:] = known, ids, met
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -124,25 +140,22 @@ class PieceEncoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         marked = pc.match_substring(texts, "\x00") if self.kind == "byte" else pa.array([False])
         if pc.any(marked).as_py():  # pieces are parted by this character, so such texts are encoded whole
-            rows = [
-                np.array(self.tokenizer.encode(t.as_py(), add_special_tokens=False).ids, np.uint32) if m else self.encode(texts.slice(i, 1))[0]
-                for i, (t, m) in enumerate(zip(texts, marked.to_pylist()))
-            ]
+            ids, sizes = self.encode(pc.if_else(marked, "", texts))
+            rows = np.split(ids, np.cumsum(sizes)[:-1])
+            for i in np.flatnonzero(marked.to_numpy(zero_copy_only=False)).tolist():
+                rows[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
             return np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
         pieces, counts = self._pieces(texts)
         if len(pieces) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         coded = pieces.dictionary_encode()
         del texts, pieces
-        ids = self._ids(_strings(coded.dictionary))
-        width = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-        lists = pa.LargeListArray.from_arrays(
-            pa.array(np.concatenate([[0], np.cumsum(width)])), pa.array(np.frombuffer(b"".join(ids), np.uint32))
-        )
-        codes = coded.indices.to_numpy()
-        sums = np.concatenate([[0], np.cumsum(width[codes])])
+        found = self._ids(coded.dictionary).take(coded.indices)
+        _, places, data = found.buffers()
+        places = np.frombuffer(places, np.int64)[: len(found) + 1] // 4
         ends = np.cumsum(counts)
-        return lists.take(coded.indices).flatten().to_numpy(), sums[ends] - sums[ends - counts]
+        ids = np.frombuffer(data, np.uint32)[: places[-1]] if data else np.zeros(0, np.uint32)
+        return ids, places[ends] - places[ends - counts]
 
 
 def encoded(
@@ -166,7 +179,7 @@ def encoded(
         tail = np.array([end_id], kind_of_id).tobytes()
         for batch in batches:
             texts = batch.column(text)
-            for start, stop in slices(texts, RUN_BYTES[kind]):
+            for start, stop in slices(texts, RUN_BYTES):
                 ids, sizes = encoder.encode(texts.slice(start, stop - start))
                 raw = ids.astype(kind_of_id).tobytes()
                 ends = np.cumsum(sizes)
