@@ -129,3 +129,15 @@ def test_signs_and_marks_give_the_ids_of_the_whole_text(kind, file, kept, monkey
         assert sizes.tolist() == [len(w) for w in wanted]
         assert ids.tolist() == [i for w in wanted for i in w]
     assert encoder.encode(pa.array([None, ""], pa.string()))[1].tolist() == [0, 0]
+
+
+def test_texts_beside_one_with_a_zero_character_are_encoded_at_once(monkeypatch):
+    """Each such neighbour looked up its pieces by itself (op6_wavelet_ids)."""
+    encoder, asked = encoding.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), "byte"), []
+    pieces = encoder._pieces
+    monkeypatch.setattr(encoder, "_pieces", lambda texts: asked.append(len(texts)) or pieces(texts))
+    texts = ["some words", "a\x00b c", "", "more words", "\x00"] * 20
+    ids, sizes = encoder.encode(pa.array(texts))
+    wanted = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert ids.tolist() == [i for w in wanted for i in w] and sizes.tolist() == [len(w) for w in wanted]
+    assert len(asked) == 1
