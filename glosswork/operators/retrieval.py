@@ -16,7 +16,7 @@ from glosswork.functions.draws import draw
 from glosswork.functions.text import snippet
 from glosswork.functions.text import tokens as token_list
 from glosswork.operators.packing import length_batches
-from glosswork.plans.spread import HOT_ROWS, hot_lookup, written
+from glosswork.plans.spread import HOT_ROWS, hot_lookup, scratch_folder, written
 
 QUERY_BYTES = 64 << 20  # queries up to this size are sent to every task
 SCAN_TASKS = 4  # tasks for each core that scan the record: each gives out k hits for every query
@@ -102,7 +102,7 @@ class _Held:
         return least if self.floor is None else np.maximum(least, self.floor[rows])
 
     def add(self, stored: np.ndarray, ids: np.ndarray, rows: np.ndarray | None = None) -> None:
-        """Take in a block of vectors, for all queries or for those in the given places."""
+        """Take in vectors, for all queries or for those in the given places."""
         rows = np.arange(len(self.asked)) if rows is None else rows
         stored, ids = _without_spare_copies(stored, ids, self.k)
         at = 0
@@ -110,15 +110,19 @@ class _Held:
             few = max(FIRST_ROWS, 4 * self.k, self.seen) if self.floor is None else STORED_ROWS
             block, names = stored[at : at + min(few, STORED_ROWS)], ids[at : at + min(few, STORED_ROWS)]
             at, self.seen = at + len(block), self.seen + len(block)
-            longest = float(np.sqrt((block * block).sum(axis=1)).max())
-            quick = self.plain and longest < LONGEST
-            narrow = block.astype(np.float32).T if quick else None
-            for i in range(0, len(rows), ASKED_ROWS):
-                part = rows[i : i + ASKED_ROWS]
-                if quick:
-                    self._add_near(part, block, narrow, names, longest)
-                else:
-                    self._add_all(part, block, names)
+            self.add_block(block, names, rows)
+
+    def add_block(self, block: np.ndarray, names: np.ndarray, rows: np.ndarray) -> None:
+        """Take in a block of a few thousand vectors at most."""
+        longest = float(np.sqrt((block * block).sum(axis=1)).max())
+        quick = self.plain and longest < LONGEST
+        narrow = block.astype(np.float32).T if quick else None
+        for i in range(0, len(rows), ASKED_ROWS):
+            part = rows[i : i + ASKED_ROWS]
+            if quick:
+                self._add_near(part, block, narrow, names, longest)
+            else:
+                self._add_all(part, block, names)
 
     def _add_near(self, part: np.ndarray, block: np.ndarray, narrow: np.ndarray, names: np.ndarray, longest: float) -> None:
         near = self.narrow[part] @ narrow
@@ -134,6 +138,10 @@ class _Held:
         if len(who) > NEAR_PAIRS * len(part):
             self._add_all(part, block, names)
             return
+        self.add_pairs(part, block, names, who, which)
+
+    def add_pairs(self, part: np.ndarray, block: np.ndarray, names: np.ndarray, who: np.ndarray, which: np.ndarray) -> None:
+        """Take in single pairs: places in ``part``, in rising order, and places in the block."""
         scores = np.round(np.einsum("ij,ij->i", self.asked[part[who]], block[which]), SCORE_DIGITS)
         better = scores >= self.edges(part)[who]
         who, scores, found = who[better], scores[better], names[which[better]]
@@ -164,18 +172,6 @@ class _Held:
         )
 
 
-def _hits(query_ids: np.ndarray, held: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    scores, ids = held
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.repeat(query_ids, ids.shape[1]), pa.int64()),
-            pa.array(ids.ravel(), pa.int64()),
-            pa.array(scores.ravel(), pa.float64()),
-        ],
-        names=["query_id", "raw_id", "score"],
-    )
-
-
 def retrieve_topk(
     queries: DataFrame,
     record: DataFrame,
@@ -191,18 +187,22 @@ def retrieve_topk(
     Exact. Pairs are compared as matrix products inside tasks and only each task's
     own best ``k`` per query leave it, so the pairs themselves never become
     rows. Queries that measure at most ``query_bytes`` are sent to every task
-    and the record is read once; more queries go in blocks of that size, with one
-    scan of the record each. The record is dealt to a few tasks for each core, since
-    every task gives out hits for every query. Ties go to the lower id.
+    and the record is read once, dealt to a few tasks for each core, since
+    every task gives out hits for every query. More queries go in blocks of that size,
+    or of ``query_block`` queries, over the record laid out in lists around centres, so
+    that a first look into a few lists gives each query a threshold and most of the
+    pairs are left out by a bound on their score. Ties go to the lower id.
     """
     queries = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(vector).alias("v"))
     record = record.select(F.col(raw_id).cast("bigint").alias("raw_id"), F.col(vector).alias("v"))
     rows, width = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     if rows * width * 8 <= query_bytes:
-        found = _scan_with_queries(queries, record, k)
-    else:
-        return _block_by_block(queries, record, k, rows, query_block or max(1, query_bytes // (8 * width)))
-    return _best(found, k)
+        return _best(_scan_with_queries(queries, record, k), k)
+    from glosswork.operators.vector_index import build_index, search_with_probes  # it needs this module
+
+    index = build_index(record, scratch_folder(queries.sparkSession, "lists"), raw_id="raw_id", vector="v")
+    hits, _ = search_with_probes(queries, index, k, "query_id", "v", query_bytes=query_bytes, query_block=query_block)
+    return hits
 
 
 def _scan_with_queries(queries: DataFrame, record: DataFrame, k: int) -> DataFrame:
@@ -223,18 +223,6 @@ def _scan_with_queries(queries: DataFrame, record: DataFrame, k: int) -> DataFra
     return record.repartition(tasks, "raw_id").mapInArrow(scan, HITS)
 
 
-def _block_by_block(queries: DataFrame, record: DataFrame, k: int, query_rows: int, query_block: int) -> DataFrame:
-    """One scan of the record, written once, for each block of queries."""
-    blocks = math.ceil(query_rows / query_block)
-    dealt = written(queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "queries")
-    record, found = written(record, "record"), None
-    for block in range(blocks):
-        part = dealt.where(F.col("block") == block).drop("block")
-        hits = written(_best(_scan_with_queries(part, record, k), k), "hits")
-        found = hits if found is None else found.union(hits)
-    return found
-
-
 def _best(found: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "raw_id")
     return (

@@ -1,9 +1,10 @@
-"""An exact index for the largest inner products: inverted lists around centres, skipped by a bound.
+"""An exact index for the largest inner products: inverted lists around directions, skipped by a bound.
 
-A list holds the stored vectors nearest to its centre. For a query ``q`` no vector of a list with centre ``c`` and radius
-``r`` scores more than ``<q, c> + |q| r``. A search first looks into the few lists whose centres score best; the k-th
-best score found there is a threshold, and of the other lists only those whose bound reaches it are read. So the hits are
-those of a full scan; how many lists are skipped depends on how well the vectors cluster. Pairs of query and list are
+A list holds the stored vectors whose direction is nearest to its centre, a vector of unit length. A vector goes some way
+along its centre and some way across it, and so does a query; both products together are the most that the two can score.
+A search first looks into the few lists whose centres score best; the k-th best score found there is a threshold, and of
+the other lists only those whose bound reaches it are read, and in them only blocks of vectors whose own bound does. So
+the hits are those of a full scan; how much is skipped depends on directions and lengths. Pairs of query and list are
 never rows of that second look: blocks of queries are sent to the tasks that read the lists.
 """
 
@@ -11,18 +12,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glosswork.functions.draws import HEX_SPAN, draw
-from glosswork.operators.retrieval import HITS, QUERY_BYTES, SCAN_TASKS, _best, _Held, _hits, _matrix, _score
-from glosswork.plans.spread import written
+from glosswork.operators.retrieval import HITS, LONGEST, QUERY_BYTES, SCAN_TASKS, _best, _Held, _matrix, _without_spare_copies
+from glosswork.plans.spread import scratch_folder, written
 
 CENTRE_BYTES = 64 << 20  # centres are sent to every task
 SAMPLE_ROWS = 64  # vectors for each centre that it is fitted on
@@ -30,36 +33,63 @@ ROUNDS = 6  # of moving the centres
 PART_ROWS = 4096  # vectors of a list, and queries of a list, that one task compares at a time
 FIRST_LISTS = 4  # lists that every query looks into
 SLACK = 1e-8  # more than scores are rounded by
+ROUNDED = 1e-11  # share of a score's greatest value that its bounds may be off by
+ROUNDING = 1e-13  # share of a length's square that a difference of squares may be off by
 NAMED_LISTS = 10_000  # lists that a filter names one by one
+BOUND_ROWS = 128  # vectors of a list that have a bound of their own
+BOUND_STEPS = 256  # directions of a query to a centre that a bound tells apart
+AXES = 22  # directions in which pairs are compared before all of their numbers are
+PAIR_ROWS = 2048  # queries of one such product
+NEAR_SHARE = 0.03  # pairs that it may leave, beyond which whole vectors are compared at once
+LISTS_AT_ONCE = 8  # lists whose centres are multiplied with the queries at once
+BLOCKS_AT_ONCE = 2  # blocks of queries under way, so that one is sent while another is compared
 
 
 @dataclass
 class VectorIndex:
-    """``lists`` has ``list, part, raw_id, v``; ``centres`` has ``list, centre, radius, rows`` of every list."""
+    """``lists`` has ``list, part, raw_id, v``; ``centres`` has a row for each list.
+
+    That is ``list, centre, rows``, the least and most that its vectors go along the centre (``low, high``), the most that they
+    go across it (``off``) and the length of the longest.
+    """
 
     lists: DataFrame
     centres: DataFrame
 
     def shared(self) -> Broadcast:
-        """Centres, radii, sizes and list numbers, at most ``CENTRE_BYTES`` and a little."""
+        """Centres, their bounds, sizes, list numbers and main axes, at most ``CENTRE_BYTES`` and a little."""
         found = self.centres.orderBy("list").toArrow()
-        arrays = _matrix(found["centre"]), found["radius"].to_numpy(), found["rows"].to_numpy(), found["list"].to_numpy()
+        bounds = tuple(found[name].to_numpy() for name in ("low", "high", "off", "longest"))
+        centres, rows = _matrix(found["centre"]), found["rows"].to_numpy()
+        weighed = np.nan_to_num(centres) * np.sqrt(rows)[:, None]
+        axes = np.linalg.eigh(weighed.T @ weighed)[1][:, ::-1][:, :AXES]
+        arrays = centres, bounds, rows, found["list"].to_numpy(), axes
         return self.centres.sparkSession.sparkContext.broadcast(arrays)
 
 
-def _nearest(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest centre of every vector and the distance, the lowest number among equals."""
+def _directions(vectors: np.ndarray) -> np.ndarray:
+    length = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
+
+
+def _nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The centre nearest to the direction of every vector, the lowest number among equals."""
     least = np.empty(len(vectors), np.int64)
-    half = (centres * centres).sum(axis=1) / 2
     step = max(1, (4 << 20) // len(centres))
     for at in range(0, len(vectors), step):
-        least[at : at + step] = (half - vectors[at : at + step] @ centres.T).argmin(axis=1)
-    gap = vectors - centres[least]
-    return least, np.sqrt((gap * gap).sum(axis=1))
+        least[at : at + step] = (vectors[at : at + step] @ centres.T).argmax(axis=1)
+    return least
+
+
+def _split(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far each vector goes along its centre, and across it."""
+    along = (vectors * centres).sum(axis=1)
+    off = vectors - along[:, None] * centres
+    return along, np.sqrt((off * off).sum(axis=1))
 
 
 def fit_centres(vectors: DataFrame, count: int, key: str = "raw_id", vector: str = "v", rounds: int = ROUNDS, seed: int = 0) -> np.ndarray:
-    """At most ``count`` centres from ``rounds`` rounds of k-means on a sample of about ``SAMPLE_ROWS`` vectors for each.
+    """At most ``count`` directions from ``rounds`` rounds of k-means on those of about ``SAMPLE_ROWS`` vectors for each.
 
     The sample and the first centres are the vectors with the smallest draws of their keys, so they don't depend on the
     order of the rows. Each task adds up its vectors by centre; only those sums are combined.
@@ -69,7 +99,7 @@ def fit_centres(vectors: DataFrame, count: int, key: str = "raw_id", vector: str
     drawn = vectors.select(F.col(vector).alias("v"), draw(seed, F.col(key).cast("string")).alias("d"), F.col(key).alias("k"))
     sample = written(drawn.where(F.col("d") < int(math.ceil(chance * HEX_SPAN))), "sample")
     first = sample.orderBy("d", "k").limit(count).toArrow()
-    centres = np.unique(_matrix(first["v"]), axis=0)
+    centres = np.unique(np.round(_directions(_matrix(first["v"])), 12), axis=0)
     for _ in range(rounds):
         shared = sample.sparkSession.sparkContext.broadcast(centres)
 
@@ -77,8 +107,8 @@ def fit_centres(vectors: DataFrame, count: int, key: str = "raw_id", vector: str
             total, rows = np.zeros_like(shared.value), np.zeros(len(shared.value), np.int64)
             for batch in batches:
                 if batch.num_rows:
-                    matrix = _matrix(batch["v"])
-                    near, _ = _nearest(matrix, shared.value)
+                    matrix = _directions(_matrix(batch["v"]))
+                    near = _nearest(matrix, shared.value)
                     np.add.at(total, near, matrix)
                     rows += np.bincount(near, minlength=len(rows))
             some = np.flatnonzero(rows)
@@ -91,7 +121,7 @@ def fit_centres(vectors: DataFrame, count: int, key: str = "raw_id", vector: str
         moved = each.groupBy("centre").agg(F.array_sort(F.collect_list(F.struct("dim", (F.col("x") / F.col("n")).alias("x"))))["x"].alias("mean"))
         found = moved.toArrow()
         centres = centres.copy()
-        centres[found["centre"].to_numpy()] = _matrix(found["mean"])
+        centres[found["centre"].to_numpy()] = _directions(_matrix(found["mean"]))
         shared.unpersist()
     return np.unique(np.round(centres, 12), axis=0)
 
@@ -99,13 +129,14 @@ def fit_centres(vectors: DataFrame, count: int, key: str = "raw_id", vector: str
 def build_index(
     record: DataFrame, path: str, lists: int | None = None, raw_id: str = "raw_id", vector: str = "embedding", part_rows: int = PART_ROWS
 ) -> VectorIndex:
-    """Write every vector of the record to the list of its nearest centre, a partition of the table under ``path``.
+    """Write every vector of the record to the list of its nearest direction, a partition of the table under ``path``.
 
     By default there are as many lists as the square root of the number of vectors, and never more centres than fit
     ``CENTRE_BYTES``. A list that holds very many vectors, such as copies of one, is many parts.
     """
     spark = record.sparkSession
-    named = record.select(F.col(raw_id).cast("bigint").alias("raw_id"), F.col(vector).cast("array<double>").alias("v"))
+    # Written, as it is read several times.
+    named = written(record.select(F.col(raw_id).cast("bigint").alias("raw_id"), F.col(vector).cast("array<double>").alias("v")), "vectors")
     rows, width = named.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     count = min(lists or max(1, round(math.sqrt(rows))), max(1, CENTRE_BYTES // (8 * max(1, width))))
     centres = fit_centres(named, count) if rows else np.zeros((1, width))
@@ -114,16 +145,20 @@ def build_index(
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near, gap = _nearest(_matrix(batch["v"]), shared.value)
-                yield pa.RecordBatch.from_arrays([batch["raw_id"], batch["v"], pa.array(near), pa.array(gap)], ["raw_id", "v", "list", "gap"])
-
-    placed = written(named.mapInArrow(assign, "raw_id bigint, v array<double>, list bigint, gap double"), "placed")
-    # A list's radius is rounded up, as the distances are.
-    held = placed.groupBy("list").agg((F.max("gap") * (1 + 1e-12) + 1e-12).alias("radius"), F.count(F.lit(1)).alias("rows"))
+                matrix = _matrix(batch["v"])
+                near = _nearest(matrix, shared.value)
+                along, across = _split(matrix, shared.value[near])
+                named = [batch["raw_id"], batch["v"], pa.array(near), pa.array(along), pa.array(across)]
+                yield pa.RecordBatch.from_arrays(named, ["raw_id", "v", "list", "along", "across"])
+
+    placed = written(named.mapInArrow(assign, "raw_id bigint, v array<double>, list bigint, along double, across double"), "placed")
+    longest = F.max(F.hypot("along", "across"))
+    held = placed.groupBy("list").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("along").alias("low"), F.max("along").alias("high"), F.max("across").alias("off"), longest.alias("longest")
+    )
     found = held.toArrow()
-    at = found["list"].to_numpy()
-    table = pa.table({"list": found["list"], "centre": pa.array(list(centres[at]), pa.list_(pa.float64())), "radius": found["radius"], "rows": found["rows"]})
-    schema = T.StructType.fromDDL("list bigint, centre array<double>, radius double, rows bigint")
+    table = found.append_column("centre", pa.array(list(centres[found["list"].to_numpy()]), pa.list_(pa.float64())))
+    schema = T.StructType.fromDDL("list bigint, rows bigint, low double, high double, off double, longest double, centre array<double>")
     small = spark.createDataFrame(table, schema=schema) if table.num_rows else spark.createDataFrame([], schema)
     small.coalesce(1).write.parquet(f"{path}/centres")
     parts = F.ceil(F.col("rows") / part_rows).cast("int")
@@ -140,25 +175,34 @@ def open_index(spark: SparkSession, path: str) -> VectorIndex:
 
 def _chosen(asked: np.ndarray, k: int, centres: np.ndarray, rows: np.ndarray, first: int) -> np.ndarray:
     """Which lists every query looks into first: the best centres, ``first`` at least and enough to hold ``k`` vectors."""
-    order = np.argsort(-(asked @ centres.T), axis=1, kind="stable")
-    before = np.cumsum(rows[order], axis=1) - rows[order]
-    take = (before < k) | (np.arange(len(rows)) < first)
-    mask = np.zeros(take.shape, bool)
-    np.put_along_axis(mask, order, take, axis=1)
+    scores = asked @ centres.T
+    mask, each, held = np.zeros(scores.shape, bool), np.arange(len(asked)), np.zeros(len(asked), np.int64)
+    for place in range(len(rows)):
+        # Only queries whose lists hold too few vectors go on after the first ones.
+        each = each if place < first else each[held[each] < k]
+        if not len(each):
+            break
+        best = scores[each].argmax(axis=1) if place >= first else scores.argmax(axis=1)
+        mask[each, best], scores[each, best] = True, -np.inf
+        held[each] += rows[best]
     return mask
 
 
-def _reached(asked: np.ndarray, least: np.ndarray, centres: np.ndarray, radii: np.ndarray, length: np.ndarray | None = None) -> np.ndarray:
+def _reached(asked: np.ndarray, least: np.ndarray, centres: np.ndarray, bounds: tuple[np.ndarray, ...]) -> np.ndarray:
     """Which lists can hold a vector that scores ``least``, for every query."""
-    length = (np.sqrt((asked * asked).sum(axis=1)) if length is None else length)[:, None]
-    return asked @ centres.T + length * radii >= least[:, None] - SLACK * (1 + length)
+    low, high, off, longest = bounds
+    square = (asked * asked).sum(axis=1)[:, None]
+    along, length = asked @ centres.T, np.sqrt(square)
+    across = np.sqrt(np.maximum(square - along * along, 0) + ROUNDING * square)
+    most = np.minimum(np.maximum(along * low, along * high) + across * off, length * longest)
+    return ~(most + ROUNDED * length * longest < least[:, None] - SLACK * (1 + length))
 
 
 def _probes(queries: DataFrame, shared: Broadcast, k: int, first: int) -> DataFrame:
     """``query_id, v, list``: the first lists of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, _, rows, numbers = shared.value
+        centres, _, rows, numbers, _ = shared.value
         step = max(1, (2 << 20) // max(1, len(rows)))
         for batch in batches:
             for at in range(0, batch.num_rows if len(rows) else 0, step):
@@ -177,13 +221,13 @@ def _rest(queries: DataFrame, shared: Broadcast, k: int, first: int) -> DataFram
     """``query_id, list`` of the other lists whose bound reaches ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, radii, rows, numbers = shared.value
+        centres, bounds, rows, numbers, _ = shared.value
         step = max(1, (2 << 20) // max(1, len(rows)))
         for batch in batches:
             for at in range(0, batch.num_rows if len(rows) else 0, step):
                 part = batch.slice(at, step)
                 asked = _matrix(part["v"])
-                mask = ~_chosen(asked, k, centres, rows, first) & _reached(asked, part["least"].to_numpy(), centres, radii)
+                mask = ~_chosen(asked, k, centres, rows, first) & _reached(asked, part["least"].to_numpy(), centres, bounds)
                 who, which = np.nonzero(mask)
                 yield pa.RecordBatch.from_arrays([part["query_id"].take(pa.array(who)), pa.array(numbers[which])], ["query_id", "list"])
 
@@ -194,49 +238,148 @@ def _needed(queries: DataFrame, shared: Broadcast) -> list[int]:
     """Numbers of the lists that some query of the table can have a hit in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, radii, rows, numbers = shared.value
+        centres, bounds, rows, numbers, _ = shared.value
         step = max(1, (2 << 20) // max(1, len(rows)))
         some = np.zeros(len(rows), bool)
         for batch in batches:
             for at in range(0, batch.num_rows if len(rows) else 0, step):
                 part = batch.slice(at, step)
-                some |= _reached(_matrix(part["v"]), part["least"].to_numpy(), centres, radii).any(axis=0)
+                some |= _reached(_matrix(part["v"]), part["least"].to_numpy(), centres, bounds).any(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(numbers[some], pa.int64())], ["list"])
 
     return queries.mapInArrow(run, "list bigint").distinct().toArrow()["list"].to_pylist()
 
 
-def _scan_lists(queries: DataFrame, index: VectorIndex, shared: Broadcast, k: int) -> DataFrame:
-    """The best ``k`` of every query of one block that score ``least`` or more, from the lists that can hold them.
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number, vectors and ids of each list in turn, at most about ``PART_ROWS`` of one at a time."""
+    number, parts = None, []
+
+    def whole() -> tuple[int, np.ndarray, np.ndarray]:
+        return number, np.vstack([v for v, _ in parts]), np.concatenate([i for _, i in parts])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        stored, ids, lists = _matrix(batch["v"]), batch["raw_id"].to_numpy(), batch["list"].to_numpy()
+        begins = np.flatnonzero(np.diff(lists, prepend=lists[0] - 1))
+        for begin, end in zip(begins, np.append(begins[1:], len(lists))):
+            if parts and (lists[begin] != number or sum(len(i) for _, i in parts) + end - begin > PART_ROWS):
+                yield whole()
+                parts = []
+            number = lists[begin]
+            parts.append((stored[begin:end], ids[begin:end]))
+    if parts:
+        yield whole()
+
+
+def _steps(cosine: np.ndarray) -> np.ndarray:
+    """Which of the ``BOUND_STEPS`` stretches of cosines a query's cosine to a centre lies in."""
+    return np.fmin(np.fmax((cosine + 1) * (BOUND_STEPS / 2), 0), BOUND_STEPS - 1).astype(np.int64)
+
+
+def _most(along: np.ndarray, across: np.ndarray) -> np.ndarray:
+    """The largest score that a query of unit length can have with a block of vectors, by the stretch its cosine lies in.
 
-    The queries are sent to every task. A task compares the vectors of a list with those queries alone whose bound for
-    the list reaches what they look for.
+    A vector that goes ``along`` a centre and ``across`` it scores at most ``along cos + across sin`` with a query at that
+    angle to the centre. Over a stretch of angles that is greatest at an end, or where both angles are the same.
+    """
+    cosine = np.linspace(-1.0, 1.0, BOUND_STEPS + 1)
+    edges = (np.outer(cosine, along) + np.outer(np.sqrt(1 - cosine * cosine), across)).max(axis=1)
+    most, length = np.maximum(edges[:-1], edges[1:]), np.hypot(along, across)
+    np.maximum.at(most, _steps(np.divide(along, length, out=np.zeros_like(along), where=length > 0)), length)
+    return most + ROUNDED * length.max()
+
+
+def _pieces(along: np.ndarray, heads: np.ndarray, square: np.ndarray) -> np.ndarray:
+    """Vectors as the way along a centre, their places on a few axes across it and the length of what is left.
+
+    The product of two such rows is the most that the two vectors can score.
+    """
+    rest = np.sqrt(np.maximum(square - along * along - (heads * heads).sum(axis=1), 0) + ROUNDING * square)
+    return np.column_stack([along, heads, rest]).astype(np.float32)
+
+
+class _Compared:
+    """The queries of one block, as the tasks compare them with lists."""
+
+    def __init__(self, asked: np.ndarray, least: np.ndarray, k: int, axes: np.ndarray):
+        self.held, self.axes, self.heads = _Held(asked, k, least), axes, asked @ axes
+        self.per_length = np.divide(1.0, self.held.length, out=np.ones_like(self.held.length), where=self.held.length > 0)
+
+    def add(self, runs: list[tuple[int, np.ndarray, np.ndarray]], centres: np.ndarray) -> None:
+        """Take in a few lists, each with its centre."""
+        held = self.held
+        # What a query of unit length would have to score; nothing is left out for one without length.
+        edges = held.edges(np.arange(len(held.asked)))
+        need = np.where(held.length > 0, (edges - SLACK) * self.per_length, -np.inf)
+        for (_, stored, ids), centre, way in zip(runs, centres, centres @ held.asked.T):
+            self._add_list(*_without_spare_copies(stored, ids, held.k), centre, way, need, edges)
+
+    def _add_list(self, stored: np.ndarray, ids: np.ndarray, centre: np.ndarray, way: np.ndarray, need: np.ndarray, edges: np.ndarray) -> None:
+        held, along, across = self.held, *_split(stored, centre[None, :])
+        order, lowest, blocks = np.argsort(-across, kind="stable"), need.min(), []
+        for at in range(0, len(order), BOUND_ROWS):
+            block = order[at : at + BOUND_ROWS]
+            most = _most(along[block], across[block])
+            if not most.max() < lowest:
+                blocks.append((block, most))
+        if not blocks:
+            return
+        step = _steps(way * self.per_length)
+        some = np.flatnonzero(~(np.max([most for _, most in blocks], axis=0)[step] < need))
+        step, need = step[some], need[some]
+        pieces = _pieces(along, (stored - along[:, None] * centre) @ self.axes, (stored * stored).sum(axis=1))
+        longest = float(np.hypot(along, across).max())
+        quick = held.plain and longest < LONGEST
+        if quick:
+            asked, middle = np.empty((len(some), pieces.shape[1]), np.float32), centre @ self.axes
+            for at in range(0, len(some), PART_ROWS):
+                part = some[at : at + PART_ROWS]
+                asked[at : at + PART_ROWS] = _pieces(way[part], self.heads[part] - way[part][:, None] * middle, held.length[part] ** 2)
+            slack = (pieces.shape[1] + 16) * 2.0**-22 * held.length[some] * longest + SLACK
+            low = np.nextafter((edges[some] - slack).astype(np.float32), np.float32(-np.inf))
+        for block, most in blocks:
+            wanted = np.flatnonzero(~(most[step] < need))
+            if not quick:
+                held.add_block(stored[block], ids[block], some[wanted])
+            elif len(wanted):
+                self._add_near(stored[block], ids[block], pieces[block], some, wanted, asked, low)
+
+    def _add_near(self, block: np.ndarray, ids: np.ndarray, pieces: np.ndarray, some: np.ndarray, wanted: np.ndarray, asked: np.ndarray, low: np.ndarray) -> None:
+        """Compare a block of vectors with the ``wanted`` ones of ``some`` queries, by their pieces first."""
+        for at in range(0, len(wanted), PAIR_ROWS):
+            part = wanted[at : at + PAIR_ROWS]
+            most = pieces @ asked[part].T
+            near = np.flatnonzero(most.max(axis=0) >= low[part])
+            if not len(near):
+                continue
+            who, which = np.nonzero(most[:, near].T >= low[part[near], None])
+            if len(who) > NEAR_SHARE * len(part) * len(block):
+                self.held.add_block(block, ids, some[wanted[at:]])
+                return
+            self.held.add_pairs(some[part[near]], block, ids, who, which)
+
+
+def _scan_lists(queries: DataFrame, lists: DataFrame, shared: Broadcast, k: int) -> DataFrame:
+    """The best ``k`` of every query of one block that score ``least`` or more, from the lists, which lie list by list.
+
+    The queries are sent to every task. The vectors of a list are ordered by how far they lie off the line through its
+    centre and cut into blocks; a block is compared with those queries alone whose bound for it reaches what they look for.
     """
     table = queries.toArrow()
     sent = queries.sparkSession.sparkContext.broadcast((table["query_id"].to_numpy(), _matrix(table["v"]), table["least"].to_numpy()))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, asked, least = sent.value
-        centres, radii, _, numbers = shared.value
-        held = None
-        for batch in batches:
-            if not batch.num_rows or not len(query_ids):
-                continue
-            held = held or _Held(asked, k, least)
-            stored, ids, lists = _matrix(batch["v"]), batch["raw_id"].to_numpy(), batch["list"].to_numpy()
-            for number in np.unique(lists):
-                own, at = lists == number, np.searchsorted(numbers, number)
-                wanted = _reached(asked, held.edges(np.arange(len(asked))), centres[at : at + 1], radii[at : at + 1], held.length)[:, 0]
-                held.add(stored[own], ids[own], np.flatnonzero(wanted))
-        if held is not None:
-            yield held.hits(query_ids)
-
-    lists, needed = index.lists, _needed(queries, shared)
-    if len(needed) <= min(NAMED_LISTS, len(shared.value[3]) - 1):
-        lists = lists.where(F.col("list").isin(needed))
-    tasks = SCAN_TASKS * queries.sparkSession.sparkContext.defaultParallelism
-    # Lists stay together, so that each is compared at once; of long ones their parts do.
-    return lists.repartition(tasks, "list", "part").sortWithinPartitions("list").mapInArrow(scan, HITS)
+        centres, _, _, numbers, axes = shared.value
+        if not len(query_ids):
+            return
+        compared, runs = _Compared(asked, least, k, axes), _runs(batches)
+        while some := list(islice(runs, LISTS_AT_ONCE)):
+            compared.add(some, centres[np.searchsorted(numbers, [number for number, _, _ in some])])
+        yield compared.held.hits(query_ids)
+
+    return lists.mapInArrow(scan, HITS)
 
 
 def _search_lists(probes: DataFrame, index: VectorIndex, k: int, part_rows: int) -> DataFrame:
@@ -259,8 +402,9 @@ def _search_lists(probes: DataFrame, index: VectorIndex, k: int, part_rows: int)
     def cell(queries: pa.Table, stored: pa.Table) -> pa.Table:
         if not queries.num_rows or not stored.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "raw_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        held = _score(_matrix(queries["v"]), _matrix(stored["v"]), stored["raw_id"].to_numpy(), k)
-        return pa.Table.from_batches([_hits(queries["query_id"].to_numpy(), held)])
+        held = _Held(_matrix(queries["v"]), k)
+        held.add(_matrix(stored["v"]), stored["raw_id"].to_numpy())
+        return pa.Table.from_batches([held.hits(queries["query_id"].to_numpy())])
 
     keys = ("list", "part", "chunk")
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, HITS)
@@ -290,29 +434,48 @@ def search_with_probes(
     first_lists: int = FIRST_LISTS,
     part_rows: int = PART_ROWS,
     query_bytes: int = QUERY_BYTES,
+    query_block: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``search_index``, and ``query_id, list`` of every list that a query looked into.
 
-    More than ``query_bytes`` of queries go in blocks of that size, with one look into the lists each.
+    More than ``query_bytes`` of queries go in blocks of that size, or of ``query_block`` queries, with one look into the
+    lists each. The lists are dealt to the tasks once for all blocks.
     """
-    shared = index.shared()
+    spark, shared = queries.sparkSession, index.shared()
     asked = written(queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(vector).cast("array<double>").alias("v")), "asked")
     first = _probes(asked, shared, k, first_lists)
     found = written(_best(_search_lists(first, index, k, part_rows), k), "hits")
     edge = found.where(F.col("rank") == k).select(F.col("query_id").alias("_q"), "score")
     rows, width = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    blocks = max(1, math.ceil(rows * width * 8 / max(1, query_bytes)))
+    block = query_block or max(1, query_bytes // max(1, 8 * width))
+    blocks = max(1, math.ceil(rows / block))
     # A query with fewer than k hits has no threshold yet.
-    known = written(
-        asked.join(edge, F.col("query_id") == F.col("_q"), "left").select(
-            "query_id", "v", F.coalesce("score", F.lit(-math.inf)).alias("least"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
-        ),
-        "thresholds",
+    thresholds = asked.join(edge, F.col("query_id") == F.col("_q"), "left").select(
+        "query_id", "v", F.coalesce("score", F.lit(-math.inf)).alias("least"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
     )
-    hits = None
-    for block in range(blocks):
-        part = known.where(F.col("block") == block).drop("block")
-        best = _best(_scan_lists(part, index, shared, k), k)
-        best = best if blocks == 1 else written(best, "hits")
-        hits = best if hits is None else hits.union(best)
-    return hits, first.select("query_id", "list").union(_rest(known, shared, k, first_lists))
+    rest = lambda known: first.select("query_id", "list").union(_rest(known, shared, k, first_lists))
+    tasks = SCAN_TASKS * spark.sparkContext.defaultParallelism
+    # Lists stay together, so that each is compared at once; of long ones their parts do.
+    dealt = lambda lists: lists.repartition(tasks, "list", "part").sortWithinPartitions("list")
+    if blocks == 1:
+        known, lists = written(thresholds, "thresholds"), index.lists
+        needed = _needed(known, shared)
+        if len(needed) <= min(NAMED_LISTS, len(shared.value[3]) - 1):
+            lists = lists.where(F.col("list").isin(needed))
+        return _best(_scan_lists(known.drop("block"), dealt(lists), shared, k), k), rest(known)
+    path = scratch_folder(spark, "thresholds")
+    thresholds.repartition("block").write.partitionBy("block").parquet(path)
+    known = spark.read.schema(thresholds.schema).parquet(path)
+    kept = dealt(index.lists).persist(StorageLevel.DISK_ONLY)
+
+    def look(number: int) -> DataFrame:
+        part = known.where(F.col("block") == number).drop("block")
+        return written(_best(_scan_lists(part, kept, shared, k), k), "hits")
+
+    with ThreadPoolExecutor(BLOCKS_AT_ONCE) as pool:
+        found = list(pool.map(look, range(blocks)))
+    kept.unpersist()
+    hits = found[0]
+    for more in found[1:]:
+        hits = hits.union(more)
+    return hits, rest(known)

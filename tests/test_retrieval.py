@@ -37,6 +37,15 @@ def test_topk_is_exact(spark, k, limits):
     assert got == sorted(brute(asked, stored, k))
 
 
+def test_many_queries_read_the_record_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    both = rng.normal(size=(60, 6))
+    scans, scan = [], retrieval._scan_with_queries
+    monkeypatch.setattr(retrieval, "_scan_with_queries", lambda *args: scans.append(1) or scan(*args))
+    hits = op.retrieve_topk(vectors(spark, both, "id"), vectors(spark, both, "raw_id"), 2, query_bytes=0, query_block=30)
+    assert sorted((r.query_id, r.rank, r.raw_id) for r in hits.collect()) == sorted(brute(both, both, 2)) and not scans
+
+
 def test_small_score_slices(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "SCORE_CELLS", 10)
     rng = np.random.default_rng(0)

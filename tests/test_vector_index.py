@@ -68,3 +68,64 @@ def test_blocks_of_queries(spark, tmp_path):
     record, queries = vectors(spark, stored, "raw_id"), vectors(spark, stored, "id")
     index = op.build_index(record, str(tmp_path / "index"), lists=20)
     assert rows(op.search_index(queries, index, 3, query_bytes=2000)) == rows(op.retrieve_topk(queries, record, 3))
+
+
+def spread_out(seed, directions, lengths, width=16):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(directions, width))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    return np.vstack([base * (1 + turn / 8) for turn in range(lengths)])
+
+
+def test_first_look_finds_what_points_the_same_way(spark, tmp_path):
+    stored = spread_out(6, 200, 4)  # directions at random, so some centres are single vectors and long
+    record, queries = vectors(spark, stored, "raw_id"), vectors(spark, stored, "id")
+    index = op.build_index(record, str(tmp_path / "index"), lists=20)
+    asked = queries.selectExpr("id AS query_id", "CAST(embedding AS array<double>) AS v")
+    probes = vector_index._probes(asked, index.shared(), 2, vector_index.FIRST_LISTS)
+    found = vector_index._best(vector_index._search_lists(probes, index, 2, 4096), 2)
+    right = op.retrieve_topk(queries, record, 2).select("query_id", "rank", "raw_id")
+    assert found.select("query_id", "rank", "raw_id").intersect(right).count() > 0.9 * 2 * len(stored)
+
+
+@pytest.mark.parametrize("kind", ["random", "copies", "ties", "zeros", "long", "no number"])
+def test_lists_by_blocks_leave_out_no_hit(kind):
+    stored, asked = spread_out(7, 400, 3), spread_out(8, 150, 2)
+    asked[:100] = stored[:100]
+    if kind == "copies":
+        stored[::3] = stored[0]
+    if kind == "ties":
+        stored, asked = np.round(3 * stored), np.round(3 * asked)
+    if kind == "zeros":
+        stored[::5], asked[::7] = 0, 0
+    if kind == "long":
+        stored, asked = stored * 1e16, asked
+    if kind == "no number":
+        asked[3] = np.nan
+    scores = np.round(asked @ stored.T, 9)
+    order = np.lexsort((np.broadcast_to(np.arange(len(stored)), scores.shape), -scores))[:, :3]
+    best = np.take_along_axis(scores, order, 1)
+    least = np.where(np.arange(len(asked)) % 2, best[:, 2], -np.inf)  # a threshold for every other query
+    centres = vector_index._directions(stored[::100][:9] + (kind == "zeros"))
+    near = vector_index._nearest(stored, centres)
+    numbers = np.unique(near)
+    compared = vector_index._Compared(asked, least, 3, np.linalg.qr(np.random.default_rng(0).normal(size=(16, 5)))[0])
+    compared.add([(n, stored[near == n], np.flatnonzero(near == n)) for n in numbers], centres[numbers])
+    got = compared.held.hits(np.arange(len(asked))).to_pydict()
+    right = np.isfinite(asked).all(axis=1)
+    assert [(q, i) for q, i in zip(got["query_id"], got["raw_id"]) if right[q]] == [(q, i) for q in np.flatnonzero(right) for i in order[q]]
+
+
+def test_most_pairs_are_compared_by_pieces_or_not_at_all(monkeypatch):
+    stored = spread_out(9, 3000, 4, width=48)
+    compared = vector_index._Compared(stored, np.round(1.25 * np.linalg.norm(stored, axis=1), 9), 2, np.eye(48)[:, :22])
+    centres = vector_index._directions(stored[:40])
+    near, whole, pieces = vector_index._nearest(stored, centres), [], []
+    pairs, block, some = compared.held.add_pairs, compared.held.add_block, compared._add_near
+    monkeypatch.setattr(compared.held, "add_pairs", lambda part, stored, names, who, which: whole.append(len(who)) or pairs(part, stored, names, who, which))
+    monkeypatch.setattr(compared.held, "add_block", lambda stored, names, rows: whole.append(len(stored) * len(rows)) or block(stored, names, rows))
+    monkeypatch.setattr(compared, "_add_near", lambda stored, names, own, queries, wanted, *rest: pieces.append(len(stored) * len(wanted)) or some(stored, names, own, queries, wanted, *rest))
+    for n in range(40):
+        compared.add([(n, stored[near == n], np.flatnonzero(near == n))], centres[n : n + 1])
+    assert sum(pieces) < 0.6 * len(stored) ** 2 and sum(whole) < 0.02 * len(stored) ** 2
+    assert compared.held.ids[:, 0].tolist() == [i % 3000 + 9000 for i in range(len(stored))]
