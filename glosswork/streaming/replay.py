@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.operators.packing import length_batches
-from glosswork.plans.spread import scratch_folder, written
+from glosswork.plans.spread import forget, scratch_folder, written
 from glosswork.streaming.rollup import _stored
 
 
@@ -44,11 +44,13 @@ def stream_replay(
     schema = f"window_start timestamp, {group} {kind}, item bigint, raw_id bigint, n_items int, batch_no bigint"
 
     def keep(batch: DataFrame, number: int) -> None:
-        rows = batch.select(F.struct("_w.start", "_group").alias("_at"), F.explode("_rows").alias("_r")).select("_at", "_r.*")
+        # Written, as every look at the batch would run the join and its state again.
+        rows = written(batch.select(F.struct("_w.start", "_group").alias("_at"), F.explode("_rows").alias("_r")).select("_at", "_r.*"), "closing")
         cut = length_batches(rows, budget, "_at", "item", "_size")
         cut.select(
             F.col("_at.start").alias("window_start"), F.col("_at._group").alias(group), "item", F.col("raw_id").cast("bigint").alias("raw_id"), "n_items", "batch_no"
         ).write.mode("overwrite").parquet(f"{path}/closed/batch={number:020d}")
+        forget(rows)
 
     writer = closed.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint")
     writer.trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()

@@ -5,6 +5,7 @@ import random
 
 from glosswork import operators as op
 from glosswork import streaming as live
+from glosswork.streaming import replay
 
 DOMAIN = "id bigint, bk bigint, ts timestamp"
 HITS = "query_id bigint, rank bigint, raw_id bigint, ts timestamp"
@@ -35,3 +36,21 @@ def test_closed_windows_equal_the_batch_answer(spark, tmp_path):
     wanted = op.length_batches(whole, 12, "bk", "item").select("bk", "item", "raw_id", "n_items", "batch_no")
     got = found.select("bk", "item", "raw_id", "n_items", "batch_no")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_a_trigger_joins_its_streams_once(spark, tmp_path, monkeypatch):
+    corpus = spark.createDataFrame([(i, [1] * (i + 1)) for i in range(4)], "raw_id bigint, input_ids array<int>")
+    times = [START, START, START + dt.timedelta(hours=900)]
+    domain = spark.createDataFrame([(i, 0, t) for i, t in enumerate(times)], DOMAIN)
+    hits = spark.createDataFrame([(i, 1, i, t) for i, t in enumerate(times)], HITS)
+    domain.write.parquet(str(tmp_path / "domain"))
+    hits.write.parquet(str(tmp_path / "hits"))
+    plans, cut = [], replay.length_batches
+    monkeypatch.setattr(replay, "length_batches", lambda rows, *rest: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or cut(rows, *rest))
+    found = live.stream_replay(
+        live.read_text_stream(spark, str(tmp_path / "domain"), DOMAIN, "*.parquet"),
+        live.read_text_stream(spark, str(tmp_path / "hits"), HITS, "*.parquet"),
+        corpus, 1, 12, path=str(tmp_path / "out"),
+    )
+    assert sorted((r.item, r.raw_id) for r in found.collect()) == [(0, 0), (1, 1)]
+    assert plans and all("parquet" in plan and "LogicalRDD" not in plan for plan in plans)  # cut from written rows
